@@ -17,9 +17,11 @@ Matrix = list[list[Column]]
 
 def rpy_to_matrix(roll: Column, pitch: Column, yaw: Column) -> Matrix:
     """Rz(yaw) Ry(pitch) Rx(roll) as nine scalar columns."""
-    sr, cr, sp, cp, sy, cy = (
-        f(x) for x in (roll, pitch, yaw) for f in (F.sin, F.cos)
-    )
+    return matrix_from_trig(*[f(x) for x in (roll, pitch, yaw) for f in (F.sin, F.cos)])
+
+
+def matrix_from_trig(sr, cr, sp, cp, sy, cy) -> Matrix:
+    """The same from sine and cosine of each angle."""
     rz = [[cy, -sy, F.lit(0.0)], [sy, cy, F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
     # Ry @ Rx written out once: its rows are short, the product with Rz is generic
     ryx = [[cp, sp * sr, sp * cr], [F.lit(0.0), cr, -sr], [-sp, cp * sr, cp * cr]]

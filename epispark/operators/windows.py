@@ -159,17 +159,40 @@ def pose_deltas(
 ) -> DataFrame:
     """Relative transform of each frame to the one before it as xyz+rpy; the first frame of an
     episode has none and is dropped."""
-    halo = Halo(df, keys, index, before=1, size=size)
-    prev = {f"__p_{c}": halo.at(F.col(c), -1) for c in pose}
-    rows = halo.close(halo.df.withColumns(prev)).where(F.col(index) > 0)
-    rel = rot.relative_pose([F.col(f"__p_{c}") for c in pose], [F.col(c) for c in pose])
-    rows = rows.withColumns({prefix + c: x for c, x in zip(pose, rel)})
-    return rows.drop(*prev)
+    rt = with_rigid(df, pose)
+    halo = Halo(rt, keys, index, before=1, size=size)
+    prev = F.lag(F.struct(*_RT)).over(halo.w)
+    rows = halo.close(halo.df.withColumn("__p", prev)).where(F.col(index) > 0)
+    # staged projections: each stage reuses the columns of the one before
+    inv = rot.transpose(_rot_of("__p.m"))
+    shift = [F.col(f"m{4 * i + 3}") - F.col(f"__p.m{4 * i + 3}") for i in range(3)]
+    product = rot.matmul(inv, _rot_of("m"))
+    staged = {f"__q{i}{j}": product[i][j] for i in range(3) for j in range(3)}
+    rows = rows.withColumns({**staged, **{f"__t{i}": x for i, x in enumerate(rot.matvec(inv, shift))}})
+    rpy = rot.matrix_to_rpy([[F.col(f"__q{i}{j}") for j in range(3)] for i in range(3)])
+    out = [*[F.col(f"__t{i}") for i in range(3)], *rpy]
+    return rows.select(*df.columns, *[x.alias(prefix + c) for c, x in zip(pose, out)])
 
 
 _RT = [f"m{i}" for i in range(12)]
 
 
+def _rot_of(prefix: str) -> rot.Matrix:
+    return [[F.col(f"{prefix}{4 * i + j}") for j in range(3)] for i in range(3)]
+
+
+def with_rigid(df: DataFrame, pose: Sequence[str]) -> DataFrame:
+    """Add the rigid transform of an xyz+rpy pose as the row-major 3x4 columns ``m0..m11``."""
+    trig = {}
+    for a, c in zip("rpw", pose[3:6]):
+        trig[f"__s{a}"], trig[f"__c{a}"] = F.sin(c), F.cos(c)
+    m = rot.matrix_from_trig(*[F.col(n) for n in trig])
+    entries = {
+        _RT[4 * i + j]: (m[i][j] if j < 3 else F.col(pose[i])) for i in range(3) for j in range(4)
+    }
+    return df.withColumns(trig).withColumns(entries).drop(*trig)
+
+
 def _flat(mats: np.ndarray) -> dict[str, np.ndarray]:
     flat = mats[:, :3, :].reshape(-1, 12)
     return {n: flat[:, i] for i, n in enumerate(_RT)}
@@ -222,12 +245,6 @@ def _scan_products(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return parts.mapInPandas(scan, df.schema)
 
 
-def _pose_to_rt(cols: Sequence[str]) -> list[Column]:
-    c = [F.col(n) for n in cols]
-    m = rot.rpy_to_matrix(*c[3:6])
-    return [(m[i][j] if j < 3 else c[i]).alias(_RT[4 * i + j]) for i in range(3) for j in range(4)]
-
-
 def integrate_deltas(
     deltas: DataFrame,
     initial: DataFrame,
@@ -242,8 +259,8 @@ def integrate_deltas(
     The product of rigid transforms is associative: each block is multiplied on its own, block
     totals are multiplied per episode (one row per block), and the two are combined in the JVM.
     """
-    blocks = deltas.select(
-        key, index, F.floor(F.col(index) / size).alias("block"), *_pose_to_rt(delta_cols)
+    blocks = with_rigid(deltas, delta_cols).select(
+        key, index, F.floor(F.col(index) / size).alias("block"), *_RT
     )
     part = _scan_products(blocks, [key, "block"], index)
     totals = (
@@ -251,21 +268,22 @@ def integrate_deltas(
         .agg(F.max_by(F.struct(*_RT), index).alias("m"))
         .select(key, "block", "m.*")
     )
-    origin = initial.select(key, F.lit(-1).cast("long").alias("block"), *_pose_to_rt(pose_cols))
+    origin = with_rigid(initial, pose_cols).select(
+        key, F.lit(-1).cast("long").alias("block"), *_RT
+    )
     carries = _scan_products(origin.unionByName(totals), [key], "block")
     carries = carries.select(
         key, (F.col("block") + 1).alias("block"), *[F.col(n).alias("c" + n) for n in _RT]
     )
     joined = part.join(carries, [key, "block"])
 
-    def mat(p: str):
-        return [[F.col(f"{p}m{4 * i + j}") for j in range(3)] for i in range(3)]
-
     def pos(p: str):
         return [F.col(f"{p}m{4 * i + 3}") for i in range(3)]
 
-    where = [a + b for a, b in zip(rot.matvec(mat("c"), pos("")), pos("c"))]
-    angles = rot.matrix_to_rpy(rot.matmul(mat("c"), mat("")))
+    where = [a + b for a, b in zip(rot.matvec(_rot_of("cm"), pos("")), pos("c"))]
+    product = rot.matmul(_rot_of("cm"), _rot_of("m"))
+    joined = joined.withColumns({f"__q{i}{j}": product[i][j] for i in range(3) for j in range(3)})
+    angles = rot.matrix_to_rpy([[F.col(f"__q{i}{j}") for j in range(3)] for i in range(3)])
     rows = joined.select(key, index, *[x.alias(c) for x, c in zip([*where, *angles], pose_cols)])
     first = initial.select(key, F.lit(0).cast("long").alias(index), *pose_cols)
     return first.unionByName(rows)

@@ -4,6 +4,7 @@ from epispark.plans.registry import REGISTRY
 
 from . import (  # noqa: F401
     q_windows,
+    q_stats,
 )
 
 __all__ = ["REGISTRY"]

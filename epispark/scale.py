@@ -195,81 +195,89 @@ def exact_quantiles(
     probs: Sequence[float],
     small: int = 100_000,
     accuracy: int = 10_000,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: ``keys, n, q array<double>``.
+    """Exact linearly interpolated quantiles: ``keys, n, q array<double>`` plus ``extra``.
 
-    Groups of at most ``small`` values use Spark's ``percentile``, whose value map is then bounded.
-    For larger groups a mergeable sketch brackets every target rank (its rank error is at most
-    ``n / accuracy``, the bracket is twice as wide); values below the bracket are only counted,
-    and the few inside it are counted per distinct value before they are ranked.
+    First scan: counts, the ``extra`` aggregates (over ``__v``) and a mergeable sketch, all partially
+    aggregated. The sketch brackets every target rank: its rank error is at most ``n / accuracy``
+    and the bracket reaches twice as far. Second scan: values below a bracket are only counted, the
+    few inside it are counted per distinct value and ranked. Groups of at most ``small`` values take
+    all of their values as the bracket. No step holds a whole group.
     """
     if small < 2 * accuracy:
         raise ValueError("small must be at least twice the sketch accuracy")
     keys = list(keys)
-    rows = df.select(*keys, value.cast("double").alias("__v")).where("__v is not null")
+    rows = df.select(*keys, value.cast("double").alias("__v")).where(
+        F.col("__v").isNotNull() & ~F.isnan("__v")
+    )
     lows = [max(p - 2.0 / accuracy, 0.0) for p in probs]
     highs = [min(p + 2.0 / accuracy, 1.0) for p in probs]
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("__v", lows + highs, accuracy).alias("__cut"),
+        *extra,
     )
-    tagged = rows.join(sketch, keys) if keys else rows.withColumns(
-        {
-            "__s": sketch.select(F.struct("n", "__cut")).scalar(),
-            "n": F.col("__s.n"),
-            "__cut": F.col("__s.__cut"),
-        }
-    )
-    tagged = tagged.select(*keys, "n", "__cut", "__v")
-    exact = (
-        tagged.where(F.col("n") <= small)
-        .groupBy(*keys)
-        .agg(F.max("n").alias("n"), F.percentile("__v", list(probs)).alias("q"))
-        .where("n is not null")
-    )
+    cuts = sketch.select(*keys, "n", "__cut")
+    if keys:
+        tagged = rows.join(cuts, keys)
+    else:
+        one = cuts.select(F.struct("n", "__cut")).scalar()
+        tagged = rows.withColumn("__s", one).select("__v", "__s.n", "__s.__cut")
+    whole = F.col("n") <= small
     # per probability j: (j, null) for a value below the bracket, (j, value) inside it
     marks = F.array(
         *[
             F.when(
-                F.col("__v") <= F.col("__cut")[j + len(probs)],
+                whole | (F.col("__v") <= F.col("__cut")[j + len(probs)]),
                 F.struct(
                     F.lit(j).alias("j"),
-                    F.when(F.col("__v") >= F.col("__cut")[j], F.col("__v")).alias("x"),
+                    F.when(whole | (F.col("__v") >= F.col("__cut")[j]), F.col("__v")).alias("x"),
                 ),
             )
             for j in range(len(probs))
         ]
     )
     counts = (
-        tagged.where(F.col("n") > small)
-        .select(*keys, "n", F.explode(F.array_compact(marks)).alias("m"))
-        .groupBy(*keys, F.col("m.j").alias("j"), F.col("m.x").alias("x"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+        tagged.select(*keys, "n", F.inline(F.array_compact(marks)))
+        .groupBy(*keys, "n", "j", "x")
+        .agg(F.count(F.lit(1)).alias("c"))
     )
     w = Window.partitionBy(*_cols([*keys, "j"])).orderBy(F.col("x").asc_nulls_first())
     p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("j") + 1)
-    pos = (F.col("n") - 1) * p
-    k = F.floor(pos)
-    cum = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns(
+        {
+            "upto": F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "pos": (F.col("n") - 1) * p,
+        }
+    )
 
     def order_stat(rank: Column) -> Column:
-        hit = F.col("x").isNotNull() & (F.col("cum") > rank) & (F.col("cum") - F.col("c") <= rank)
+        hit = (
+            F.col("x").isNotNull()
+            & (F.col("upto") > rank)
+            & (F.col("upto") - F.col("c") <= rank)
+        )
         return F.max(F.when(hit, F.col("x")))
 
-    ranked = counts.withColumn("cum", cum).withColumn("k", k).withColumn("f", pos - k)
-    large = (
-        ranked.groupBy(*keys, "j", "n", "f")
+    k = F.floor("pos")
+    picked = (
+        ranked.groupBy(*keys, "n", "j", "pos")
         .agg(
-            order_stat(F.col("k")).alias("a"),
-            order_stat(F.least(F.col("k") + 1, F.col("n") - 1)).alias("b"),
+            order_stat(k).alias("a"),
+            order_stat(F.least(k + 1, F.col("n") - 1)).alias("b"),
         )
-        .select(*keys, "j", "n", F.expr("a + (b - a) * f").alias("y"))
-        .groupBy(*keys)
-        .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "y"))).alias("s"))
-        .where("n is not null")
-        .select(*keys, "n", F.col("s.y").alias("q"))
+        .select(*keys, "n", "j", F.expr("a + (b - a) * (pos - floor(pos))").alias("y"))
+    )
+    out = picked.groupBy(*keys, "n").agg(
+        F.array_sort(F.collect_list(F.struct("j", "y"))).alias("s")
     )
-    return exact.unionByName(large)
+    out = out.select(*keys, "n", F.col("s.y").alias("q"))
+    if not extra:
+        return out
+    if not keys:
+        raise ValueError("extra aggregates need at least one key")
+    return out.join(sketch.drop("n", "__cut"), keys)
 
 
 def interval_join(
