@@ -280,8 +280,9 @@ def channel_order(
         return total / F.size(pixels)
 
     gap = mean_of(0) - mean_of(2)
+    # a blue-first frame averages higher in its first channel
     status = (
-        F.when(F.abs(gap) < threshold, "ambiguous").when(gap < 0, "swap").otherwise("keep")
+        F.when(F.abs(gap) < threshold, "ambiguous").when(gap > 0, "swap").otherwise("keep")
     )
     return rows.select(*keys, gap.alias("gap"), status.alias("status"))
 

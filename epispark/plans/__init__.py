@@ -5,6 +5,7 @@ from epispark.plans.registry import REGISTRY
 from . import (  # noqa: F401
     q_windows,
     q_stats,
+    q_joins,
 )
 
 __all__ = ["REGISTRY"]

@@ -626,7 +626,7 @@ def _(spark, sf):
     u AS (SELECT label, unnest(range(63)) AS i, unnest(v[1:63]) * 128 + 128 AS x FROM m),
     g AS (SELECT label, avg(x) FILTER (i % 3 = 0) - avg(x) FILTER (i % 3 = 2) AS gap FROM u GROUP BY 1)
     SELECT label, {R("gap")} AS gap, CASE WHEN abs(gap) < 5 THEN 'ambiguous'
-      WHEN gap < 0 THEN 'swap' ELSE 'keep' END AS status FROM g""",
+      WHEN gap > 0 THEN 'swap' ELSE 'keep' END AS status FROM g""",
 )
 def _(spark, sf):
     from epispark.scale import dense_index
