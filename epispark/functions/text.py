@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT_TYPE = (
@@ -59,6 +59,25 @@ def normalise_turns(turns: Column) -> Column:
     ).otherwise(mapped)
 
 
+def words_per_conversation(turns: DataFrame, key: str, text: str) -> DataFrame:
+    """Word totals of a turn table; summed per key, so a long conversation is never collected."""
+    return turns.groupBy(key).agg(F.sum(word_count(F.col(text))).alias("words"))
+
+
+def user_first(turns: DataFrame, key: str, order: str, role: str) -> DataFrame:
+    """Turn table with mapped roles, without a leading turn that is not the user's."""
+    first = turns.groupBy(key).agg(
+        F.min(order).alias("__first"), F.min_by(role, order).alias("__role")
+    )
+    lead = (F.col(order) == F.col("__first")) & (map_role(F.col("__role")) != "user")
+    return (
+        turns.join(first, key)
+        .where(~lead)
+        .withColumn(role, map_role(F.col(role)))
+        .drop("__first", "__role")
+    )
+
+
 def expand_tags(
     text: Column, tag: str, pads: Column, start: str, pad: str, end: str
 ) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.scale import fill, interval_join
+from epispark.scale import fill, interval_join, order_buckets
 
 LEVELS = ("level_1", "level_2", "level_3")
 
@@ -70,17 +70,17 @@ def asof_backward(
     at: str,
     order: str,
     values: Sequence[str],
-    width: float,
     name: str = "match",
 ) -> DataFrame:
     """Latest right row at or before each left row, as a struct column ``name`` (null if none).
 
-    Both sides are stacked and filled forward in two levels over time buckets of ``width``; at equal
-    times right rows come first, and among them the one with the highest ``order`` is last.
+    Both sides are stacked and filled forward in two levels over time buckets; at equal times right
+    rows come first, and among them the one with the highest ``order`` is last.
     """
     both = _stack(left, right, keys, at, order, values)
     sort = [F.col(at), F.col("__side"), F.col("__o")]
-    out = fill(both, keys, sort, F.floor(F.col(at) / width), F.col("__v"), name)
+    bucket, _ = order_buckets(both, F.col(at))
+    out = fill(both, keys, sort, bucket, F.col("__v"), name)
     return out.where("__side = 1").select(*left.columns, name)
 
 
@@ -91,7 +91,6 @@ def asof_nearest(
     at: str,
     order: str,
     values: Sequence[str],
-    width: float,
     name: str = "match",
 ) -> DataFrame:
     """Right row with the smallest time distance; ties go to the earlier row, then lower order."""
@@ -102,7 +101,7 @@ def asof_nearest(
     first = first.select(*keys, at, "r.*")
     both = _stack(left, first, keys, at, order, values)
     sort = [F.col(at), F.col("__side"), F.col("__o")]
-    bucket = F.floor(F.col(at) / width)
+    bucket, _ = order_buckets(both, F.col(at))
     before = fill(both, keys, sort, bucket, F.col("__v"), "__before")
     back_sort = [F.col(at), -F.col("__side"), F.col("__o")]
     filled = fill(before, keys, back_sort, bucket, F.col("__v"), "__after", backward=True)

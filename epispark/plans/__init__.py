@@ -6,6 +6,9 @@ from . import (  # noqa: F401
     q_windows,
     q_stats,
     q_joins,
+    q_functions,
+    q_sampling,
+    q_ingest,
 )
 
 __all__ = ["REGISTRY"]

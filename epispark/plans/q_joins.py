@@ -102,9 +102,6 @@ def _(spark, sf):
     return out.select("episode", "frame", "level_1", "level_2", "level_3")
 
 
-US_DAY = 86_400_000_000
-
-
 @query(
     "jn04_asof_nearest",
     "JN-04",
@@ -119,7 +116,7 @@ def _(spark, sf):
     ev = raw_events(spark, sf)
     out = J.asof_nearest(
         ev.where("event_type = 'purchase'"), ev.where("event_type = 'view'"), ["episode"], "us",
-        "event_id", ["value"], US_DAY,
+        "event_id", ["value"],
     )
     return out.select("event_id", F.col("match.event_id").alias("hit"))
 
@@ -146,7 +143,7 @@ def _(spark, sf):
     ev = raw_events(spark, sf)
     out = J.asof_backward(
         ev.where("event_type = 'purchase'"), ev.where("event_type = 'view'"), ["episode"], "us",
-        "event_id", ["value"], US_DAY,
+        "event_id", ["value"],
     )
     return out.select("event_id", F.col("match.event_id").alias("hit"),
                       r(F.col("match.value")).alias("value"))

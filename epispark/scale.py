@@ -113,6 +113,26 @@ def dense_index(
     )
 
 
+def order_buckets(
+    df: DataFrame, position: Column, rows_per_bucket: int = 1 << 16
+) -> tuple[Column, Column]:
+    """Bucket number of a numeric position and the number of buckets.
+
+    The range is cut evenly into ``count / rows_per_bucket`` buckets, so the cut follows the size of
+    the table: one bucket for a small table, many for a large one, whatever the key distribution.
+    Minimum, maximum and count come from one partially aggregated scan of this column.
+    """
+    s = df.agg(
+        F.struct(
+            F.min(position).alias("lo"),
+            F.max(position).alias("hi"),
+            F.greatest(F.ceil(F.count(position) / rows_per_bucket), F.lit(1)).alias("n"),
+        ).alias("s")
+    ).scalar()
+    share = (position - s["lo"]) / (s["hi"] - s["lo"] + 1)
+    return F.floor(share * s["n"]), s["n"]
+
+
 def prefix_sum(
     df: DataFrame,
     keys: Sequence[str],

@@ -27,28 +27,40 @@ FRAME = T.StructType(
         T.StructField("subtask_label", T.BooleanType()),
     ]
 )
-EPISODES = T.StructType.fromDDL(
-    "episode_index long, length long, chunk int, file int, embodiment string"
-)
-MANIFEST = T.StructType.fromDDL(
-    "episode_id string, episode_idx long, source string, embodiment string, raw_path string, "
-    "expected_n_frames long, hash string"
-)
-LEDGER = T.StructType.fromDDL(
-    "source string, stage string, chunk long, item string, status string, attempts int, "
-    "last_exit int, updated_at double"
-)
-LISTING = T.StructType.fromDDL("path string, length long, modificationTime timestamp")
-FEATURES = T.StructType.fromDDL(
-    "camera string, modality string, chunk long, episode_index long, feat_idx long, "
-    "tokens array<array<float>>"
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+MANIFEST_COLUMNS = {
+    "episode_id": "string",
+    "episode_idx": "long",
+    "source": "string",
+    "embodiment": "string",
+    "raw_path": "string",
+    "expected_n_frames": "long",
+    "hash": "string",
+}
+LISTING_COLUMNS = {"path": "string", "length": "long", "modificationTime": "timestamp"}
+LEDGER = ddl(
+    {
+        "source": "string",
+        "stage": "string",
+        "chunk": "long",
+        "item": "string",
+        "status": "string",
+        "attempts": "int",
+        "last_exit": "int",
+        "updated_at": "double",
+    }
 )
-TASKS = T.StructType.fromDDL("task_index long, task string")
+TASKS = "task_index long, task string"
 MODALITY_FIELD = (
     "map<string, struct<original_key:string, start:int, end:int, absolute:boolean, "
     "rotation_type:string, dtype:string, range:array<double>>>"
 )
-MODALITY = T.StructType.fromDDL(
+MODALITY = (
     f"state {MODALITY_FIELD}, action {MODALITY_FIELD}, "
     "video map<string, struct<original_key:string>>, "
     "annotation map<string, struct<original_key:string>>"
@@ -57,7 +69,7 @@ STATISTICS_ENTRY = (
     "struct<mean:array<double>, std:array<double>, min:array<double>, max:array<double>, "
     "q01:array<double>, q99:array<double>>"
 )
-INFO = T.StructType.fromDDL(
+INFO = (
     "codebase_version string, robot_type string, fps double, total_episodes long, "
     "total_frames long, total_tasks long, chunks_size long, data_path string, video_path string, "
     "features map<string, struct<dtype:string, shape:array<long>>>"
@@ -66,5 +78,5 @@ RULE = (
     "struct<kind:string, native_dim:int, ee_dim:int, indices:map<string,string>, "
     "scale:array<double>, bounds:map<string,array<double>>, fps:double>"
 )
-REGISTRY = T.StructType.fromDDL(f"version string, embodiments map<string, {RULE}>")
+REGISTRY = f"version string, embodiments map<string, {RULE}>"
 STATUSES = ("pending", "running", "done", "failed", "requeued")

@@ -32,7 +32,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in str(err):
             raise
-        return spark.createDataFrame([], schemas.LISTING)
+        return spark.createDataFrame([], schemas.ddl(schemas.LISTING_COLUMNS))
     return files.select("path", "length", "modificationTime")
 
 
@@ -61,7 +61,7 @@ def index_manifest(rows: DataFrame, prefix: int = 16) -> DataFrame:
     """Dense 0-based ``episode_idx`` by episode id (binary string order)."""
     bucket = F.substring("episode_id", 1, prefix)
     out = dense_index(rows, [], ["episode_id"], [bucket], "episode_idx")
-    return out.select(*[f.name for f in schemas.MANIFEST])
+    return out.select(*schemas.MANIFEST_COLUMNS)
 
 
 def merge_manifests(rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -94,10 +94,8 @@ def with_default_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFram
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     """Episode metadata from parquet, else JSON lines; ordered by index, defaults filled in."""
-    try:
-        raw = spark.read.parquet(path)
-    except AnalysisException:
-        raw = spark.read.json(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    raw = spark.read.parquet(path) if found.inputFiles() else spark.read.json(path)
     return episode_defaults(raw).orderBy("episode_index")
 
 

@@ -118,7 +118,7 @@ def roll_up(
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """Fixed columns and order; an empty manifest still writes its schema."""
-    manifest.select(*[f.name for f in schemas.MANIFEST]).write.parquet(path)
+    manifest.select(*schemas.MANIFEST_COLUMNS).write.parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -194,7 +194,7 @@ def publish_changed(
     todo.select(*keys, digest).write.mode("append").parquet(state_path)
 
 
-def chunk_complete(ledger_path: str, chunk_stats: DataFrame, stage: str = "pipeline") -> None:
+def chunk_complete(ledger_path: str, chunk_stats: DataFrame, stage: str = "chunk") -> None:
     """Append one finished row per chunk."""
     rows = ledger_rows(
         chunk_stats, stage, "done", F.col("source"), F.col("chunk"), F.lit("*")
