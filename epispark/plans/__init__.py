@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     q_functions,
     q_sampling,
     q_ingest,
+    q_streaming,
 )
 
 __all__ = ["REGISTRY"]
