@@ -49,13 +49,21 @@ def inverse(x: Column, s, mode: str) -> Column:
     raise ValueError(f"mode has no inverse: {mode}")
 
 
-def forward_vector(v: Column, stats: Column, mode: str) -> Column:
+def _each(v: Column, stats: Column, width: int | None, fn) -> Column:
+    """Element-wise: unrolled into generated code for a known width, else a higher-order function."""
+    if width is None:
+        return F.zip_with(v, stats, fn)
+    at = [(F.get(v, F.lit(i)), F.get(stats, F.lit(i))) for i in range(width)]
+    return F.array(*[fn(x, s) for x, s in at])
+
+
+def forward_vector(v: Column, stats: Column, mode: str, width: int | None = None) -> Column:
     """Vector form; ``stats`` is ``array<struct<mean,std,min,max,q01,q99>>`` by dimension."""
-    return F.zip_with(v, stats, lambda x, s: forward(x, s, mode))
+    return _each(v, stats, width, lambda x, s: forward(x, s, mode))
 
 
-def inverse_vector(v: Column, stats: Column, mode: str) -> Column:
-    return F.zip_with(v, stats, lambda x, s: inverse(x, s, mode))
+def inverse_vector(v: Column, stats: Column, mode: str, width: int | None = None) -> Column:
+    return _each(v, stats, width, lambda x, s: inverse(x, s, mode))
 
 
 def _mapped(x: Column, lo: Column, hi: Column) -> Column:

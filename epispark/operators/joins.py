@@ -79,7 +79,7 @@ def asof_backward(
     """
     both = _stack(left, right, keys, at, order, values)
     sort = [F.col(at), F.col("__side"), F.col("__o")]
-    bucket, _ = order_buckets(both, F.col(at))
+    bucket = order_buckets(both, F.col(at))
     out = fill(both, keys, sort, bucket, F.col("__v"), name)
     return out.where("__side = 1").select(*left.columns, name)
 
@@ -101,7 +101,7 @@ def asof_nearest(
     first = first.select(*keys, at, "r.*")
     both = _stack(left, first, keys, at, order, values)
     sort = [F.col(at), F.col("__side"), F.col("__o")]
-    bucket, _ = order_buckets(both, F.col(at))
+    bucket = order_buckets(both, F.col(at))
     before = fill(both, keys, sort, bucket, F.col("__v"), "__before")
     back_sort = [F.col(at), -F.col("__side"), F.col("__o")]
     filled = fill(before, keys, back_sort, bucket, F.col("__v"), "__after", backward=True)

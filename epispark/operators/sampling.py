@@ -115,7 +115,10 @@ def cumulative_choices(items: DataFrame, name: str, weight: str) -> DataFrame:
 
 def pick(choices: Column, u: Column) -> Column:
     """First choice whose cumulative weight exceeds ``u`` (the last one on rounding)."""
-    hit = F.filter(choices, lambda c: c["upto"] > u)
+    # binding u as the variable of an outer transform evaluates the draw once per row
+    hit = F.transform(
+        F.array(u), lambda x: F.get(F.filter(choices, lambda c: c["upto"] > x), F.lit(0))
+    )
     return F.coalesce(F.get(hit, F.lit(0)), F.try_element_at(choices, F.lit(-1)))["name"]
 
 

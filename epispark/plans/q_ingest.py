@@ -298,9 +298,12 @@ def _(spark, sf):
 def _(spark, sf):
     out, ledger = scratch_path(spark, "frames"), scratch_path(spark, "ledger")
     frames = demo_frames(spark, sf)
-    SK.write_frames(frames.where("chunk <= 1"), out, ledger)
-    SK.write_frames(frames, out, ledger)  # chunks 0 and 1 are done and stay as they are
-    SK.write_frames(frames, out, ledger)  # nothing left to do
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("episode_index")).distinct()
+    known = li.select(
+        F.lit("lines").alias("source"), F.floor(F.col("episode_index") / 4096).alias("chunk"), "episode_index")
+    SK.write_frames(frames.where("chunk <= 1"), out, ledger, episodes=known.where("chunk <= 1"))
+    SK.write_frames(frames, out, ledger, episodes=known)  # chunks 0 and 1 are done and stay as they are
+    SK.write_frames(frames, out, ledger, episodes=known)  # nothing left to do
     back = RD.read_frames(spark, out, columns=["episode_index", "frame_index", "timestamp", "chunk"])
     return back.withColumns({"timestamp": r(F.col("timestamp")), "chunk": F.col("chunk").cast("long")})
 

@@ -13,6 +13,7 @@ from epispark.operators import stats as S
 from epispark.operators import windows as W
 from epispark.plans.q_windows import PI, POSE6, _delta_sql, u_sql, wrap_sql
 from epispark.plans.registry import R, query, r
+from epispark.session import materialise
 from epispark.plans.views import (
     EV, LF, LONG, PF, line_frames, line_vector, long_values, pose_frames, signal_frames, table,
 )
@@ -237,9 +238,9 @@ def _normalised(mode):
             "episode", "frame", F.array(*DIMS, F.lit(7.0)).alias("v")
         )
         rows = rows.withColumn("s", _stats_row(spark, sf))
-        rows = rows.withColumn("y", N.forward_vector(F.col("v"), F.col("s"), mode))
+        rows = rows.withColumn("y", N.forward_vector(F.col("v"), F.col("s"), mode, 5))
         if mode in N.INVERTIBLE:
-            rows = rows.withColumn("b", N.inverse_vector(F.col("y"), F.col("s"), mode))
+            rows = rows.withColumn("b", N.inverse_vector(F.col("y"), F.col("s"), mode, 5))
         else:
             rows = rows.withColumn("b", F.transform("y", lambda _: F.lit(None).cast("double")))
         out = rows.select("episode", "frame", F.posexplode(F.arrays_zip("y", "b")).alias("dim", "p"))
@@ -689,6 +690,8 @@ def _(spark, sf):
     rows = v.select("episode", "frame", V.clip_canonical(canon).alias("a"))
     rows = rows.where(V.canonical_ok(F.col("a")))
     rows = rows.select("episode", *[F.col("a")[i].alias(f"c{j}") for j, i in enumerate((0, 5, 6))])
+    # the canonical actions are a table of their own: written once, then read by both passes
+    rows = materialise(rows, "canonical")
     values = long_values(rows, ["c0", "c1", "c2"], "episode")
     stats = S.column_statistics(values.select("dim", "value"), ["dim"])
     y = N.forward(F.col("value"), {c: F.col(c) for c in S.STATS}, "q99")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.scale import dense_index, order_buckets
+from epispark.scale import dense_index, key_prefix, order_buckets
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,8 +25,8 @@ def signal_frames(spark: SparkSession, sf: str) -> DataFrame:
         "event_type",
         "props",
     )
-    bucket, _ = order_buckets(ev, F.col("us"))
-    return dense_index(ev, ["episode"], ["us", "event_id"], [bucket])
+    bucket = order_buckets(ev, F.col("us"))
+    return dense_index(ev, ["episode"], ["us", "event_id"], key_prefix(bucket))
 
 
 EV = """ev AS (
@@ -49,9 +49,8 @@ def line_frames(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     }
     cols = [F.col(c).cast("double" if a[0] == "x" else "long").alias(a) for a, c in names.items()]
     li = table(spark, sf, "lineitem").select(*cols, *extra)
-    bucket, n = order_buckets(li, F.col("pk"))
-    line = F.when(n > 1, F.col("ln")).otherwise(F.lit(0).cast("long"))
-    return dense_index(li, ["episode"], ["ln", "pk", "sk", "x1"], [line, bucket])
+    prefix = key_prefix(order_buckets(li, F.col("pk")), F.col("ln"))
+    return dense_index(li, ["episode"], ["ln", "pk", "sk", "x1"], prefix)
 
 
 LF = """lf AS (

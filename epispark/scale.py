@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+ROWS_PER_BUCKET = 1 << 20
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -89,8 +90,12 @@ def dense_index(
 
     ``bucket`` must be a monotone prefix of ``order`` (a day of a timestamp, a quotient of an id):
     rows are numbered inside ``(key, bucket)`` and shifted by the size of the earlier buckets,
-    which come from one pre-aggregated summary row per bucket.
+    which come from one pre-aggregated summary row per bucket. An empty ``bucket``, for tables that
+    :func:`order_buckets` found small, gives the plain one-level window.
     """
+    if not bucket:
+        w = Window.partitionBy(*_cols(keys)).orderBy(*order)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
     names = [f"__b{j}" for j in range(len(bucket))]
     rows = df.select("*", *[b.alias(n) for b, n in zip(bucket, names)])
     prior = Window.partitionBy(*_cols(keys)).orderBy(*names)
@@ -114,23 +119,26 @@ def dense_index(
 
 
 def order_buckets(
-    df: DataFrame, position: Column, rows_per_bucket: int = 1 << 16
-) -> tuple[Column, Column]:
-    """Bucket number of a numeric position and the number of buckets.
+    df: DataFrame, position: Column, rows_per_bucket: int | None = None
+) -> Column | None:
+    """Bucket number of a numeric position, or None when one bucket is enough.
 
-    The range is cut evenly into ``count / rows_per_bucket`` buckets, so the cut follows the size of
-    the table: one bucket for a small table, many for a large one, whatever the key distribution.
-    Minimum, maximum and count come from one partially aggregated scan of this column.
+    A size check like the one before a broadcast: minimum, maximum and count of this one column are
+    read first, then the range is cut evenly into ``count / rows_per_bucket`` buckets. A small table
+    gets the plain one-level plan, a large one the two-level plan, whatever the key distribution.
     """
-    s = df.agg(
-        F.struct(
-            F.min(position).alias("lo"),
-            F.max(position).alias("hi"),
-            F.greatest(F.ceil(F.count(position) / rows_per_bucket), F.lit(1)).alias("n"),
-        ).alias("s")
-    ).scalar()
-    share = (position - s["lo"]) / (s["hi"] - s["lo"] + 1)
-    return F.floor(share * s["n"]), s["n"]
+    per = rows_per_bucket or ROWS_PER_BUCKET
+    facts = df.agg(F.min(position), F.max(position), F.count(position)).first()
+    low, high, count = facts[0], facts[1], facts[2]
+    n = -(-count // per)
+    if n <= 1 or high <= low:
+        return None
+    return F.floor((position - low) / F.lit(float(high - low + 1)) * n)
+
+
+def key_prefix(bucket: Column | None, *leading: Column) -> list[Column]:
+    """Bucket list for a composite order: nothing for a small table, else leading parts first."""
+    return [] if bucket is None else [*leading, bucket]
 
 
 def prefix_sum(
@@ -143,6 +151,10 @@ def prefix_sum(
     inclusive: bool = False,
 ) -> DataFrame:
     """Running sum per key in two levels (inside a bucket, then over bucket totals)."""
+    if not bucket:
+        w = Window.partitionBy(*_cols(keys)).orderBy(*order)
+        w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
     names = [f"__b{j}" for j in range(len(bucket))]
     rows = df.select("*", value.alias("__x"), *[b.alias(n) for b, n in zip(bucket, names)])
     prior = Window.partitionBy(*_cols(keys)).orderBy(*names)
@@ -170,7 +182,7 @@ def fill(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    bucket: Column,
+    bucket: Column | None,
     value: Column,
     name: str,
     backward: bool = False,
@@ -180,6 +192,13 @@ def fill(
     Inside a bucket an ordered window answers most rows; the rest take the carry of the nearest
     earlier (later) bucket, which is a window over one row per bucket.
     """
+    if bucket is None:
+        w = Window.partitionBy(*_cols(keys)).orderBy(*order)
+        if backward:
+            found = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        else:
+            found = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn(name, found)
     rows = df.select("*", value.alias("__x"), bucket.alias("__b0"))
     inner = Window.partitionBy(*_cols([*keys, "__b0"])).orderBy(*order)
     outer = Window.partitionBy(*_cols(keys)).orderBy("__b0")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from epispark import schemas
 from epispark.operators.joins import changed, not_done
 from epispark.operators.quality import episode_rollup, long_enough
+from epispark.scale import BLOCK
 
 MAX_ROWS_PER_FILE = 2_000_000
 
@@ -57,22 +58,27 @@ def latest_status(ledger: DataFrame) -> DataFrame:
 def write_frames(
     frames: DataFrame, path: str, ledger_path: str, stage: str = "convert",
     source: str = "source", chunk: str = "chunk", episode: str = "episode_index",
+    index: str = "frame_index", episodes: DataFrame | None = None,
 ) -> None:
     """Write the chunks that have an unfinished episode, then mark their episodes.
 
     A chunk is replaced as a whole, so a rerun after a crash cannot duplicate rows; chunks whose
-    episodes are all marked are not touched. Files are clustered for episode filters.
+    episodes are all marked are not touched. Rows are distributed by chunk and frame block, so a
+    task gets a bounded share even of a very long episode, and sorted for episode filters.
+    ``episodes`` is the manifest (source, chunk, episode) if there is one.
     """
     spark = frames.sparkSession
     ledger = latest_status(read_ledger(spark, ledger_path)).where(F.col("stage") == stage)
     ledger = ledger.select(
         F.col("source").alias(source), F.col("item").cast("long").alias(episode), "status"
     )
-    episodes = frames.select(source, chunk, episode).distinct()
+    if episodes is None:
+        episodes = frames.select(source, chunk, episode).distinct()
     pending = not_done(episodes, ledger, [source, episode]).select(source, chunk).distinct()
     todo = frames.join(pending, [source, chunk], "left_semi")
-    clustered = todo.repartition(source, chunk, episode).sortWithinPartitions(
-        source, chunk, episode, "frame_index"
+    block = F.floor(F.col(index) / BLOCK)
+    clustered = todo.repartition(F.col(source), F.col(chunk), block).sortWithinPartitions(
+        source, chunk, episode, index
     )
     overwrite_chunks(clustered, path, source, chunk)
     done = episodes.join(pending, [source, chunk], "left_semi")

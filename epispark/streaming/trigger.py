@@ -80,26 +80,42 @@ class _Block:
         j = np.maximum(i - ages, 0)
         return 1.0 - self.unit[j] @ self.unit[i]
 
+    def run_known(self, age: int):
+        """Advance one known entry age; returns refresh flags and drifts of the own rows."""
+        last, cfg = self.first - age, self.cfg
+        fired, drifts = [], []
+        drift = None if self.drift is None else self.drift.tolist()
+        logit, times = self.logit.tolist(), self.t.tolist()
+        for i in self.own.tolist():
+            t = times[i]
+            if t == 0:
+                hit, d = True, float("nan")
+            else:
+                d = drift[i] if drift is not None else 1.0 - float(
+                    self.unit[i - (t - last)] @ self.unit[i]
+                )
+                hit = cfg.fires(t - last, d, logit[i])
+            if hit:
+                last = t
+            fired.append(hit)
+            drifts.append(d)
+        return np.array(fired, dtype=bool), np.array(drifts, dtype=float)
+
     def run(self, ages: np.ndarray):
-        """Advance all given entry ages together; returns exit ages, refresh counts, row facts."""
+        """Advance all given entry ages together; returns exit ages and refresh counts."""
         last = self.first - ages
         count = np.zeros(len(ages), dtype=np.int64)
-        fired = np.zeros((len(self.own), len(ages)), dtype=bool)
-        drifts = np.full((len(self.own), len(ages)), np.nan)
-        for row, i in enumerate(self.own):
+        for i in self.own:
             t = self.t[i]
             if t == 0:
                 hit = np.ones(len(ages), dtype=bool)
             else:
                 age = t - last
-                d = self.drift_at(i, age)
-                drifts[row] = d
-                hit = self.cfg.fires(age, d, self.logit[i])
-            fired[row] = hit
+                hit = self.cfg.fires(age, self.drift_at(i, age), self.logit[i])
             last = np.where(hit, t, last)
             count += hit
         exit_age = self.t[self.own[-1]] + 1 - last
-        return exit_age, count, fired, drifts
+        return exit_age, count
 
 
 def refresh_batch(
@@ -137,7 +153,7 @@ def refresh_batch(
         if len(b.own) == 0:
             return pd.DataFrame({key: [], "block": [], "exits": [], "counts": []})
         entry = ages if b.first else ages[:1]
-        exits, counts, _, _ = b.run(entry)
+        exits, counts = b.run(entry)
         return pd.DataFrame(
             {key: [pdf[key].iloc[0]], "block": [b.first // size], "exits": [exits],
              "counts": [counts]}
@@ -174,10 +190,10 @@ def refresh_batch(
         b = _Block(pdf, config, size, is_vector)
         if len(b.own) == 0:
             return pd.DataFrame({key: [], "t": [], "refreshed": [], "drift": [], "n": []})
-        _, _, fired, drifts = b.run(pdf["entry"].to_numpy()[:1])
+        fired, drifts = b.run_known(int(pdf["entry"].iloc[0]))
         return pd.DataFrame(
-            {key: pdf[key].to_numpy()[b.own], "t": b.t[b.own], "refreshed": fired[:, 0],
-             "drift": drifts[:, 0], "n": pdf["before"].iloc[0] + np.cumsum(fired[:, 0])}
+            {key: pdf[key].to_numpy()[b.own], "t": b.t[b.own], "refreshed": fired,
+             "drift": drifts, "n": pdf["before"].iloc[0] + np.cumsum(fired)}
         )
 
     known = blocks.join(entries, [key, "__block"], "left").fillna({"entry": 1, "before": 0})
