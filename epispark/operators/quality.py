@@ -37,11 +37,17 @@ def long_enough(
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """The same rows; running the plan fails when there are none."""
+    """The same rows; running the plan fails when there are none.
+
+    The check rides along as one guard row that is evaluated and filtered out.
+    """
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ok = F.when(n > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"no {what} left")))
-    flag = df.sparkSession.range(1).select(ok.alias("ok"))
-    return df.where(flag.select("ok").scalar())
+    verdict = F.when(n > 0, F.lit(False)).otherwise(
+        F.raise_error(F.lit(f"no {what} left")).cast("boolean")
+    )
+    guard = df.sparkSession.range(1, numPartitions=1).where(verdict)
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+    return df.unionByName(guard.select(*nulls))
 
 
 def with_language(first_frames: DataFrame, tasks: DataFrame, key: str) -> DataFrame:

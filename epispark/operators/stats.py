@@ -68,6 +68,17 @@ def stats_vector(stats: DataFrame, order: str, names: Sequence[str] = STATS) ->
     )
 
 
+def fit(stats: DataFrame, order: str = "dim", max_dims: int = 4096) -> Column:
+    """Statistics bound into a transform as constants, like a fitted model.
+
+    One row per vector dimension is read; more than ``max_dims`` rows are an error.
+    """
+    rows = stats.select(order, *STATS).orderBy(order).limit(max_dims + 1).collect()
+    if len(rows) > max_dims:
+        raise ValueError(f"more than {max_dims} dimensions")
+    return F.array(*[F.struct(*[F.lit(r[n]).cast("double").alias(n) for n in STATS]) for r in rows])
+
+
 def slice_statistics(stats: DataFrame, modality: DataFrame) -> DataFrame:
     """Statistics of the logical keys cut out of physical columns.
 

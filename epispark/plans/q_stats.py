@@ -123,7 +123,9 @@ def _merged(spark, sf, method):
     rows = long_lines(spark, sf)
     stats = S.column_statistics(rows, ["tag", "dataset", "dim"])
     stats = stats.withColumn("dataset", F.concat_ws("/", "tag", "dataset"))
-    weights = stats.groupBy("dataset").agg(F.max("n").alias("weight"))
+    li = table(spark, sf, "lineitem")
+    weights = li.groupBy(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("dataset")).agg(
+        F.count(F.lit(1)).alias("weight"))
     return S.merge_statistics(
         stats.drop("n"), weights, "dataset", ["dim"], method, group=["tag"]
     ).select("tag", "dim", *six(), "n_datasets")
@@ -229,7 +231,7 @@ def _stats_row(spark, sf):
             DIMS, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])],
         F.lit(7.0).alias("c"),
     )
-    return S.stats_vector(S.column_statistics(long_values(li, cols), ["dim"]), "dim").scalar()
+    return S.fit(S.column_statistics(long_values(li, cols), ["dim"]))
 
 
 def _normalised(mode):
@@ -237,10 +239,10 @@ def _normalised(mode):
         rows = line_frames(spark, sf).select(
             "episode", "frame", F.array(*DIMS, F.lit(7.0)).alias("v")
         )
-        rows = rows.withColumn("s", _stats_row(spark, sf))
-        rows = rows.withColumn("y", N.forward_vector(F.col("v"), F.col("s"), mode, 5))
+        stats = _stats_row(spark, sf)
+        rows = rows.withColumn("y", N.forward_vector(F.col("v"), stats, mode, 5))
         if mode in N.INVERTIBLE:
-            rows = rows.withColumn("b", N.inverse_vector(F.col("y"), F.col("s"), mode, 5))
+            rows = rows.withColumn("b", N.inverse_vector(F.col("y"), stats, mode, 5))
         else:
             rows = rows.withColumn("b", F.transform("y", lambda _: F.lit(None).cast("double")))
         out = rows.select("episode", "frame", F.posexplode(F.arrays_zip("y", "b")).alias("dim", "p"))
@@ -303,10 +305,10 @@ def _(spark, sf):
         (value - min) / (max - min + 1e-8) * 2 - 1, 1), -1) END''')} AS y FROM lv JOIN g USING (dim)""",
 )
 def _(spark, sf):
-    rows = line_frames(spark, sf).withColumn("s", _stats_row(spark, sf))
-    v = F.array(*DIMS, F.lit(7.0))
-    y = F.zip_with(v, F.col("s"), lambda x, s: N.state_normalise(x, s["min"], s["max"]))
-    out = rows.select("episode", "frame", F.posexplode(y).alias("dim", "y"))
+    stats = _stats_row(spark, sf)
+    cols = [*[F.col(d) for d in DIMS], F.lit(7.0)]
+    y = F.array(*[N.state_normalise(x, stats[i]["min"], stats[i]["max"]) for i, x in enumerate(cols)])
+    out = line_frames(spark, sf).select("episode", "frame", F.posexplode(y).alias("dim", "y"))
     return out.withColumn("y", r(F.col("y")))
 
 

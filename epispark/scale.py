@@ -232,7 +232,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: Column,
     probs: Sequence[float],
-    small: int = 100_000,
+    small: int = 20_000,
     accuracy: int = 10_000,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
@@ -257,30 +257,54 @@ def exact_quantiles(
         F.percentile_approx("__v", lows + highs, accuracy).alias("__cut"),
         *extra,
     )
-    cuts = sketch.select(*keys, "n", "__cut")
-    if keys:
-        tagged = rows.join(cuts, keys)
-    else:
-        one = cuts.select(F.struct("n", "__cut")).scalar()
-        tagged = rows.withColumn("__s", one).select("__v", "__s.n", "__s.__cut")
-    whole = F.col("n") <= small
-    # per probability j: (j, null) for a value below the bracket, (j, value) inside it
-    marks = F.array(
-        *[
+    m = len(probs)
+    bounds = sketch.select(
+        *keys,
+        "n",
+        *[F.col("__cut")[j].alias(f"__lo{j}") for j in range(m)],
+        *[F.col("__cut")[j + m].alias(f"__hi{j}") for j in range(m)],
+    )
+
+    def with_bounds(part: DataFrame) -> DataFrame:
+        if keys:
+            return part.join(bounds, keys)
+        names = bounds.columns
+        row = part.withColumn("__s", bounds.select(F.struct(*names)).scalar())
+        return row.select(*part.columns, "__s.*")
+
+    v, whole = F.col("__v"), F.col("n") <= small
+    inside = whole
+    for j in range(m):
+        inside = inside | ((v >= F.col(f"__lo{j}")) & (v <= F.col(f"__hi{j}")))
+    below = [
+        F.count_if(~whole & (v < F.col(f"__lo{j}"))).alias(f"__below{j}") for j in range(m)
+    ]
+    # one hash aggregation: a group per bracketed value, all other values share the null group
+    seen = (
+        with_bounds(rows)
+        .groupBy(*keys, F.when(inside, v).alias("x"))
+        .agg(F.count(F.lit(1)).alias("__c"), *below)
+    )
+    x = F.col("x")
+    marks = []
+    for j in range(m):
+        hit = x.isNotNull() & (whole | ((x >= F.col(f"__lo{j}")) & (x <= F.col(f"__hi{j}"))))
+        marks.append(F.when(hit, F.struct(F.lit(j).alias("j"), x.alias("x"), F.col("__c").alias("c"))))
+        marks.append(
             F.when(
-                whole | (F.col("__v") <= F.col("__cut")[j + len(probs)]),
+                F.col(f"__below{j}") > 0,
                 F.struct(
                     F.lit(j).alias("j"),
-                    F.when(whole | (F.col("__v") >= F.col("__cut")[j]), F.col("__v")).alias("x"),
+                    F.lit(None).cast("double").alias("x"),
+                    F.col(f"__below{j}").alias("c"),
                 ),
             )
-            for j in range(len(probs))
-        ]
-    )
+        )
     counts = (
-        tagged.select(*keys, "n", F.inline(F.array_compact(marks)))
+        with_bounds(seen)
+        .select(*keys, "n", F.inline(F.array_compact(F.array(*marks))))
         .groupBy(*keys, "n", "j", "x")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.sum("c").alias("c"))
     )
     w = Window.partitionBy(*_cols([*keys, "j"])).orderBy(F.col("x").asc_nulls_first())
     p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("j") + 1)

@@ -75,6 +75,8 @@ def write_frames(
     if episodes is None:
         episodes = frames.select(source, chunk, episode).distinct()
     pending = not_done(episodes, ledger, [source, episode]).select(source, chunk).distinct()
+    if pending.isEmpty():
+        return
     todo = frames.join(pending, [source, chunk], "left_semi")
     block = F.floor(F.col(index) / BLOCK)
     clustered = todo.repartition(F.col(source), F.col(chunk), block).sortWithinPartitions(
