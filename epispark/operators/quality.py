@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from epispark.functions.ids import chunk_of
 from epispark.functions.vectors import canonical_ok
-from epispark.scale import dense_index
+from epispark.scale import global_rank
 
 MAX_FILES_PER_CHUNK = 1000
 MAX_BYTES_PER_FILE = 5 * 1024**3
@@ -161,13 +161,13 @@ def listing_hash(
 
 
 def plan_chunks(
-    listing: DataFrame, root: str, path: str, max_files: int = MAX_FILES_PER_CHUNK,
-    bucket: Column | None = None,
+    listing: DataFrame, root: str, path: str, max_files: int = MAX_FILES_PER_CHUNK
 ) -> DataFrame:
     """Chunk number of each file: ``max_files`` consecutive files in path order per root."""
-    prefix = F.substring(path, 1, 24) if bucket is None else bucket
-    out = dense_index(listing, [root], [path], [prefix], "__i")
-    return out.withColumn("chunk_id", F.floor(F.col("__i") / max_files)).drop("__i")
+    ranked = global_rank(listing, [root, path], "__i")
+    first = ranked.groupBy(root).agg(F.min("__i").alias("__first"))
+    chunk = F.floor((F.col("__i") - F.col("__first")) / max_files)
+    return ranked.join(first, root).withColumn("chunk_id", chunk).drop("__i", "__first")
 
 
 def chunk_sizes(planned: DataFrame, root: str, size: str) -> DataFrame:

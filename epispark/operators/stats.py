@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.ids import hash_uniform
 from epispark.operators.windows import pose_deltas
-from epispark.scale import exact_quantiles
+from epispark.scale import exact_quantiles, explode_range
 
 STATS = ("mean", "std", "min", "max", "q01", "q99")
 # columns that are never summarised
@@ -175,10 +175,8 @@ def sample_window_starts(
 
     The per-episode rank filter is pushed below the shuffle by Spark's window group limit.
     """
-    starts = episodes.where(F.col(length) >= window).select(
-        *keys,
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col(length) - window)).alias("start"),
-    )
+    base = episodes.select(*keys, length)
+    starts = explode_range(base, F.lit(0), F.col(length) - window + 1, "start")
     draw = hash_uniform(F.lit(seed), *[F.col(c) for c in keys], F.col("start"))
     w = Window.partitionBy(*keys).orderBy("draw", "start")
     return (

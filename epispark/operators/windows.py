@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from epispark.functions import rotation as rot
 from epispark.functions.ids import hash_uniform
 from epispark.functions.vectors import wrap_angle
-from epispark.scale import BLOCK, Halo, dense_index, prefix_sum
+from epispark.scale import BLOCK, Halo, explode_range, global_rank, prefix_sum
 
 
 def finite_difference(
@@ -123,17 +123,10 @@ def sample_index(
     stride = max(fps_action // fps_features, 1)
     lo = (history - 1) * stride
     hi = F.col(length) - max(action_block, future * stride)
-    picks = (
-        episodes.select(
-            key,
-            length,
-            F.explode(
-                F.sequence(F.lit(lo).cast("long"), F.greatest(F.lit(lo), hi - 1), F.lit(stride))
-            ).alias("t"),
-        )
-        .where(F.col("t") < F.col(length))
-        .select(key, "t")
-    )
+    base = episodes.select(key, length)
+    end = F.greatest(F.lit(lo + 1), hi)
+    picks = explode_range(base, F.lit(lo), end, "t", stride)
+    picks = picks.where(F.col("t") < F.col(length)).select(key, "t")
     any_pick = picks.agg(F.count(F.lit(1)).alias("n")).scalar()
     fallback = episodes.where(any_pick == 0).select(key, F.lit(0).cast("long").alias("t"))
     return picks.unionByName(fallback)
@@ -141,12 +134,8 @@ def sample_index(
 
 def every_interval(episodes: DataFrame, key: str, length: str, interval: int) -> DataFrame:
     """Frame numbers 0, interval, 2*interval, ... of every non-empty episode."""
-    return episodes.where(F.col(length) > 0).select(
-        key,
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), F.col(length).cast("long") - 1, F.lit(interval))
-        ).alias("t"),
-    )
+    base = episodes.select(key, length)
+    return explode_range(base, F.lit(0), F.col(length), "t", interval).select(key, "t")
 
 
 def pose_deltas(
@@ -429,9 +418,9 @@ def pick_stale_snapshot(
     return rows.withColumn(name, F.when(coin < p, stale).otherwise(live)).drop("__s")
 
 
-def global_index(df: DataFrame, order: Sequence[str], bucket: Column, name: str) -> DataFrame:
-    """Dense 0-based index over the whole table: numbered per bucket, shifted by bucket sizes."""
-    return dense_index(df, [], order, [bucket], name)
+def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Dense 0-based index over the whole table in the order of unique columns."""
+    return global_rank(df, order, name)
 
 
 def start_offsets(

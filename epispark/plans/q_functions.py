@@ -13,7 +13,7 @@ from epispark.operators import quality as Q
 from epispark.plans.q_windows import PI, u_sql, wrap_sql
 from epispark.plans.registry import R, query, r
 from epispark.plans.views import EV, LF, line_frames, signal_frames, table
-from epispark.scale import dense_index
+from epispark.scale import global_rank
 from epispark.streaming.trigger import should_refresh
 
 
@@ -467,9 +467,7 @@ def _(spark, sf):
     # vectors have one or two entries, depending on the frame; a batch is 64 consecutive rows
     v = F.when(F.col("frame") % 2 == 0, F.array("x0")).otherwise(F.array(F.col("x0"), F.lit(0.0)))
     rows = line_frames(spark, sf).select("episode", "frame", v.alias("v"))
-    # the row number over the whole table is cut by episode range and, inside, by episode and block
-    wide = F.floor(F.col("episode") / 65536)
-    rows = dense_index(rows, [], ["episode", "frame"], [wide, F.col("episode"), F.floor(F.col("frame") / 4096)], "i")
+    rows = global_rank(rows, ["episode", "frame"], "i")
     rows = Q.assign_batches(rows.withColumn("o", F.struct("episode", "frame")), "i", 64)
     out = Q.collate_vectors(rows, "batch", "o", "v")
     total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x[0])

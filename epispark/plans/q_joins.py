@@ -392,7 +392,7 @@ def _(spark, sf):
 def _(spark, sf):
     has = orders(spark, sf).select(F.col("o_custkey").alias("c_custkey"))
     cust = table(spark, sf, "customer").select("c_custkey").join(has, "c_custkey", "left_semi")
-    pos = dense_index(cust, [], ["c_custkey"], [F.floor(F.col("c_custkey") / 65536)], "position")
+    pos = W.global_index(cust, ["c_custkey"], "position")
     return J.unique_position(pos, ["c_custkey"], "position")
 
 
@@ -781,7 +781,7 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars")
     docs = docs.withColumn("path", F.format_string("%s/%012d", "source", "doc_id"))
-    planned = Q.plan_chunks(docs, "lang", "path", 40, bucket=F.col("source"))
+    planned = Q.plan_chunks(docs, "lang", "path", 40)
     return Q.chunk_sizes(planned, "lang", "n_chars")
 
 

@@ -166,7 +166,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cust = table(spark, sf, "customer").select("c_custkey")
-    s = global_index(cust, ["c_custkey"], F.floor(F.col("c_custkey") / 65536), "i")
+    s = global_index(cust, ["c_custkey"], "i")
     return S.hold_out_with_replacement(s, "i", 5000, 42).select("draw", "c_custkey")
 
 
@@ -178,7 +178,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
-    s = global_index(o, ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536), "i")
+    s = global_index(o, ["o_orderkey"], "i")
     n = o.agg(F.count(F.lit(1)).alias("n")).scalar()
     mine = S.round_robin(s, "i", 2, 6)
     return mine.select("o_orderkey", S.step_for_draw(F.col("i"), F.lit(2), F.lit(6), n).alias("wrapped"))

@@ -405,12 +405,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").where("lang <> 'fr'").select("doc_id", "source")
-    from epispark.scale import dense_index
-
-    out = dense_index(
-        docs, [], ["source", "doc_id"], [F.col("source"), F.floor(F.col("doc_id") / 65536)],
-        "episode_idx",
-    )
+    out = W.global_index(docs, ["source", "doc_id"], "episode_idx")
     return out.select("doc_id", "episode_idx")
 
 

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epispark.session import materialise
+
 BLOCK = 4096
 ROWS_PER_BUCKET = 1 << 20
 
@@ -141,6 +143,56 @@ def key_prefix(bucket: Column | None, *leading: Column) -> list[Column]:
     return [] if bucket is None else [*leading, bucket]
 
 
+def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """0-based position of every row in the order of unique columns, whatever their distribution.
+
+    A small table is ranked directly. A large one is range-partitioned and sorted by Spark and
+    written once; positions inside a partition are shifted by the sizes of the earlier partitions
+    (one summary row each). The written table pins the partitioning, so retries cannot change it.
+    """
+    if df.limit(ROWS_PER_BUCKET + 1).count() <= ROWS_PER_BUCKET:
+        return df.withColumn(
+            name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
+        )
+    tagged = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("__m", F.monotonically_increasing_id())
+    )
+    stored = materialise(tagged, "ranked").withColumn("__p", F.shiftright("__m", 33))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        stored.groupBy("__p")
+        .agg(F.count(F.lit(1)).alias("__c"), F.min("__m").alias("__first"))
+        .select(
+            "__p", "__first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__shift")
+        )
+    )
+    return stored.join(shifts, "__p").select(
+        *df.columns, (F.col("__m") - F.col("__first") + F.col("__shift")).alias(name)
+    )
+
+
+def explode_range(
+    df: DataFrame, lo: Column, hi: Column, name: str, step: int = 1, size: int = BLOCK
+) -> DataFrame:
+    """One row per number ``lo, lo + step, ...`` below ``hi``.
+
+    Ranges are first cut into blocks of ``size`` numbers and the (few) blocks are spread over the
+    cluster, so a very long range neither builds one huge array nor stays in one task.
+    """
+    lo, hi = lo.cast("long"), hi.cast("long")
+    span = size * step
+    blocks = df.where(lo < hi).select(
+        "*", F.explode(F.sequence(lo, hi - 1, F.lit(span).cast("long"))).alias("__from"),
+        hi.alias("__hi"),
+    )
+    blocks = blocks.repartition(*df.columns, "__from")
+    last = F.least(F.col("__from") + (span - 1), F.col("__hi") - 1)
+    numbers = F.sequence("__from", last, F.lit(step).cast("long"))
+    return blocks.select(*df.columns, F.explode(numbers).alias(name))
+
+
 def prefix_sum(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from epispark import schemas
 from epispark.functions.ids import short_sha256
-from epispark.scale import dense_index
+from epispark.scale import global_rank
 
 # fixed values: file patterns of the raw episode formats, one file per episode
 RAW_GLOBS = {"table": "*.parquet", "hierarchical": "*.h5", "records": "*.tfrecord*"}
@@ -44,8 +44,6 @@ def relative_path(path: Column, root: str) -> Column:
 
 def manifest(listing: DataFrame, source: str, embodiment: str, rel: Column) -> DataFrame:
     """One row per raw episode with a dense index in id order; id is ``source::relative path``.
-
-    The index is built per path prefix and shifted, so no task sorts the whole listing.
     """
     rows = listing.select(
         F.concat(F.lit(source + "::"), rel).alias("episode_id"),
@@ -57,11 +55,9 @@ def manifest(listing: DataFrame, source: str, embodiment: str, rel: Column) -> D
     return index_manifest(rows)
 
 
-def index_manifest(rows: DataFrame, prefix: int = 16) -> DataFrame:
+def index_manifest(rows: DataFrame) -> DataFrame:
     """Dense 0-based ``episode_idx`` by episode id (binary string order)."""
-    bucket = F.substring("episode_id", 1, prefix)
-    out = dense_index(rows, [], ["episode_id"], [bucket], "episode_idx")
-    return out.select(*schemas.MANIFEST_COLUMNS)
+    return global_rank(rows, ["episode_id"], "episode_idx").select(*schemas.MANIFEST_COLUMNS)
 
 
 def merge_manifests(rows: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -54,7 +54,9 @@ def ingest(
             .partitionBy("batch")
             .parquet(out)
         )
-        done = frames.select(source, episode).distinct()
+        # the marks come from what was written, not from a second conversion
+        written = batch.sparkSession.read.parquet(out).where(F.col("batch") == number)
+        done = written.select(source, episode).distinct()
         rows = ledger_rows(done, "ingest", "done", F.col(source), F.lit(number), F.col(episode))
         (
             rows.withColumn("batch", F.lit(number))

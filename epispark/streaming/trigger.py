@@ -218,7 +218,9 @@ class TriggerProcessor(StatefulProcessor):
 
     State: frame of the last refresh, refresh count, committed vector, and the last ``history``
     observations, which are appended after the decision. Frame 0 starts from a clean state. Rows of
-    one micro-batch are ordered here; across micro-batches input must arrive in frame order.
+    one micro-batch are ordered here, so bound the micro-batch (``files_per_trigger``); across
+    micro-batches input must arrive in frame order. History of any length is replayed in batch by
+    :func:`refresh_batch`, which splits long episodes.
     """
 
     def __init__(self, config: TriggerConfig = TriggerConfig(), history: int = 16,

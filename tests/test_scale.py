@@ -44,6 +44,20 @@ def test_order_buckets_cuts_large_tables_only(hot):
     assert len(sizes) > 20 and max(sizes) < 1200
 
 
+def test_global_rank_of_a_large_table(hot, monkeypatch):
+    monkeypatch.setattr(scale, "ROWS_PER_BUCKET", 100)
+    got = scale.global_rank(hot, ["episode", "frame"], "i").collect()
+    want = sorted((r["episode"], r["frame"]) for r in got)
+    assert [(r["episode"], r["frame"]) for r in sorted(got, key=lambda r: r["i"])] == want
+    assert sorted(r["i"] for r in got) == list(range(3000))
+
+
+def test_explode_range(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 25)], "k int, n int")
+    got = scale.explode_range(df, F.lit(1), F.col("n"), "t", step=3, size=2)
+    assert sorted((r["k"], r["t"]) for r in got.collect()) == [(3, t) for t in range(1, 25, 3)]
+
+
 def test_prefix_sum_two_level(hot):
     got = prefix_sum(hot, ["episode"], ["frame"], [F.floor(F.col("frame") / 64)], F.col("frame"), "s")
     for rows in series(got, "s").values():
