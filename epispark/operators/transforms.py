@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from epispark.functions import augment, normalise
 from epispark.functions import vectors as V
 from epispark.functions.rotation import convert_rotation
-from epispark.operators.windows import gather_offsets
+from epispark.operators.joins import attach_rule
+from epispark.operators.windows import finite_difference, gather_offsets
 
 
 class Transform:
@@ -183,14 +184,77 @@ class StateAction(Transform):
         return Compose(self.parts).unapply(df)
 
 
-# named rules from native action vectors to canonical ones; a user adds more
+# rules from the selected action and its finite difference to the canonical action; users add more
 RULES = {
-    "ee_velocity_passthrough": lambda v, indices, scale: V.select_and_scale(v, indices, scale),
-    "joint_position_to_ee_finite_diff": lambda v, indices, scale: V.first_seven(v, scale),
-    "joint_delta_to_ee_finite_diff": lambda v, indices, scale: V.first_seven(v, scale),
+    "ee_velocity_passthrough": lambda picked, diff, first, scale: _scaled(picked, scale),
+    "ee_pose_finite_diff": lambda picked, diff, first, scale: V.clip_canonical(
+        _scaled(diff, scale)
+    ),
+    "joint_position_to_ee_finite_diff": lambda picked, diff, first, scale: V.clip_canonical(
+        _scaled(first, scale)
+    ),
+    "joint_delta_to_ee_finite_diff": lambda picked, diff, first, scale: V.clip_canonical(
+        _scaled(first, scale)
+    ),
 }
 
 
+def _scaled(v: Column, scale: Column) -> Column:
+    at = range(V.CANONICAL_DIM)
+    return F.array(*[F.get(v, F.lit(i)) * F.get(scale, F.lit(i)) for i in at])
+
+
+def rule_arrays(rules: DataFrame) -> DataFrame:
+    """Registry rows with their index maps as one array of seven positions, defaults filled in."""
+
+    def ints(*names: str) -> Column:
+        return F.coalesce(*[F.from_json(F.col("indices")[n], "array<int>") for n in names])
+
+    order = F.concat(
+        ints("linear_velocity_xyz", "ee_position_xyz"),
+        ints("angular_velocity_xyz", "ee_rotvec_xyz"),
+        F.array(F.col("indices")["gripper"].try_cast("int")),
+    )
+    plain = F.sequence(F.lit(0), F.lit(V.CANONICAL_DIM - 1))
+    return rules.select(
+        "embodiment",
+        "kind",
+        "native_dim",
+        F.coalesce(order, plain).alias("order"),
+        F.coalesce("scale", F.array_repeat(F.lit(1.0), V.CANONICAL_DIM)).alias("scale"),
+        F.coalesce("fps", F.lit(10.0)).alias("fps"),
+    )
+
+
+def canonicalise(
+    frames: DataFrame, rules: DataFrame, keys: Sequence[str], index: str, action: str,
+    name: str = "action_canonical_ee",
+) -> DataFrame:
+    """Canonical 7-dim action of every frame by its embodiment's rule.
+
+    ``rules`` comes from :func:`rule_arrays`. An unknown embodiment or kind, or fewer dims than the
+    rule states, is an error. One window pass serves all rules.
+    """
+    rows = attach_rule(frames, rules)
+    width = F.when(F.size(action) >= F.col("native_dim"), F.col(action)).otherwise(
+        F.raise_error(F.lit("fewer action dims than the rule states"))
+    )
+    seven = range(V.CANONICAL_DIM)
+    picks = {f"__x{i}": F.get(action, F.get("order", F.lit(i))).cast("double") for i in seven}
+    rows = rows.withColumn(action, width).withColumns(picks)
+    names = list(picks)
+    rows = finite_difference(rows, keys, index, names[:3], names[3:6], 1.0, prefix="__v")
+    picked = F.array(*names)
+    diff = F.array(*[F.col(f"__v{c}") * F.col("fps") for c in names[:6]], names[6])
+    out = F.raise_error(F.concat(F.lit("unknown rule "), "kind")).cast("array<double>")
+    for kind, rule in RULES.items():
+        out = F.when(
+            F.col("kind") == kind, rule(picked, diff, F.col(action), F.col("scale"))
+        ).otherwise(out)
+    extra = [c for c in rules.columns if c != "embodiment"]
+    return rows.withColumn(name, out).drop(*names, *[f"__v{c}" for c in names[:6]], *extra)
+
+
 @dataclass(frozen=True)
 class WindowConfig:
     """Which columns to gather at which offsets around every ``interval``-th frame.

@@ -6,13 +6,10 @@ from pyspark.sql import functions as F
 
 from epispark.functions.ids import short_sha256
 from epispark.operators import hooks as H
-from epispark.operators.transforms import (
-    Compose, Concat, Normalise, Rotate, SinCos, StateAction, WindowConfig,
-)
-from epispark.plans.q_stats import DIMS, FORWARD, GLOBAL, _stats_row
-from epispark.plans.q_windows import u_sql
+from epispark.operators.transforms import Compose, Concat, Normalise, StateAction, WindowConfig
+from epispark.plans.q_stats import FORWARD, GLOBAL, _stats_row
 from epispark.plans.registry import R, query, r
-from epispark.plans.views import EV, LF, LONG, line_frames, long_values, signal_frames, table
+from epispark.plans.views import EV, LF, LONG, PF, line_frames, pose_frames, signal_frames, table
 from epispark.session import scratch_path
 from epispark.streaming import flows as FL
 from epispark.streaming import trigger as TR
@@ -272,3 +269,32 @@ def _(spark, sf):
         for k in ("history", "action")])
     out = out.select("episode", "frame", F.inline(items))
     return out.withColumn("value", r(F.col("value")))
+
+
+@query(
+    "udf03_canonicalise",
+    "UDF-03 JN-12 FN-12 SRC-20 WIN-01 FN-10",
+    f"""WITH {PF}, d AS (SELECT *, coalesce(lead(px) OVER w - px, px - lag(px) OVER w, 0) * 20 AS vx
+      FROM pf WINDOW w AS (PARTITION BY episode ORDER BY frame))
+    SELECT episode, frame, {R("CASE episode % 3 WHEN 0 THEN 0.5 * py WHEN 1 THEN least(greatest(vx, -2), 2) ELSE least(py, 2) END")} AS c0,
+      {R("CASE episode % 3 WHEN 0 THEN grip WHEN 1 THEN least(grip, 1) ELSE 1 END")} AS c6 FROM d""",
+)
+def _(spark, sf):
+    from epispark.operators.transforms import canonicalise, rule_arrays
+    from epispark.sources.readers import registry_rules
+
+    doc = (
+        '{"version":"1","embodiments":{'
+        '"arm0":{"kind":"ee_velocity_passthrough","native_dim":7,"scale":[0.5,1,1,1,1,1,1],"indices":'
+        '{"linear_velocity_xyz":[0,1,2],"angular_velocity_xyz":[3,4,5],"gripper":6}},'
+        '"arm1":{"kind":"ee_pose_finite_diff","native_dim":7,"fps":20,"indices":'
+        '{"ee_position_xyz":[1,0,2],"ee_rotvec_xyz":[3,4,5],"gripper":6}},'
+        '"arm2":{"kind":"joint_delta_to_ee_finite_diff","native_dim":7,"scale":[1,1,1,1,1,1,100],"indices":{}}}}'
+    )
+    text = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(doc).alias("doc"))
+    rules = rule_arrays(registry_rules(text, "doc"))
+    rows = pose_frames(spark, sf).select(
+        "episode", "frame", F.concat(F.lit("arm"), F.col("episode") % 3).alias("embodiment"),
+        F.array("py", "px", "pz", "pr", "pp", "pw", F.when(F.col("episode") % 3 == 2, 1.0).otherwise(F.col("grip"))).alias("a"))
+    out = canonicalise(rows, rules, ["episode"], "frame", "a", "c")
+    return out.select("episode", "frame", r(F.col("c")[0]).alias("c0"), r(F.col("c")[6]).alias("c6"))

@@ -17,6 +17,14 @@ from epispark.operators.joins import promote_segments, resolve_instruction
 from epispark.operators.windows import boundary_flag, finite_difference
 from epispark.sources.readers import list_files, manifest, relative_path
 
+# fixed values: embodiment name and frame rate of each source
+EMBODIMENTS = {
+    "arm_velocity": ("droid_franka", 15),
+    "delta_pose": ("bridge_widowx", 5),
+    "bimanual_segments": ("agibot_g1", 30),
+    "joint_position": ("robomind_tien_kung", 25),
+}
+
 CANON = ["c0", "c1", "c2", "c3", "c4", "c5"]
 
 
@@ -33,10 +41,16 @@ class SourceAdapter(ABC):
     """List raw episodes and convert raw rows to frames."""
 
     name: str
-    embodiment: str
-    fps: float
     pattern: str
 
+    @property
+    def embodiment(self) -> str:
+        return EMBODIMENTS[self.name][0]
+
+    @property
+    def fps(self) -> float:
+        return EMBODIMENTS[self.name][1]
+
     def list(self, spark: SparkSession, root: str) -> DataFrame:
         files = list_files(spark, root, self.pattern)
         return manifest(files, self.name, self.embodiment, relative_path(F.col("path"), root))
@@ -70,7 +84,7 @@ class ArmVelocityAdapter(SourceAdapter):
     language_instruction binary>>``; ``clean`` maps episode ids to cleaned instructions.
     """
 
-    name, embodiment, fps, pattern = "arm_velocity", "droid_franka", 15, "*.tfrecord*"
+    name, pattern = "arm_velocity", "*.tfrecord*"
 
     def __init__(self, clean: DataFrame | None = None):
         self.clean = clean
@@ -123,7 +137,7 @@ class DeltaPoseAdapter(SourceAdapter):
     language_instruction string, natural_language_instruction string>>``.
     """
 
-    name, embodiment, fps, pattern = "delta_pose", "bridge_widowx", 5, "*.tfrecord*"
+    name, pattern = "delta_pose", "*.tfrecord*"
 
     def to_frames(self, raw: DataFrame) -> DataFrame:
         first = F.get("steps", F.lit(0))
@@ -175,7 +189,7 @@ class BimanualSegmentAdapter(SourceAdapter):
     segments (JSON text) are read from frame 0.
     """
 
-    name, embodiment, fps, pattern = "bimanual_segments", "agibot_g1", 30, "*.parquet"
+    name, pattern = "bimanual_segments", "*.parquet"
     native_dim = 24
 
     def to_frames(self, raw: DataFrame) -> DataFrame:
@@ -229,7 +243,7 @@ class JointPositionAdapter(SourceAdapter):
     from the id's hash.
     """
 
-    name, embodiment, fps, pattern = "joint_position", "robomind_tien_kung", 25, "*.h5"
+    name, pattern = "joint_position", "*.h5"
 
     def to_frames(self, raw: DataFrame) -> DataFrame:
         from epispark.functions.ids import id_from_hash
