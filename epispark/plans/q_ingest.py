@@ -35,7 +35,16 @@ def demo_frames(spark, sf):
 # ---- listings -----------------------------------------------------------------------------
 
 
-@query("src01_list_tables", "SRC-01 SRT-01")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@query(
+    "src01_list_tables",
+    "SRC-01 SRT-01",
+    f"""WITH t AS (SELECT 'tables::' || unnest(string_split('{TABLES}', ' ')) || '.parquet' AS episode_id)
+    SELECT episode_id, row_number() OVER (ORDER BY episode_id) - 1 AS episode_idx,
+      substr(sha256(episode_id), 1, 12) AS hash FROM t""",
+)
 def _(spark, sf):
     files = RD.list_files(spark, sf, "*.parquet")
     m = RD.manifest(files, "tables", "none", RD.relative_path(F.col("path"), sf))
@@ -185,18 +194,8 @@ def _(spark, sf):
         '{"state":{"arm":{"start":0,"end":%d}},"action":{"gripper":{"original_key":"act","start":%d,"end":%d,"absolute":false}}}',
         F.col("p_size") % 7, F.col("p_size") % 7, F.col("p_size") % 7 + 1)
     p = table(spark, sf, "part").select("p_partkey", doc.alias("doc"))
-    # many documents at once: the part key rides along as the document's identity
-    from epispark import schemas
-
-    m = F.from_json("doc", schemas.MODALITY)
-    both = None
-    for g, default in (("state", "observation.state"), ("action", "action")):
-        f = p.select("p_partkey", F.explode(m[g]).alias("key", "f")).select(
-            "p_partkey", F.lit(g).alias("grp"), "key",
-            F.coalesce("f.original_key", F.lit(default)).alias("original_key"), "f.start", "f.end",
-            F.coalesce("f.absolute", F.lit(True)).alias("absolute"))
-        both = f if both is None else both.unionByName(f)
-    return both
+    fields = RD.modality_fields(p, "doc", "p_partkey")
+    return fields.select("p_partkey", F.col("group").alias("grp"), "key", "original_key", "start", "end", "absolute")
 
 
 @query(

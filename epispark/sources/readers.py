@@ -147,17 +147,19 @@ def shift_timestamps(frames: DataFrame, episodes: DataFrame) -> DataFrame:
     )
 
 
-def modality_fields(text: DataFrame, column: str) -> DataFrame:
+def modality_fields(text: DataFrame, column: str, *keep: str) -> DataFrame:
     """Modality JSON text to one row per field: ``group, key, original_key, start, end, ...``.
 
-    ``original_key`` defaults to the observation state or the action column.
+    ``original_key`` defaults to the observation state or the action column; ``keep`` names columns
+    that identify the document when there are several.
     """
     m = F.from_json(column, schemas.MODALITY)
     parts = []
     for group, default in (("state", "observation.state"), ("action", "action")):
-        fields = text.select(F.explode(m[group]).alias("key", "f"))
+        fields = text.select(*keep, F.explode(m[group]).alias("key", "f"))
         parts.append(
             fields.select(
+                *keep,
                 F.lit(group).alias("group"),
                 "key",
                 F.coalesce("f.original_key", F.lit(default)).alias("original_key"),
