@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epispark.functions.ids import hash_uniform
-from epispark.scale import interval_join, prefix_sum
+from epispark.scale import interval_join, prefix_sum, small_side
 
 
 def normalise_weights(mixture: DataFrame, weight: str = "weight") -> DataFrame:
@@ -70,9 +70,9 @@ def trajectory_weights(
     """
     w = F.greatest(F.col(length).cast("double"), F.lit(1e-8)) if balance else F.lit(1.0)
     rows = episodes.withColumn("__w", w)
-    totals = rows.groupBy(dataset).agg(F.sum("__w").alias("__t"))
+    totals = small_side(rows.groupBy(dataset).agg(F.sum("__w").alias("__t")), "totals")
     return (
-        rows.join(totals, dataset)
+        rows.join(totals, dataset, "left")
         .withColumn("trajectory_weight", F.col("__w") / F.col("__t"))
         .drop("__w", "__t")
     )
@@ -159,7 +159,7 @@ def draw_steps(
     bucket = F.floor(F.col(episode) / 4096)
     ranges = prefix_sum(episodes, [dataset], [episode], [bucket], F.col(length), "start")
     ranges = ranges.withColumn("end", F.col("start") + F.col(length))
-    totals = ranges.groupBy(dataset).agg(F.sum(length).alias("__t"))
+    totals = small_side(episodes.groupBy(dataset).agg(F.sum(length).alias("__t")), "totals")
     u = hash_uniform(F.lit(seed), F.col(slot), F.lit("step"))
     points = slots.join(totals, dataset).withColumn("at", F.floor(u * F.col("__t")))
     hit = interval_join(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.ids import hash_uniform
 from epispark.operators.windows import pose_deltas
-from epispark.scale import exact_quantiles, explode_range
+from epispark.scale import exact_quantiles, explode_range, small_side
 
 STATS = ("mean", "std", "min", "max", "q01", "q99")
 # columns that are never summarised
@@ -233,6 +233,7 @@ def percentile_clip_normalise(
     q = exact_quantiles(df.where(F.col(value) > 0), keys, F.col(value), [low, high]).select(
         *keys, F.col("q")[0].alias("__lo"), F.col("q")[1].alias("__hi")
     )
+    q = small_side(q, "clip")
     x = (F.col(value) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-3))
     return (
         df.join(q, list(keys), "left")

@@ -264,7 +264,7 @@ def integrate_deltas(
     carries = carries.select(
         key, (F.col("block") + 1).alias("block"), *[F.col(n).alias("c" + n) for n in _RT]
     )
-    joined = part.join(carries, [key, "block"])
+    joined = part.join(carries, [key, "block"], "left")
 
     def pos(p: str):
         return [F.col(f"{p}m{4 * i + 3}") for i in range(3)]

@@ -694,9 +694,10 @@ def _(spark, sf):
     rows = rows.select("episode", *[F.col("a")[i].alias(f"c{j}") for j, i in enumerate((0, 5, 6))])
     # the canonical actions are a table of their own: written once, then read by both passes
     rows = materialise(rows, "canonical")
-    values = long_values(rows, ["c0", "c1", "c2"], "episode")
-    stats = S.column_statistics(values.select("dim", "value"), ["dim"])
-    y = N.forward(F.col("value"), {c: F.col(c) for c in S.STATS}, "q99")
-    norm = values.join(stats, "dim").select("episode", y.alias("value"))
+    names = ["c0", "c1", "c2"]
+    stats = S.fit(S.column_statistics(long_values(rows, names), ["dim"]))
+    scaled = rows.select(
+        "episode", *[N.forward(F.col(c), stats[i], "q99").alias(c) for i, c in enumerate(names)])
+    norm = long_values(scaled, names, "episode")
     return norm.groupBy("episode").agg(
         F.count(F.lit(1)).alias("n"), r(F.stddev_samp("value")).alias("std"))

@@ -114,7 +114,7 @@ def dense_index(
     )
     inner = Window.partitionBy(*_cols([*keys, *names])).orderBy(*order)
     return (
-        rows.join(offsets, [*keys, *names])
+        rows.join(offsets, [*keys, *names], "left")
         .withColumn(name, F.col("__shift") + F.row_number().over(inner) - 1)
         .select(*df.columns, name)
     )
@@ -193,6 +193,16 @@ def explode_range(
     return blocks.select(*df.columns, F.explode(numbers).alias(name))
 
 
+def small_side(df: DataFrame, label: str, max_rows: int = 100_000) -> DataFrame:
+    """A summary written once and broadcast only when its counted rows stay within ``max_rows``.
+
+    Without the check Spark would shuffle the large side before it learns how small this one is;
+    beyond the limit the join stays a shuffle join.
+    """
+    table = materialise(df, label)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def prefix_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -224,7 +234,7 @@ def prefix_sum(
     inner = Window.partitionBy(*_cols([*keys, *names])).orderBy(*order)
     frame = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
-        rows.join(carry, [*keys, *names])
+        rows.join(carry, [*keys, *names], "left")
         .withColumn(name, F.col("__carry") + F.coalesce(F.sum("__x").over(frame), F.lit(0)))
         .select(*df.columns, name)
     )
@@ -273,7 +283,7 @@ def fill(
         .select(*keys, "__b0", edge.alias("__carry"))
     )
     return (
-        rows.join(carry, [*keys, "__b0"])
+        rows.join(carry, [*keys, "__b0"], "left")
         .withColumn(name, F.coalesce(near, "__carry"))
         .select(*df.columns, name)
     )
@@ -310,6 +320,7 @@ def exact_quantiles(
         *extra,
     )
     m = len(probs)
+    sketch = small_side(sketch, "sketch")
     bounds = sketch.select(
         *keys,
         "n",
@@ -319,7 +330,8 @@ def exact_quantiles(
 
     def with_bounds(part: DataFrame) -> DataFrame:
         if keys:
-            return part.join(bounds, keys)
+            # an outer join keeps the rows on the streamed side; every group has its bounds
+            return part.join(bounds, keys, "left")
         names = bounds.columns
         row = part.withColumn("__s", bounds.select(F.struct(*names)).scalar())
         return row.select(*part.columns, "__s.*")
