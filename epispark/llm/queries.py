@@ -38,3 +38,68 @@ def op9_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
     from epispark.llm.piece_codec import round_trip
 
     return round_trip(table(spark, sf, "documents"), tokenizer_path())
+
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query
+def op1_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.mixing import mix
+    from epispark.llm.words import word_count
+
+    mixed = mix(table(spark, sf, "documents"), word_count("text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op1_mixture"] = f"""
+WITH d AS (
+  SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (
+        ORDER BY (source IS NULL), source COLLATE "C") - 1) % 3 + 1]::DOUBLE AS w FROM t),
+l AS (SELECT *, ((SELECT sum(source_size) FROM t)::DOUBLE * 1.5
+         - coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2.0)
+         / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM r WINDOW o AS (ORDER BY source_size / w, source NULLS FIRST)),
+g AS (SELECT source, source_size,
+             least(source_size::DOUBLE * 2.0, w * (SELECT max(level) FROM l)) AS target FROM l),
+c AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target)::BIGINT AS goal,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, goal - a)) + greatest(0, least(size, goal - source_size - a)))::BIGINT AS taken
+FROM c"""
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.quality_rules import filter_quality
+
+    return filter_quality(table(spark, sf, "documents"))
+
+
+ORACLES["op2_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),
+dup AS (SELECT doc_id, i FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS n_upper,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, (1 * (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+  + 4 * (word_chars < 2 * n_words)::INT + 8 * (word_chars > 25 * n_words)::INT
+  + 16 * (5 * n_symbols > n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT
+  + 64 * (100 * n_upper > 40 * word_chars)::INT)::BIGINT AS failed_bits FROM m)
+SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b"""
