@@ -103,3 +103,13 @@ b AS (SELECT *, (1 * (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
   + 16 * (5 * n_symbols > n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT
   + 64 * (100 * n_upper > 40 * word_chars)::INT)::BIGINT AS failed_bits FROM m)
 SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b"""
+
+
+@query
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.warc import archive_digest, write_archive
+    from epispark.session import scratch_path
+
+    path = scratch_path(spark, "warc")
+    write_archive(table(spark, sf, "pages"), path)
+    return archive_digest(spark, path)
