@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +114,21 @@ def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(table(spark, sf, "pages"), path)
     return archive_digest(spark, path)
+
+
+@query
+def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.topk import top_k
+
+    vectors = table(spark, sf, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op3_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
