@@ -132,3 +132,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))
