@@ -139,3 +139,10 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     from epispark.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.suffix_dedup import dedup_digest
+
+    return dedup_digest(table(spark, sf, "documents"))
