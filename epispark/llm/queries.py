@@ -146,3 +146,10 @@ def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from epispark.llm.suffix_dedup import dedup_digest
 
     return dedup_digest(table(spark, sf, "documents"))
+
+
+@query
+def op8_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.quality_model import score_quality
+
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
