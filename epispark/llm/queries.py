@@ -153,3 +153,10 @@ def op8_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     from epispark.llm.quality_model import score_quality
 
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    from epispark.llm.language_model import score_texts
+
+    return score_texts(table(spark, sf, "documents"))
