@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epispark.llm.words import free_names
 from epispark.session import materialise
 
 #: (time, weight) knots, linear in between, over training time 0..1. The integrals are 3, 1 and 2.
@@ -139,14 +140,14 @@ def draw(
     """The mixed training stream: the columns of ``docs``, a row for each copy, range-sorted.
 
     A copy that the target cuts is taken whole, since documents are never truncated, if at least half
-    of it fits. ``key`` must be unique here; rows with a null key take no part.
+    of it fits. Positions are times in 0..1, so partitions are equal slices of training time and need
+    no sampling job. ``key`` must be unique here; rows with a null key take no part.
     """
+    k, at = free_names(docs, "mix_key", "mix_time")
     plan = mix(docs, size, source, key, **how).where(F.col("taken") > 0)
-    copies = plan.select(
-        F.col(key).alias("__k"),
-        F.posexplode("positions").alias("__n", "__at"),
-        "size",
-        "taken",
-    ).where(F.col("taken") - F.col("__n") * F.col("size") >= F.col("size") / 2)
-    rows = docs.join(copies.select("__k", "__at"), F.col(key) == F.col("__k"))
-    return rows.repartitionByRange("__at", "__k").sortWithinPartitions("__at", "__k").select(*docs.columns)
+    copies = plan.select(F.col(key).alias(k), F.posexplode("positions").alias("n", at), "size", "taken")
+    copies = copies.where(F.col("taken") - F.col("n") * F.col("size") >= F.col("size") / 2)
+    rows = docs.join(copies.select(k, at), F.col(key) == F.col(k))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.least(F.floor(F.col(at) * parts), F.lit(parts - 1)).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions(at, k).drop(k, at)

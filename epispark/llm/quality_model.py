@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.words import whole, word_array
+from epispark.llm.words import free_names, whole, word_array
 
 #: Statistics over the helper columns __t (text), __w (words) and __l (lines with a word).
 FEATURES: dict[str, str] = {
@@ -215,5 +215,6 @@ def score_quality(
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that the classifier accepts, scored by the compiled rules in one pass."""
     model = fit_on_labels(docs, labels, text, key)
-    rows = statistics(docs.withColumn("__row", F.struct(*docs.columns)), text, ("__row",))
-    return rows.where(model.score() >= 0.3).select("__row.*")
+    (row,) = free_names(docs, "row")
+    rows = statistics(docs.withColumn(row, F.struct("*")), text, (row,))
+    return rows.where(model.score() >= 0.3).select(f"{row}.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.components import components
+from epispark.llm.words import free_names
 from epispark.session import materialise
 
 SEED = 42
@@ -233,7 +234,11 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents of ``docs``, of each near-duplicate group only the one with the smallest key."""
+    """The documents of ``docs``, of each near-duplicate group only the one with the smallest key.
+
+    Rows that share this key all stay; a group of null keys only keeps all its rows.
+    """
+    (k,) = free_names(docs, "kept_key")
     groups = near_duplicates(docs, text, key)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k"))
-    return docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(k))
+    return docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col(k)), "left_semi")

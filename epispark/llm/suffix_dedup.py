@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.deep_shallow import deep_shallow_sort
+from epispark.llm.words import free_names
 from epispark.session import materialise
 
 LENGTH = 400
@@ -278,7 +279,7 @@ def repeated_spans(
 def _merged(spans) -> list[tuple[int, int]]:
     """Maximal runs of possibly overlapping ranges."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in (spans if spans is not None else ())):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -291,11 +292,15 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def _with_spans(docs: DataFrame, text: str, key: str, **how) -> DataFrame:
-    spans = repeated_spans(docs, text, key, **how).select(F.col("id").alias("__i"), F.col("xh").alias("__x"), F.col("spans").alias("__spans"))
+def _with_spans(docs: DataFrame, text: str, key: str, **how) -> tuple[DataFrame, str, str]:
+    """The rows with their text's bytes and repeated spans, and the names of these two columns."""
+    i, x, spans, data = free_names(docs, "span_id", "span_hash", "spans", "data")
+    found = repeated_spans(docs, text, key, **how)
+    found = found.select(F.col("id").alias(i), F.col("xh").alias(x), F.col("spans").alias(spans))
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.withColumn("__data", body)
-    return rows.join(spans, F.col(key).eqNullSafe(F.col("__i")) & (F.xxhash64("__data") == F.col("__x")), "left").drop("__i", "__x")
+    rows = docs.withColumn(data, body)
+    same = F.col(key).eqNullSafe(F.col(i)) & (F.xxhash64(data) == F.col(x))
+    return rows.join(found, same, "left").drop(i, x), data, spans
 
 
 def dedup_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
@@ -320,7 +325,8 @@ def dedup_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", **how
                 [batch.column(0), *arrays, pa.array(digest, pa.string())], names=names
             )
 
-    rows = _with_spans(docs.select(key, text), text, key, **how).select(key, "__data", "__spans")
+    rows, data, spans = _with_spans(docs.select(key, text), text, key, **how)
+    rows = rows.select(key, data, spans)
     schema = T.StructType(
         [rows.schema[key], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
          T.StructField("kept_sha256", T.StringType())]
@@ -328,8 +334,13 @@ def dedup_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", **how
     return rows.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The documents with repeats cut out of ``text``; a character goes only with all its bytes."""
+def remove_repeats(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", length_column: str = "n_chars", **how
+) -> DataFrame:
+    """The documents with repeats cut out of ``text``; a character goes only with all its bytes.
+
+    ``length_column``, if there is one, follows the new text. No row is dropped.
+    """
 
     @F.pandas_udf("string")
     def cut(data, spans):
@@ -337,7 +348,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **h
 
         def one(d, s):
             runs = []
-            for a, b in _merged(s if s is not None else ()):
+            for a, b in _merged(s):
                 while a < b and d[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(d) and d[b] & 0xC0 == 0x80:
@@ -348,6 +359,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **h
 
         return pd.Series([one(d, s) for d, s in zip(data, spans)], dtype=object)
 
-    rows = _with_spans(docs, text, key, **how)
-    fresh = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut("__data", "__spans"))
-    return rows.withColumn(text, fresh).select(*docs.columns)
+    rows, data, spans = _with_spans(docs, text, key, **how)
+    rows = rows.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cut(data, spans)))
+    if length_column in docs.columns:
+        rows = rows.withColumn(length_column, F.length(text).cast(docs.schema[length_column].dataType))
+    return rows.drop(data, spans)

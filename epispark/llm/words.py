@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = "\t\n\x0b\x0c\r"
@@ -22,3 +22,15 @@ def word_array(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.size(word_array(whole(text))).cast("long")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores in front as it takes to differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
