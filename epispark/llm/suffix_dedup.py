@@ -37,7 +37,8 @@ class Anchors:
     def __init__(self, length: int = LENGTH, piece: int = PIECE):
         self.length, self.piece, self.side = length, piece, length - piece
         self.margin = length + self.side
-        n = BUFFER + 2 * self.margin + 1
+        self.room = BUFFER + length + 2 * self.margin  # longest piece of a text
+        n = self.room + 1
         base = 0x9E3779B97F4A7C15
         self.pow = np.cumprod(np.r_[U(1), np.full(n, U(base))])
         self.inv = np.cumprod(np.r_[U(1), np.full(n, U(pow(base, -1, 1 << 64)))])
@@ -56,7 +57,7 @@ class Anchors:
             for w in range(0, size - self.length + 1, BUFFER):
                 stop = min(w + BUFFER, size - self.length + 1)
                 lo, hi = max(0, w - self.margin), min(size, stop - 1 + self.length + self.margin)
-                if total + hi - lo > BUFFER + 2 * self.margin:
+                if held and total + hi - lo > self.room:
                     yield held
                     held, total = [], 0
                 held.append((i, lo, hi, w, stop))
@@ -65,7 +66,8 @@ class Anchors:
             yield held
 
     def of(self, texts: list[bytes]):
-        """Per anchor: text number, position, bytes of context before and after, two hashes."""
+        """Per anchor: text number, position, bytes of context before and after, the offsets of the
+        windows whose minimiser it is (lowest * 65536 + highest), and two hashes."""
         k, side = self.piece, self.side
         last = (-1, -1)
         for held in self.pieces([len(t) for t in texts]):
@@ -85,12 +87,18 @@ class Anchors:
             mark = np.zeros(n + 1, np.int8)
             mark[base + w0 - lo] += 1
             np.subtract.at(mark, base + w1 - lo, 1)
-            at = (low[np.cumsum(mark[: len(low)]) > 0] & U((1 << POS_BITS) - 1)).astype(np.int64)
-            at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+            window = np.flatnonzero(np.cumsum(mark[: len(low)]))
+            at = (low[window] & U((1 << POS_BITS) - 1)).astype(np.int64)
+            head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            highest, at = at[head] - window[head], at[head]
+            lowest = at - window[np.r_[head[1:], len(window)] - 1]
             row = np.searchsorted(base, at, side="right") - 1
+            ends = np.r_[row[1:] != row[:-1], True]  # a cut text's last anchor may have more windows
+            lowest[ends] = 0
+            own = lowest * 65536 + highest
             text, pos = who[row], at - base[row] + lo[row]
             seen = (text == last[0]) & (pos <= last[1])  # found by the cut text's piece before
-            at, row, text, pos = (x[~seen] for x in (at, row, text, pos))
+            at, row, text, pos, own = (x[~seen] for x in (at, row, text, pos, own))
             if not len(at):
                 continue
             last = (int(text[-1]), int(pos[-1]))
@@ -98,8 +106,8 @@ class Anchors:
             before, after = np.minimum(pos, side), np.minimum(size - pos, self.length)
             begin, stop = at - before, at + after
             ctx = (sums[stop] - sums[begin]) * self.inv[begin]
-            ctx = self.mix(ctx ^ self.mix((before * 4096 + after).astype(U)))
-            yield text, pos, before, after, grams[at].view(np.int64), ctx.view(np.int64)
+            ctx = self.mix(ctx ^ self.mix((before * 65536 + after).astype(U)))
+            yield text, pos, before, after, own, grams[at].view(np.int64), ctx.view(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,13 +118,13 @@ def _anchors(length: int, piece: int) -> Anchors:
 def _anchor_rows(length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _anchors(length, piece)
-        names = ["id", "xh", "pos", "before", "after", "h", "ctx"]
+        names = ["id", "xh", "pos", "before", "after", "own", "h", "ctx"]
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for text, pos, before, after, h, ctx in maker.of(texts):
+            for text, *rest in maker.of(texts):
                 rows = pa.array(text)
                 arrays = [batch.column(0).take(rows), batch.column(1).take(rows)]
-                arrays += [pa.array(x.astype(np.int64)) for x in (pos, before, after, h, ctx)]
+                arrays += [pa.array(x.astype(np.int64)) for x in rest]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
@@ -199,19 +207,20 @@ def _reach_rows(length: int, piece: int):
     return run
 
 
-def _reach_large(rows: DataFrame, length: int, piece: int) -> DataFrame:
+def _reach_large(rows: DataFrame, length: int) -> DataFrame:
     """The same for minimisers with too many contexts for one task.
 
-    Every window of a context becomes a row and equal windows are counted with map-side sums, so the
-    group spreads over all tasks; per window its offset and two hashes are compared.
+    Every window that has this minimiser becomes a row, so a byte of text gives one row at most, and
+    equal windows are counted with map-side sums: the group spreads over all tasks. Per window its
+    offset and two hashes are compared.
     """
-    side = length - piece
-    windows = rows.select(
-        "h", "ctx", "before", "data",
-        F.explode(F.sequence(F.greatest(F.lit(0), length - F.octet_length("data") + F.col("before")), F.least(F.col("before"), F.lit(side)))).alias("o"),
-    )
+    offsets = F.sequence(
+        F.greatest(F.floor(F.col("own") / 65536), length - F.octet_length("data") + F.col("before")),
+        F.col("own") % 65536,
+    )
+    windows = rows.select("h", "ctx", "before", "data", F.explode(offsets).alias("o"))
     window = F.expr(f"substring(data, cast(before - o + 1 as int), {length})")
-    windows = windows.select("h", "ctx", "o", F.xxhash64(window).alias("x"), F.md5(window).alias("y"))
+    windows = windows.select("h", "ctx", "o", F.xxhash64(window).alias("x"), F.unhex(F.md5(window)).alias("y"))
     same = windows.groupBy("h", "o", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     hits = windows.join(same, ["h", "o", "x", "y"], "left_semi")
     return hits.groupBy("h", "ctx").agg(
@@ -229,14 +238,14 @@ def repeated_spans(
     """
     src = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
     src = src.select("id", F.xxhash64("data").alias("xh"), "data")
-    fields = [T.StructField(n, T.LongType()) for n in ("xh", "pos", "before", "after", "h", "ctx")]
+    fields = [T.StructField(n, T.LongType()) for n in ("xh", "pos", "before", "after", "own", "h", "ctx")]
     schema = T.StructType([src.schema["id"], *fields])
     anchors = materialise(src.mapInArrow(_anchor_rows(length, piece), schema), "anchors")
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = materialise(anchors.join(often, "h", "left_semi"), "anchors")
     contexts = materialise(
         again.groupBy("h", "ctx").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("xh", "pos", "id", "before", "after")).alias("at")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("xh", "pos", "id", "before", "after", "own")).alias("at")
         ),
         "contexts",
     )
@@ -244,22 +253,22 @@ def repeated_spans(
     wanted = (
         contexts.join(mixed, "h")
         .groupBy(F.col("at.id").alias("wid"), F.col("at.xh").alias("wxh"))
-        .agg(F.collect_list(F.struct("h", "ctx", "m", "at.pos", "at.before", "at.after")).alias("w"))
+        .agg(F.collect_list(F.struct("h", "ctx", "m", "at.pos", "at.before", "at.after", "at.own")).alias("w"))
     )
     cut = F.expr("substring(data, cast(w.pos - w.before + 1 as int), cast(w.before + w.after as int))")
     # equal rows give a context more than once: as many equal strings, which n > 1 covers anyway
     strings = src.join(wanted, F.expr("id <=> wid AND xh = wxh"))
     strings = strings.select("data", F.explode("w").alias("w"))
     strings = materialise(
-        strings.select("w.h", "w.ctx", "w.before", cut.alias("data"), "w.m"), "strings"
+        strings.select("w.h", "w.ctx", "w.before", "w.own", cut.alias("data"), "w.m"), "strings"
     )
     sorted_ = (
         strings.where(F.col("m") <= large).select("h", "ctx", "before", "data")
         .repartition("h").sortWithinPartitions("h", "ctx")
         .mapInArrow(_reach_rows(length, piece), "h long, ctx long, left long, right long")
     )
-    hot = strings.where(F.col("m") > large).select("h", "ctx", "before", "data")
-    found = sorted_.unionByName(_reach_large(hot, length, piece))
+    hot = strings.where(F.col("m") > large).select("h", "ctx", "before", "own", "data")
+    found = sorted_.unionByName(_reach_large(hot, length))
     covered = (
         contexts.join(found, ["h", "ctx"], "left")
         .select(
