@@ -158,10 +158,12 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: Sequence[str], penalty: float = 2e-4) -> RuleModel:
-    """Rules from trees, weights by lasso; a constant model where only one label occurs."""
+    """Rules from trees, weights by lasso; a constant model where no rule separates two labels."""
     if not len(y) or y.min() == y.max():
         return RuleModel(list(names), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     rules = grow_rules(x, y)
+    if not rules:
+        return RuleModel(list(names), float(np.log(y.mean() / (1 - y.mean()))))
     support = np.stack([r.holds(x) for r in rules], axis=1).astype(np.float64)
     _, first = np.unique(support, axis=1, return_index=True)
     first = np.sort(first)

@@ -43,17 +43,20 @@ def _let(value: Column, body) -> Column:
 
 def _covered(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more."""
-    last = F.size(words) - 3
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("t"),
-            i.alias("i"),
+    windows = _let(
+        words,
+        lambda w: F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3),
+            lambda i: F.struct(
+                F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i")
+            ),
         ),
     )
+
     def twins(s):
         same = lambda x, i: F.coalesce(F.get(s, i)["t"] == x["t"], F.lit(False))
         return F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+
     starts = F.array_sort(F.transform(_let(F.array_sort(windows), twins), lambda x: x["i"]))
     return F.aggregate(
         starts,
@@ -73,9 +76,12 @@ def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
     src = docs.select(*keep, whole(text).alias("__text"))
     src = src.withColumn("__words", word_array(t))
     words = F.col("__words")
-    hashes = F.transform(
-        F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), w),
+    hashes = _let(
+        words,
+        lambda ws: F.transform(
+            F.slice(ws, 3, F.greatest(F.size(ws) - 2, F.lit(0))),
+            lambda w, i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), w),
+        ),
     )
     src = src.withColumn("__hash", hashes)
     repeats = F.size(F.array_distinct("__hash")) < F.size("__hash")
@@ -101,7 +107,11 @@ def ledger(
     keep: Sequence[str] = ("doc_id",),
     rules: Mapping[str, str] = RULES,
 ) -> DataFrame:
-    """Measurements and ``failed_bits``, bit k set where rule k fails; at most 63 rules."""
+    """Measurements and ``failed_bits``, bit k set where rule k fails; at most 63 rules.
+
+    Write the ledger before policies filter it: a filter on an unwritten one makes Spark evaluate the
+    measurements once more for every mention.
+    """
     bits = [F.when(F.expr(c), F.lit(1 << k)).otherwise(0) for k, c in enumerate(rules.values())]
     total = bits[0]
     for b in bits[1:]:
