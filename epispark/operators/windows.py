@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from epispark.functions import rotation as rot
 from epispark.functions.ids import hash_uniform
 from epispark.functions.vectors import wrap_angle
-from epispark.scale import BLOCK, Halo, explode_range, global_rank, prefix_sum
+from epispark.scale import BLOCK, Halo, explode_range, fill, global_rank, prefix_sum
 
 
 def finite_difference(
@@ -402,8 +402,10 @@ def pick_stale_snapshot(
     size: int = BLOCK,
 ) -> DataFrame:
     """Frame of the snapshot in use: with probability ``p`` one of the last ``history`` snapshots
-    of age at most ``max_age``, otherwise (or when there is none) the live one, i.e. the newest
-    within the same look-back."""
+    of age at most ``max_age``, otherwise (or when there is none) the live one, i.e. the newest of
+    any age; null only before the first refresh."""
+    block = F.floor(F.col(index) / size)
+    df = fill(df, keys, [index], block, F.when(refreshed, F.col(index)), "__live")
     halo = Halo(df, keys, index, before=max_age, size=size)
     snaps = F.collect_list(F.when(refreshed, F.col(index))).over(halo.rows(-max_age, 0))
     rows = halo.close(halo.df.withColumn("__s", snaps))
@@ -413,9 +415,10 @@ def pick_stale_snapshot(
     )
     coin = hash_uniform(F.lit(seed), *[F.col(k) for k in keys], F.col(index), F.lit("coin"))
     draw = hash_uniform(F.lit(seed), *[F.col(k) for k in keys], F.col(index), F.lit("pick"))
-    live = F.try_element_at("__s", F.lit(-1))
+    live = F.col("__live")
     stale = F.get("__s", F.floor(draw * F.size("__s")).cast("int"))
-    return rows.withColumn(name, F.when(coin < p, stale).otherwise(live)).drop("__s")
+    picked = F.when((coin < p) & (F.size("__s") > 0), stale).otherwise(live)
+    return rows.withColumn(name, picked).drop("__s", "__live")
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

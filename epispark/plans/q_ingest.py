@@ -307,6 +307,33 @@ def _(spark, sf):
     return back.withColumns({"timestamp": r(F.col("timestamp")), "chunk": F.col("chunk").cast("long")})
 
 
+@query(
+    "snk04_incremental_chunks",
+    "SNK-01 SNK-04",
+    f"""WITH {LF}, n AS (SELECT episode AS episode_index, count(*) AS frames, sum(frame)::BIGINT AS total FROM lf GROUP BY 1)
+    SELECT episode_index, frames, total, true AS done FROM n
+    UNION ALL SELECT -o_orderkey - 1, 0, 0, false FROM orders WHERE o_orderkey % 50 = 0""",
+)
+def _(spark, sf):
+    """Every chunk grows in three increments; some episodes of the manifest have no frames."""
+    out, ledger = scratch_path(spark, "frames"), scratch_path(spark, "ledger")
+    frames = demo_frames(spark, sf)
+    known = frames.select("source", "chunk", "episode_index").distinct()
+    absent = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(
+        F.lit("lines").alias("source"), F.lit(0).cast("long").alias("chunk"), (-F.col("o_orderkey") - 1).alias("episode_index"))
+    known = known.select("source", F.col("chunk").cast("long").alias("chunk"), "episode_index").unionByName(absent)
+    for part in (0, 1):
+        SK.write_frames(frames.where(F.col("episode_index") % 3 == part), out, ledger, episodes=known)
+    SK.write_frames(frames, out, ledger, episodes=known)
+    stored = RD.read_frames(spark, out, columns=["episode_index", "frame_index"]).groupBy("episode_index").agg(
+        F.count(F.lit(1)).alias("frames"), F.sum(F.col("frame_index").cast("long")).alias("total"))
+    done = SK.latest_status(SK.read_ledger(spark, ledger)).where("status = 'done'").select(
+        F.col("item").cast("long").alias("episode_index"), F.lit(True).alias("done"))
+    rows = known.select("episode_index").distinct().join(stored, "episode_index", "left").join(done, "episode_index", "left")
+    return rows.select("episode_index", F.coalesce("frames", F.lit(0).cast("long")).alias("frames"),
+                       F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("done", F.lit(False)).alias("done"))
+
+
 @query(
     "snk02_roll_up",
     "SNK-02 AGG-24 FLT-02 SRC-03 SRC-04",
@@ -374,15 +401,19 @@ def _(spark, sf):
 @query(
     "snk10_publish_changed",
     "SNK-10 UDF-10 JN-08",
-    """SELECT o_orderkey // 500 AS chunk, 1::BIGINT AS uploads FROM orders GROUP BY 1""",
+    """SELECT o_orderkey // 500 AS chunk, CASE WHEN o_orderkey // 500 <= 1 THEN 3 ELSE 1 END::BIGINT AS uploads
+    FROM orders GROUP BY ALL""",
 )
 def _(spark, sf):
     state, sent = scratch_path(spark, "state"), scratch_path(spark, "sent")
     chunks = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("chunk")).agg(
         F.sum("o_custkey").cast("string").alias("h"))
     upload = lambda df: df.select("chunk").write.mode("append").parquet(sent)
-    SK.publish_changed(chunks.where("chunk <= 1"), state, ["chunk"], "h", upload)
-    SK.publish_changed(chunks, state, ["chunk"], "h", upload)
+    some = chunks.where("chunk <= 1")
+    SK.publish_changed(some, state, ["chunk"], "h", upload)
+    SK.publish_changed(some.withColumn("h", F.concat("h", F.lit("x"))), state, ["chunk"], "h", upload)
+    SK.publish_changed(chunks, state, ["chunk"], "h", upload)  # the first content again, and new chunks
+    SK.publish_changed(chunks, state, ["chunk"], "h", upload)  # nothing has changed
     return spark.read.parquet(sent).groupBy("chunk").agg(F.count(F.lit(1)).alias("uploads"))
 
 
@@ -467,10 +498,11 @@ def _(spark, sf):
         d("x0", "x2", "x3", z, z, z).alias("cartesian_position"))
     step = F.struct(obs.alias("observation"), d("x2", z, z, "x3", z, z, F.col("x2") * 10, F.lit(9.0)).alias("action"),
                     F.concat(F.lit("raw"), "episode").cast("binary").alias("language_instruction"))
-    # raw episodes arrive as records of consecutive steps; a record is at most 4096 steps long
-    raw = rows.groupBy(F.col("episode").alias("episode_index"), F.floor(F.col("frame") / 4096).alias("part")).agg(
+    # raw episodes arrive as records of consecutive steps; short ones, so that most have several
+    raw = rows.groupBy(F.col("episode").alias("episode_index"), F.floor(F.col("frame") / 3).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("frame", step.alias("s")))).alias("a"))
-    raw = raw.select("episode_index", F.col("episode_index").cast("string").alias("episode_id"), F.col("a.s").alias("steps"))
+    raw = raw.select("episode_index", F.col("episode_index").cast("string").alias("episode_id"),
+                     (F.col("part") * 3).alias("first_frame"), F.col("a.s").alias("steps"))
     clean = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
         F.col("o_orderkey").cast("string").alias("episode_id"), F.concat(F.lit("clean"), "o_orderkey").alias("text"))
     return _exploded(AD.ArmVelocityAdapter(clean).to_frames(raw))
@@ -497,9 +529,10 @@ def _(spark, sf):
         F.when(F.col("ln") % 2 == 0, F.array("x0", "x3", z, z, z, z, z, z)).otherwise(null).alias("state"),
         F.lit(None).cast("string").alias("language_instruction"),
         F.concat(F.lit("say"), "episode").alias("natural_language_instruction"))
-    raw = rows.groupBy(F.col("episode").alias("episode_index"), F.floor(F.col("frame") / 4096).alias("part")).agg(
+    raw = rows.groupBy(F.col("episode").alias("episode_index"), F.floor(F.col("frame") / 3).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("frame", step.alias("s")))).alias("a"))
-    return _exploded(AD.DeltaPoseAdapter().to_frames(raw.select("episode_index", F.col("a.s").alias("steps"))))
+    return _exploded(AD.DeltaPoseAdapter().to_frames(raw.select(
+        "episode_index", (F.col("part") * 3).alias("first_frame"), F.col("a.s").alias("steps"))))
 
 
 VEL = "least(greatest(coalesce(lead({0}) OVER w - {0}, {0} - lag({0}) OVER w, 0) * {1}, -2), 2)"

@@ -114,11 +114,14 @@ def _(spark, sf):
         "event_id", F.col("user_id").alias("episode_index"), F.lit("events").alias("source"))
     schema = ev.schema
     same = lambda df: df
-    # two arrivals with a stop between them
-    ev.where("event_id % 2 = 0").repartition(4).write.mode("append").parquet(src)
+    # two arrivals with a stop between them; the second brings some episodes again, and a third run
+    # with a fresh checkpoint folder sees all files once more
+    some = lambda df, p: df.where(p).repartition(4, "episode_index").write.mode("append").parquet(src)
+    some(ev, "episode_index % 2 = 0")
     FL.ingest(FL.file_stream(spark, src, schema, files_per_trigger=2), same, out, ledger, ckpt)
-    ev.where("event_id % 2 = 1").repartition(4).write.mode("append").parquet(src)
+    some(ev, "episode_index % 2 = 1 OR episode_index % 4 = 0")
     FL.ingest(FL.file_stream(spark, src, schema, files_per_trigger=2), same, out, ledger, ckpt)
+    FL.ingest(FL.file_stream(spark, src, schema), same, out, ledger, scratch_path(spark, "ckpt"))
     back = spark.read.parquet(out)
     return back.groupBy("event_id", F.col("episode_index").alias("user_id")).agg(F.count(F.lit(1)).alias("copies"))
 

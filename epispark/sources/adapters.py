@@ -96,9 +96,7 @@ class ArmVelocityAdapter(SourceAdapter):
             rows = rows.withColumn("instruction", F.col("raw_text"))
         else:
             rows = resolve_instruction(rows, self.clean, "episode_id", "raw_text", "instruction")
-        steps = rows.select(
-            "episode_index", "instruction", F.posexplode("steps").alias("frame_index", "s")
-        )
+        steps = numbered_steps(rows, "instruction")
         o = "s.observation."
         state = F.concat(o + "joint_position", o + "gripper_position", o + "cartesian_position")
         action = F.slice("s.action", 1, 7)
@@ -113,6 +111,19 @@ class ArmVelocityAdapter(SourceAdapter):
         )
 
 
+def numbered_steps(raw: DataFrame, *keep: str) -> DataFrame:
+    """One row per step with its frame number in the episode.
+
+    A long episode arrives as several records; ``first_frame`` then tells where a record begins.
+    """
+    first = F.col("first_frame") if "first_frame" in raw.columns else F.lit(0)
+    rows = raw.select(
+        "episode_index", *keep, first.alias("__first"), F.posexplode("steps").alias("__at", "s")
+    )
+    number = (F.col("__first") + F.col("__at")).cast("int")
+    return rows.withColumn("frame_index", number).drop("__first", "__at")
+
+
 def flat_action(flat: Column, parts: Column) -> Column:
     """Action given flat, or as a struct of world vector, rotation delta and a gripper under one of
     two names; the first gripper value is used and a missing one is 0."""
@@ -144,11 +155,7 @@ class DeltaPoseAdapter(SourceAdapter):
         spoken = F.coalesce(
             first["language_instruction"], first["natural_language_instruction"], F.lit("")
         )
-        steps = raw.select(
-            "episode_index",
-            spoken.alias("instruction"),
-            F.posexplode("steps").alias("frame_index", "s"),
-        )
+        steps = numbered_steps(raw.withColumn("instruction", spoken), "instruction")
         raw_action = flat_action(F.col("s.action_flat"), F.col("s.action_parts"))
         steps = steps.withColumn("a", V.clip_canonical(raw_action))
         state = F.coalesce("s.state", V.zeros(7))

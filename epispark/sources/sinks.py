@@ -11,23 +11,22 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epispark import schemas
 from epispark.operators.joins import changed, not_done
 from epispark.operators.quality import episode_rollup, long_enough
 from epispark.scale import BLOCK
+from epispark.session import materialise
 
 MAX_ROWS_PER_FILE = 2_000_000
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: str = schemas.LEDGER) -> DataFrame:
     """Ledger rows; a ledger that does not exist yet is empty."""
-    try:
-        return spark.read.schema(schemas.LEDGER).parquet(path)
-    except AnalysisException as err:
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        return spark.createDataFrame([], schemas.LEDGER)
+    empty = spark.createDataFrame([], schema)
+    found = stored(spark, path, empty)
+    return empty if found is None else found
 
 
 def ledger_rows(items: DataFrame, stage: str, status: str, source: Column, chunk: Column,
@@ -47,9 +46,10 @@ def ledger_rows(items: DataFrame, stage: str, status: str, source: Column, chunk
 
 
 def latest_status(ledger: DataFrame) -> DataFrame:
-    """Current state of each item of an append-only ledger."""
+    """Current state of each item of an append-only ledger; of equal times the later status wins."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in schemas.STATUSES]), F.col("status"))
     return ledger.groupBy("source", "stage", "chunk", "item").agg(
-        F.max_by("status", "updated_at").alias("status"),
+        F.max_by("status", F.struct("updated_at", rank)).alias("status"),
         F.sum("attempts").alias("attempts"),
         F.max("updated_at").alias("updated_at"),
     )
@@ -60,34 +60,53 @@ def write_frames(
     source: str = "source", chunk: str = "chunk", episode: str = "episode_index",
     index: str = "frame_index", episodes: DataFrame | None = None,
 ) -> None:
-    """Write the chunks that have an unfinished episode, then mark their episodes.
-
-    A chunk is replaced as a whole, so a rerun after a crash cannot duplicate rows; chunks whose
-    episodes are all marked are not touched. Rows are distributed by chunk and frame block, so a
-    task gets a bounded share even of a very long episode, and sorted for episode filters.
-    ``episodes`` is the manifest (source, chunk, episode) if there is one.
+    """Write the unfinished episodes, then mark those that have been written.
+
+    A chunk is replaced as a whole by its stored rows and the new episodes, so increments keep what
+    is there and a rerun after a crash cannot duplicate rows: rows of unmarked episodes are not
+    carried over. Chunks whose episodes are all marked are not touched, and an episode without
+    frames stays unmarked. Rows are distributed by chunk and frame block, so a task gets a bounded
+    share even of a very long episode, and sorted for episode filters. ``episodes`` is the manifest
+    (source, chunk, episode) if there is one.
     """
     spark = frames.sparkSession
     ledger = latest_status(read_ledger(spark, ledger_path)).where(F.col("stage") == stage)
     ledger = ledger.select(
         F.col("source").alias(source), F.col("item").cast("long").alias(episode), "status"
     )
-    if episodes is None:
-        episodes = frames.select(source, chunk, episode).distinct()
-    pending = not_done(episodes, ledger, [source, episode]).select(source, chunk).distinct()
-    if pending.isEmpty():
+    wanted = frames
+    if episodes is not None:
+        wanted = frames.join(episodes.select(source, episode).distinct(), [source, episode], "left_semi")
+    todo = materialise(not_done(wanted, ledger, [source, episode]).select(frames.columns), "pending")
+    written = materialise(todo.select(source, chunk, episode).distinct(), "pending-keys")
+    touched = written.select(source, chunk).distinct()
+    if touched.isEmpty():
         return
-    todo = frames.join(pending, [source, chunk], "left_semi")
+    present = stored(spark, path, todo)
+    if present is not None:
+        marked = ledger.where(F.col("status") == "done").select(source, episode)
+        kept = present.join(touched, [source, chunk], "left_semi")
+        kept = kept.join(marked, [source, episode], "left_semi").select(todo.columns)
+        todo = materialise(kept.unionByName(todo), "chunks")
     block = F.floor(F.col(index) / BLOCK)
     clustered = todo.repartition(F.col(source), F.col(chunk), block).sortWithinPartitions(
         source, chunk, episode, index
     )
     overwrite_chunks(clustered, path, source, chunk)
-    done = episodes.join(pending, [source, chunk], "left_semi")
-    rows = ledger_rows(done, stage, "done", F.col(source), F.col(chunk), F.col(episode))
+    rows = ledger_rows(written, stage, "done", F.col(source), F.col(chunk), F.col(episode))
     rows.write.mode("append").parquet(ledger_path)
 
 
+def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """The table at ``path`` with the columns of ``like``, None where there is none yet."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        return None
+
+
 def overwrite_chunks(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace exactly the partitions present in ``df``."""
     (
@@ -103,15 +122,19 @@ def roll_up(
     frames: DataFrame, out: str, source: str, chunk_size: int, fps: float, fps_features: float,
     min_frames: int = 32,
 ) -> None:
-    """Frames of long enough episodes, the episode table and a one-row info file."""
+    """Frames of long enough episodes, the episode table and a one-row info file.
+
+    Rows are clustered by chunk and frame block before the write; a rerun replaces all three.
+    """
     spark = frames.sparkSession
     kept = long_enough(frames, "episode_index", min_frames).withColumn(
         "chunk", F.floor(F.col("episode_index") / chunk_size)
     )
-    kept.write.partitionBy("chunk").parquet(f"{out}/data")
+    clustered = kept.repartition("chunk", F.floor(F.col("frame_index") / BLOCK))
+    clustered.write.mode("overwrite").partitionBy("chunk").parquet(f"{out}/data")
     written = spark.read.parquet(f"{out}/data")
     episodes = episode_rollup(written, "episode_index", "embodiment", chunk_size)
-    episodes.write.parquet(f"{out}/meta/episodes")
+    episodes.write.mode("overwrite").parquet(f"{out}/meta/episodes")
     table = spark.read.parquet(f"{out}/meta/episodes")
     info = table.agg(
         F.lit("v2.1").alias("codebase_version"),
@@ -121,7 +144,7 @@ def roll_up(
         F.count(F.lit(1)).alias("n_episodes"),
         F.sum("length").alias("n_frames"),
     )
-    info.write.json(f"{out}/meta/info")
+    info.write.mode("overwrite").json(f"{out}/meta/info")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
@@ -174,32 +197,55 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def cached_table(spark: SparkSession, root: str, config: dict, build: Callable[[], DataFrame]):
-    """Table stored under the hash of its configuration; built and written only when absent."""
+    """Table stored under the hash of its configuration; built and written only when absent.
+
+    It is written to a fresh folder, and a row of ``root/published`` then makes it known; a folder
+    that a dead job left behind is never read, and of two jobs at once the first name counts.
+    """
     import hashlib
     import json
+    import uuid
 
     key = hashlib.md5(json.dumps(config, sort_keys=True).encode()).hexdigest()
-    path = f"{root}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    fields = T.StructType([T.StructField("key", T.StringType()), T.StructField("folder", T.StringType())])
+    entry = spark.createDataFrame([(key, f"{key}-{uuid.uuid4().hex}")], fields)
+
+    def folder() -> str | None:
+        known = stored(spark, f"{root}/published", entry)
+        return None if known is None else known.where(F.col("key") == key).agg(F.min("folder")).first()[0]
+
+    if folder() is None:
+        build().write.parquet(f"{root}/{entry.first()['folder']}")
+        entry.write.mode("append").parquet(f"{root}/published")
+    return spark.read.parquet(f"{root}/{folder()}")
 
 
 def publish_changed(
     chunks: DataFrame, state_path: str, keys: Sequence[str], digest: str,
     upload: Callable[[DataFrame], None],
 ) -> None:
-    """Hand the changed chunks to a callable sink, then append their hashes to the state table."""
+    """Hand the changed chunks to a callable sink, then append their hashes to the state table.
+
+    The state is append-only and numbered by publication; a chunk's latest hash counts, so content
+    that returns to an older form is published again. The changed chunks are written once: what is
+    uploaded is what is recorded.
+    """
     spark = chunks.sparkSession
-    try:
-        state = spark.read.parquet(state_path)
-    except AnalysisException:
-        state = chunks.select(*keys, digest).limit(0)
-    todo = changed(chunks, state, keys, digest)
+    numbered = chunks.select(*keys, digest).withColumn("publication", F.lit(0).cast("long"))
+    state = stored(spark, state_path, numbered)
+    number = 0
+    if state is None:
+        todo = chunks
+    else:
+        number = state.agg(F.max("publication")).first()[0] + 1
+        latest = state.groupBy(*keys).agg(F.max_by(digest, "publication").alias(digest))
+        todo = changed(chunks, latest, keys, digest)
+    todo = materialise(todo, "publish")
+    if todo.isEmpty():
+        return
     upload(todo)
-    todo.select(*keys, digest).write.mode("append").parquet(state_path)
+    rows = todo.select(*keys, digest).withColumn("publication", F.lit(number).cast("long"))
+    rows.write.mode("append").parquet(state_path)
 
 
 def chunk_complete(ledger_path: str, chunk_stats: DataFrame, stage: str = "chunk") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark import schemas
-from epispark.sources.sinks import ledger_rows
+from epispark.sources.sinks import ledger_rows, read_ledger, stored
 
 
 def file_stream(
@@ -38,16 +39,27 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
 
 def ingest(
     stream: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, ledger: str,
-    checkpoint: str, source: str = "source", episode: str = "episode_index",
+    checkpoint: str, source: str = "source", item: str = "episode_index",
 ) -> None:
     """Resumable ingest: each micro-batch replaces its own partition, then its episodes are marked.
 
     A micro-batch that is replayed after a crash has the same number and the same input, so neither
-    loss nor duplicates occur.
+    loss nor duplicates occur. Items that the ledger names as done are not converted again, also
+    after a restart with a fresh checkpoint folder, whose batches get names of their own. ``item`` is
+    what is delivered as a whole, in one file, and marked: an episode by default.
     """
+    spark = stream.sparkSession
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def flush(batch: DataFrame, number: int) -> None:
-        frames = convert(batch).withColumn("batch", F.lit(number))
+        folder = f"{run}-{number}"
+        done = read_ledger(spark, ledger, f"{schemas.LEDGER}, batch string").where(
+            (F.col("status") == "done") & (F.col("batch") != folder)
+        ).select(F.col("source").alias("__s"), F.col("item").alias("__i"))
+        fresh = batch.join(
+            done, (F.col(source) == F.col("__s")) & (F.col(item).cast("string") == F.col("__i")), "left_anti"
+        )
+        frames = convert(fresh).withColumn("batch", F.lit(folder))
         (
             frames.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -55,11 +67,13 @@ def ingest(
             .parquet(out)
         )
         # the marks come from what was written, not from a second conversion
-        written = batch.sparkSession.read.parquet(out).where(F.col("batch") == number)
-        done = written.select(source, episode).distinct()
-        rows = ledger_rows(done, "ingest", "done", F.col(source), F.lit(number), F.col(episode))
+        written = stored(spark, f"{out}/batch={folder}", frames.drop("batch"))
+        if written is None:  # nothing new in this batch
+            return
+        done = written.select(source, item).distinct()
+        rows = ledger_rows(done, "ingest", "done", F.col(source), F.lit(number), F.col(item))
         (
-            rows.withColumn("batch", F.lit(number))
+            rows.withColumn("batch", F.lit(folder))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch")
