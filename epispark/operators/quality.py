@@ -288,13 +288,13 @@ def assign_batches(df: DataFrame, index: str, size: int) -> DataFrame:
 
 
 def pad_batches(
-    df: DataFrame, batch: str, tokens: str, pad: int, max_length: int
+    df: DataFrame, batch: str, tokens: str, pad: int, max_length: int | None = None
 ) -> DataFrame:
-    """Token arrays cut to ``max_length`` and padded to their batch's longest, with a mask.
+    """Token arrays, cut to ``max_length`` if given, padded to their batch's longest, with a mask.
 
     The longest length is one aggregated row per batch.
     """
-    cut = df.withColumn(tokens, F.slice(tokens, 1, max_length))
+    cut = df if max_length is None else df.withColumn(tokens, F.slice(tokens, 1, max_length))
     longest = cut.groupBy(batch).agg(F.max(F.size(tokens)).alias("__w"))
     n = F.size(tokens)
     fill = F.col("__w") - n
@@ -312,12 +312,14 @@ def pad_batches(
     )
 
 
-def pack_batches(df: DataFrame, batch: str, order: str, tokens: str, max_length: int) -> DataFrame:
+def pack_batches(
+    df: DataFrame, batch: str, order: str, tokens: str, max_length: int | None = None
+) -> DataFrame:
     """Token arrays of a batch laid end to end with the start offset of each (plus the total).
 
     A batch has a fixed number of rows, so the lists are bounded.
     """
-    cut = df.withColumn(tokens, F.slice(tokens, 1, max_length))
+    cut = df if max_length is None else df.withColumn(tokens, F.slice(tokens, 1, max_length))
     item = F.struct(F.col(order).alias("o"), F.col(tokens).alias("t"))
     lists = cut.groupBy(batch).agg(F.array_sort(F.collect_list(item))["t"].alias("parts"))
     sizes = F.transform("parts", F.size)

@@ -450,14 +450,25 @@ def retained_checkpoints(
     )
 
 
-def hold_last(values: Column, i: Column) -> Column:
-    """Element ``i`` of an array, its last element past the end."""
-    return F.coalesce(F.get(values, i), F.try_element_at(values, F.lit(-1)))
-
+def pad_episodes(
+    df: DataFrame, keys: Sequence[str], index: str, multiple: int, last: Sequence[str] = (),
+    first: Sequence[str] = (),
+) -> DataFrame:
+    """Episodes continued to a whole multiple of frames, holding values of their last or first frame.
 
-def hold_first(values: Column, i: Column) -> Column:
-    """Element ``i`` of an array, its first element past the end."""
-    return F.coalesce(F.get(values, i), F.get(values, F.lit(0)))
+    Needs a dense index from 0. The ends of an episode come from one hash aggregate per key and an
+    episode gains less than ``multiple`` rows, so its frames are neither sorted nor gathered.
+    """
+    ends = df.groupBy(*keys).agg(
+        (F.max(index) + 1).alias("__n"),
+        *[F.max_by(c, index).alias(c) for c in last],
+        *[F.min_by(c, index).alias(c) for c in first],
+    )
+    stop = F.ceil(F.col("__n") / multiple) * multiple
+    more = ends.where(F.col("__n") < stop).select(
+        *keys, F.explode(F.sequence(F.col("__n"), stop - 1)).alias(index), *last, *first
+    )
+    return df.select(*keys, index, *last, *first).unionByName(more)
 
 
 def future_trajectory(

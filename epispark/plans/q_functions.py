@@ -335,16 +335,17 @@ def _(spark, sf):
     "FN-30",
     f"""WITH c AS (SELECT conv_id, turn, role, {WORDS} AS n FROM conversations)
     SELECT conv_id, turn, n::INTEGER AS n, (CASE WHEN role = 'assistant' THEN greatest(n - 3, 0) ELSE 0 END)::INTEGER AS n_targets,
-      (CASE WHEN role = 'assistant' AND n > 3 THEN n ELSE -100 END)::INTEGER AS last FROM c WHERE n > 0""",
+      (CASE WHEN n = 0 THEN NULL WHEN role = 'assistant' AND n > 3 THEN n ELSE -100 END)::INTEGER AS last FROM c""",
 )
 def _(spark, sf):
     # stand-in tokenizer: the running number of the word
-    c = table(spark, sf, "conversations").withColumn("n", X.word_count(F.col("text"))).where("n > 0")
-    mask = X.target_mask(F.col("role"), F.sequence(F.lit(1), F.col("n")))
+    c = table(spark, sf, "conversations").withColumn("n", X.word_count(F.col("text")))
+    words = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    mask = X.target_mask(F.col("role"), words)
     c = c.withColumn("m", mask)
     return c.select("conv_id", "turn", F.size("m").alias("n"),
                     F.size(F.filter("m", lambda x: x != X.IGNORE)).alias("n_targets"),
-                    F.element_at("m", -1).alias("last"))
+                    F.try_element_at("m", F.lit(-1)).alias("last"))
 
 
 @query(
@@ -424,7 +425,7 @@ def tokens(spark, sf):
         F.array().cast("array<int>")).alias("tokens"))
 
 
-WORDCTE = f"d AS (SELECT doc_id, doc_id // 16 AS batch, least({WORDS}, 200) AS n FROM documents)"
+WORDCTE = f"d AS (SELECT doc_id, doc_id // 16 AS batch, {WORDS} AS n FROM documents)"
 
 
 @query(
@@ -435,7 +436,7 @@ WORDCTE = f"d AS (SELECT doc_id, doc_id // 16 AS batch, least({WORDS}, 200) AS n
 )
 def _(spark, sf):
     t = Q.assign_batches(tokens(spark, sf), "doc_id", 16)
-    out = Q.pad_batches(t, "batch", "tokens", 0, 200)
+    out = Q.pad_batches(t, "batch", "tokens", 0)
     return out.select("doc_id", "batch", F.size("input_ids").alias("width"),
                       F.size(F.filter("attention_mask", lambda b: b)).alias("n_real"),
                       F.coalesce(F.try_element_at("input_ids", F.lit(-1)), F.lit(0)).alias("last"))
@@ -450,7 +451,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = Q.assign_batches(tokens(spark, sf), "doc_id", 16)
-    out = Q.pack_batches(t, "batch", "doc_id", "tokens", 200)
+    out = Q.pack_batches(t, "batch", "doc_id", "tokens")
     out = out.select("batch", F.size("input_ids").alias("total"), F.size("cu_seqlens").alias("k"),
                      F.posexplode("cu_seqlens").alias("pos", "start"))
     return out.where(F.col("pos") < F.col("k") - 1).drop("k")

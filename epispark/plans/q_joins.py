@@ -154,7 +154,7 @@ def _(spark, sf):
     "JN-06",
     f"""WITH {EV}, ft AS (SELECT episode, frame // 6 AS i, value FROM ev WHERE frame % 6 = 0),
     n AS (SELECT episode, max(i) + 1 AS n FROM ft GROUP BY 1),
-    s AS (SELECT episode, frame AS t FROM ev WHERE frame % 10 = 7)
+    s AS (SELECT episode, frame AS t FROM ev)
     SELECT s.episode, s.t, p.pos::INTEGER AS pos, ft.i AS feat_idx, {R("ft.value")} AS value
     FROM s JOIN n USING (episode) CROSS JOIN (SELECT unnest(range(12)) AS pos) p
     JOIN ft ON ft.episode = s.episode
@@ -165,7 +165,7 @@ def _(spark, sf):
     feats = Q.subsample_rate(ev, "frame", F.lit(30.0), F.lit(5.0)).select(
         "episode", F.floor(F.col("frame") / 6).alias("feat_idx"), "value"
     )
-    samples = ev.where("frame % 10 = 7").select("episode", F.col("frame").alias("t"))
+    samples = ev.select("episode", F.col("frame").alias("t"))
     out = J.feature_window(samples, feats, ["episode"], "t", "feat_idx", 6, 4, 8, "value")
     return out.select("episode", "t", "pos", "feat_idx", r(F.col("value")).alias("value"))
 
@@ -276,7 +276,7 @@ def _(spark, sf):
     "jn12_attach_rule",
     "JN-12 SRC-20 FN-12 UDF-03",
     f"""WITH {LF} SELECT episode, frame, {R("CASE sk % 3 WHEN 0 THEN x3 WHEN 1 THEN x0 * 0.5 ELSE x2 END")}
-      AS c0 FROM lf WHERE sk % 4 <> 3""",
+      AS c0 FROM lf""",
 )
 def _(spark, sf):
     from epispark.sources.readers import registry_rules
@@ -298,7 +298,7 @@ def _(spark, sf):
         ).alias("doc")
     ).distinct()
     rules = registry_rules(doc, "doc").select("embodiment", "kind", "native_dim", "scale")
-    rows = line_frames(spark, sf).where("sk % 4 <> 3").select(
+    rows = line_frames(spark, sf).select(
         "episode", "frame", "x0", "x2", "x3",
         F.concat(F.lit("arm"), F.col("sk") % 3).alias("embodiment"),
     )
@@ -366,14 +366,14 @@ def _(spark, sf):
 @query(
     "jn15_camera_tokens",
     "JN-15",
-    f"""WITH e AS (SELECT vec_id // 4 AS idx, vec_id % 4 AS cam, embedding FROM embeddings WHERE vec_id % 9 <> 5),
+    f"""WITH e AS (SELECT vec_id // 4 AS idx, vec_id % 4 AS cam, embedding FROM embeddings),
     t AS (SELECT idx, unnest(list_concat(embedding[1:2], embedding[3:4])) AS x, unnest(range(4)) AS p,
         (ARRAY[2, 0, 1, NULL])[cam + 1] AS ord FROM e)
     SELECT idx, (row_number() OVER (PARTITION BY idx ORDER BY ord, p) - 1)::INTEGER AS pos,
       {R("x::DOUBLE")} AS x FROM t WHERE ord IS NOT NULL""",
 )
 def _(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 9 <> 5").select(
+    e = table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / 4).alias("idx"), (F.col("vec_id") % 4).alias("cam"),
         F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 2)).alias("tokens"))
     cams = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("cam")).distinct()

@@ -370,11 +370,11 @@ for _w in (12, 14, 17):
     )
 
 OL = f"""{LF}, ol AS (SELECT episode, frame AS h, sqrt((x2 - x3) ** 2 + (0.1 * x2) ** 2) AS l2
-  FROM lf WHERE frame < 8)"""
+  FROM lf)"""
 
 
 def _open_loop(spark, sf):
-    rows = line_frames(spark, sf).where("frame < 8")
+    rows = line_frames(spark, sf)
     return rows.select(
         "episode", F.col("frame").alias("h"), F.array("x2", "x3").alias("gt"),
         F.array(F.col("x3"), F.col("x3") + F.col("x2") * 0.1).alias("pred"),

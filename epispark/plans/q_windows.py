@@ -400,10 +400,10 @@ def _(spark, sf):
     "win16_dense_manifest_index",
     "WIN-16 SRT-01",
     """SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS episode_idx
-    FROM documents WHERE lang <> 'fr'""",
+    FROM documents""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where("lang <> 'fr'").select("doc_id", "source")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
     out = W.global_index(docs, ["source", "doc_id"], "episode_idx")
     return out.select("doc_id", "episode_idx")
 
@@ -443,28 +443,15 @@ def _(spark, sf):
 @query(
     "win19_hold_last_frame",
     "WIN-19 PRJ-13",
-    f"""WITH {EV}, l AS (SELECT episode, list(value ORDER BY frame) AS v,
-        list(event_type ORDER BY frame) AS s FROM ev WHERE frame < 60 GROUP BY 1)
-    SELECT episode, i AS pos, {R("v[1 + least(i, len(v) - 1)]")} AS value,
-      CASE WHEN i < len(s) THEN s[1 + i] ELSE s[1] END AS txt
-    FROM l CROSS JOIN (SELECT unnest(range(64)) AS i)""",
+    f"""WITH {EV}, n AS (SELECT episode, count(*) AS n, arg_max(value, frame) AS v, arg_min(event_type, frame) AS s
+      FROM ev GROUP BY 1)
+    SELECT episode, frame AS pos, {R("value")} AS value, event_type AS txt FROM ev
+    UNION ALL SELECT episode, unnest(range(n, (n + 63) // 64 * 64)), {R("v")}, s FROM n""",
 )
 def _(spark, sf):
-    # the first 60 frames of an episode, so the arrays are bounded
-    ev = signal_frames(spark, sf).where("frame < 60")
-    arrays = ev.groupBy("episode").agg(
-        F.array_sort(F.collect_list(F.struct("frame", "value", "event_type"))).alias("a")
-    )
-    rows = arrays.select(
-        "episode", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("pos")
-    )
-    i = F.col("pos").cast("int")
-    return rows.select(
-        "episode",
-        "pos",
-        r(W.hold_last(F.col("a.value"), i)).alias("value"),
-        W.hold_first(F.col("a.event_type"), i).alias("txt"),
-    )
+    out = W.pad_episodes(signal_frames(spark, sf), ["episode"], "frame", 64, last=["value"], first=["event_type"])
+    return out.select("episode", F.col("frame").alias("pos"), r(F.col("value")).alias("value"),
+                      F.col("event_type").alias("txt"))
 
 
 @query(
