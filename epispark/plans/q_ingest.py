@@ -351,17 +351,84 @@ def _(spark, sf):
 
 @query(
     "src05_episode_files",
-    "SRC-05 SNK-03",
-    """SELECT user_id % 16 AS episode_index, count(*) AS n FROM events GROUP BY 1""",
+    "SRC-05",
+    """SELECT user_id AS episode_index, count(*) AS n FROM events GROUP BY 1""",
 )
 def _(spark, sf):
-    # one folder per episode group; the number is read back from the file path
+    # one file per episode; its number is read back from the path
     out = scratch_path(spark, "v2files")
-    ev = table(spark, sf, "events").withColumn("group", F.col("user_id") % 16)
-    ev.write.partitionBy("group").parquet(out)
-    df = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"group=(\d+)/.*$", "episode_$1.parquet")
-    return df.groupBy(RD.episode_of_file(path).alias("episode_index")).agg(F.count(F.lit(1)).alias("n"))
+    ev = table(spark, sf, "events").withColumn("episode", F.col("user_id"))
+    ev.repartition("episode").write.partitionBy("episode").parquet(out)
+    files = RD.read_episode_files(spark, out, "*.parquet")
+    return files.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "src10_parquet_index",
+    "SRC-10",
+    "SELECT DISTINCT l_orderkey AS episode_index FROM lineitem",
+)
+def _(spark, sf):
+    root = scratch_path(spark, "v3")
+    keys = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("episode_index")).distinct()
+    keys.write.parquet(f"{root}/meta/episodes")
+    return RD.episodes_with_fallbacks(spark, root)
+
+
+@query(
+    "src10_file_names",
+    "SRC-10 SRC-01",
+    "SELECT DISTINCT user_id AS episode_index FROM events",
+)
+def _(spark, sf):
+    root = scratch_path(spark, "v2")
+    ev = table(spark, sf, "events").withColumn("episode", F.col("user_id"))
+    ev.repartition("episode").write.partitionBy("episode").parquet(f"{root}/data")
+    return RD.episodes_with_fallbacks(spark, root, "*.parquet")
+
+
+@query(
+    "src02_one_episode",
+    "SRC-02",
+    f"""WITH {LF} SELECT frame AS frame_index, {R("frame / 15.0")} AS timestamp FROM lf
+    WHERE episode = (SELECT max(episode) FROM lf)""",
+)
+def _(spark, sf):
+    out, ledger = scratch_path(spark, "frames"), scratch_path(spark, "ledger")
+    SK.write_frames(demo_frames(spark, sf), out, ledger)
+    last = table(spark, sf, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    rows = RD.read_frames(spark, out, episode=last, columns=["frame_index", "timestamp"])
+    return rows.withColumn("timestamp", r(F.col("timestamp")))
+
+
+@query(
+    "snk03_manifest",
+    "SNK-03",
+    f"""WITH {PATHS}, k AS (SELECT 'pages::' || path AS episode_id FROM l WHERE page_id % 11 <> 0 AND page_id % 7 <> 0)
+    SELECT episode_id, row_number() OVER (ORDER BY episode_id) - 1 AS episode_idx,
+      substr(sha256(episode_id), 1, 12) AS hash FROM k""",
+)
+def _(spark, sf):
+    out = scratch_path(spark, "manifest")
+    files = Q.payload_files(page_listing(spark, sf), F.col("path"))
+    SK.write_manifest(RD.manifest(files, "pages", "none", F.col("path")), out)
+    return spark.read.parquet(out).select("episode_id", "episode_idx", "hash")
+
+
+@query(
+    "snk11_chunk_complete",
+    "SNK-11",
+    f"""WITH {LF} SELECT 'lines' AS source, episode // 4096 AS chunk, 'done' AS status, count(DISTINCT episode) AS n_episodes,
+      count(*) AS n_frames, (24 * count(*))::BIGINT AS bytes, true AS timed FROM lf GROUP BY 2""",
+)
+def _(spark, sf):
+    import time
+
+    ledger, started = scratch_path(spark, "ledger"), time.time()
+    SK.chunk_complete(demo_frames(spark, sf), ledger, F.size("proprio") * 8, started)
+    rows = spark.read.parquet(ledger)
+    return rows.select("source", "chunk", "status", "n_episodes", "n_frames", "bytes",
+                       (F.col("elapsed_seconds") >= 0).alias("timed"))
 
 
 @query(

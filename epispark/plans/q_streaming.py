@@ -179,6 +179,21 @@ def _(spark, sf):
                       r(F.col("mean_drift")).alias("mean_drift"), "n_steps")
 
 
+@query(
+    "str08_batch_metrics",
+    "STR-08",
+    f"""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, user_id,
+      count_if(event_type = 'signup')::BIGINT AS refresh_count, {R("avg(value)")} AS mean_drift, count(*) AS n_steps
+    FROM events GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """The same operator over the finished table: all windows, the last ones included."""
+    ev = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    out = FL.live_metrics(ev, "at", "user_id", F.col("event_type") == "signup", F.col("value"))
+    return out.select(F.unix_micros("window_start").alias("window_us"), "user_id", "refresh_count",
+                      r(F.col("mean_drift")).alias("mean_drift"), "n_steps")
+
+
 # ---- transforms and hooks -----------------------------------------------------------------
 
 

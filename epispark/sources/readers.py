@@ -123,8 +123,9 @@ def read_tasks(spark: SparkSession, path: str, table: bool = False) -> DataFrame
 
 
 def episode_of_file(path: Column) -> Column:
-    """Episode number in a per-episode file name."""
-    return F.regexp_extract(path, r"episode_(\d+)\.[^/]*$", 1).try_cast("long")
+    """Episode number in a per-episode file name, or folder name where Spark wrote the file."""
+    name = r"episode[_=](\d+)(?:\.[^/]*)?(?:/part-[^/]*)?$"
+    return F.regexp_extract(path, name, 1).try_cast("long")
 
 
 def read_episode_files(spark: SparkSession, root: str, pattern: str = "episode_*.parquet"):
@@ -211,20 +212,29 @@ def tolerant_json(lines: DataFrame, column: str, schema: str) -> DataFrame:
 def episodes_with_fallbacks(
     spark: SparkSession, root: str, pattern: str = "episode_*.parquet"
 ) -> DataFrame:
-    """Episode numbers from the parquet index, else the JSON lines file, else the file names."""
-    for path in (f"{root}/meta/episodes.parquet", f"{root}/meta/episodes"):
+    """Episode numbers from the parquet index, else the JSON lines file, else the file names.
+
+    Only an absent file leads on to the next form; an index without its column is an error.
+    """
+
+    def present(read, path: str) -> DataFrame | None:
         try:
-            return spark.read.parquet(path).select(F.col("episode_index").cast("long"))
-        except AnalysisException:
-            continue
-    try:
-        lines = spark.read.text(f"{root}/meta/episodes.jsonl")
+            return read(path)
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            return None
+
+    for path in (f"{root}/meta/episodes.parquet", f"{root}/meta/episodes"):
+        index = present(spark.read.parquet, path)
+        if index is not None:
+            return index.select(F.col("episode_index").cast("long"))
+    lines = present(spark.read.text, f"{root}/meta/episodes.jsonl")
+    if lines is not None:
         return tolerant_json(lines, "value", "episode_index long").select("episode_index")
-    except AnalysisException:
-        files = list_files(spark, f"{root}/data", pattern)
-        return files.select(episode_of_file(F.col("path")).alias("episode_index")).where(
-            "episode_index is not null"
-        )
+    files = list_files(spark, f"{root}/data", pattern)
+    numbers = files.select(episode_of_file(F.col("path")).alias("episode_index"))
+    return numbers.where("episode_index is not null").distinct()
 
 
 LANGUAGE_LINE = (

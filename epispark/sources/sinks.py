@@ -248,12 +248,24 @@ def publish_changed(
     rows.write.mode("append").parquet(state_path)
 
 
-def chunk_complete(ledger_path: str, chunk_stats: DataFrame, stage: str = "chunk") -> None:
-    """Append one finished row per chunk."""
-    rows = ledger_rows(
-        chunk_stats, stage, "done", F.col("source"), F.col("chunk"), F.lit("*")
+def chunk_complete(
+    frames: DataFrame, ledger_path: str, size: Column, started: float, stage: str = "chunk",
+    source: str = "source", chunk: str = "chunk", episode: str = "episode_index",
+) -> None:
+    """Append one finished row per chunk with its episodes, frames, bytes and elapsed seconds."""
+    stats = frames.groupBy(source, chunk).agg(
+        F.count_distinct(F.col(episode)).alias("n_episodes"),
+        F.count(F.lit(1)).alias("n_frames"),
+        F.sum(size).alias("bytes"),
     )
-    rows.write.mode("append").parquet(ledger_path)
+    rows = ledger_rows(stats, stage, "done", F.col(source), F.col(chunk), F.lit("*"))
+    facts = stats.select(
+        F.col(source).alias("__s"), F.col(chunk).cast("long").alias("__c"), "n_episodes", "n_frames", "bytes"
+    )
+    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("chunk").eqNullSafe(F.col("__c"))
+    full = rows.join(facts, same).drop("__s", "__c")
+    elapsed = F.col("updated_at") - F.lit(started)
+    full.withColumn("elapsed_seconds", elapsed).write.mode("append").parquet(ledger_path)
 
 
 def write_evaluation(steps: DataFrame, path: str, by: str = "traj_id") -> None:
