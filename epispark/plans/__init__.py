@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     q_sampling,
     q_ingest,
     q_streaming,
+    q_large,
 )
 
 __all__ = ["REGISTRY"]

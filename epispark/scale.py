@@ -20,6 +20,7 @@ from epispark.session import materialise
 
 BLOCK = 4096
 ROWS_PER_BUCKET = 1 << 20
+MAX_BUCKETS = 1024
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -125,17 +126,19 @@ def order_buckets(
 ) -> Column | None:
     """Bucket number of a numeric position, or None when one bucket is enough.
 
-    A size check like the one before a broadcast: minimum, maximum and count of this one column are
-    read first, then the range is cut evenly into ``count / rows_per_bucket`` buckets. A small table
-    gets the plain one-level plan, a large one the two-level plan, whatever the key distribution.
+    A size check like the one before a broadcast: the positions are counted first, and a table of at
+    most ``rows_per_bucket`` gets the plain one-level plan. A larger one is cut at approximate
+    quantiles of the position, so outliers do not leave most rows in one bucket; only equal positions
+    always share one. There are at most ``MAX_BUCKETS``, whose cut points are a literal.
     """
     per = rows_per_bucket or ROWS_PER_BUCKET
-    facts = df.agg(F.min(position), F.max(position), F.count(position)).first()
-    low, high, count = facts[0], facts[1], facts[2]
-    n = -(-count // per)
-    if n <= 1 or high <= low:
+    n = min(-(-df.agg(F.count(position)).first()[0] // per), MAX_BUCKETS)
+    if n <= 1:
         return None
-    return F.floor((position - low) / F.lit(float(high - low + 1)) * n)
+    shares = [i / n for i in range(1, n)]
+    cuts = sorted(set(df.agg(F.percentile_approx(position, shares, 10 * n)).first()[0]))
+    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < position)
+    return F.size(below).cast("long")
 
 
 def key_prefix(bucket: Column | None, *leading: Column) -> list[Column]:

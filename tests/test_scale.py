@@ -165,3 +165,12 @@ def test_sample_rate_is_exact(spark):
     rates = spark.createDataFrame([("a", 0.25), ("b", 0.333)], "d string, rate double")
     got = {r["d"]: r["count"] for r in sample_rate(df, "d", "id", rates, 1, buckets=64).groupBy("d").count().collect()}
     assert got == {"a": 1000, "b": 333}
+
+
+def test_outliers_do_not_fill_one_bucket(spark):
+    n = 40_000
+    at = F.when(F.col("id") % 4000 == 0, F.col("id") * 10**9).otherwise(F.col("id"))
+    df = spark.range(n).select(at.alias("frame"))
+    bucket = scale.order_buckets(df, F.col("frame"), 1000)
+    sizes = [r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 2 * n / 40
