@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,14 +23,15 @@ from epispark.llm.words import whole
 from epispark.session import materialise
 
 HEAD = 1 << 18  # words whose counts every task knows, at most
-CODED = 4096  # most frequent of them, coded bit by bit
+CODED = 2048  # most frequent of them, coded bit by bit
 STOPS = 64  # most frequent words, whose last occurrences are contexts
 SLOT_BITS = 18  # slots of a context table
 CONTEXTS = 3
 GATES = 16
 SEGMENT = 256  # tokens between two refinements of a text's weights
 PRIOR = 60.0  # pull of a text's weights to the common ones
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 17
+CHUNK = 1 << 13  # counters of a row, when partitions' context tables are added up
 BUCKETS = 8  # count buckets a doubling, to find the head's smallest count
 TUNING_FOLD = 9  # crc32 remainder of training documents that fit the mixing weights
 LOG2_10 = float(np.log2(10))
@@ -91,9 +92,8 @@ class Model:
         all_counts = np.r_[self.ends, self.counts].astype(np.float64)
         rest = self.tokens - all_counts[:coded].sum()
         self.coded = coded
-        self.at, self.len, self.node, self.bit, zeros, ones = code_tree(
-            np.r_[all_counts[:coded], rest] * 10 + 1
-        )
+        self.at, self.len, node, bit, zeros, ones = code_tree(np.r_[all_counts[:coded], rest] * 10 + 1)
+        self.code = (node * 2 + bit).astype(np.uint32)
         self.base_stretch = np.log(ones / zeros).astype(np.float32) if coded else np.zeros(1, np.float32)
         # log10 (c + 0.1) of head words, and of the words that share the rest symbol
         self.smooth = np.log10(all_counts + 0.1)
@@ -102,7 +102,7 @@ class Model:
         if self.tables is not None:
             z, o = self.tables[:, :, 0], self.tables[:, :, 1]
             self.stretch = np.log((o + 0.4) / (z + 0.4)).astype(np.float32)
-            self.sure = np.searchsorted([1, 8, 64], z + o, side="right").astype(np.int64)
+            self.sure = np.searchsorted([1, 8, 64], z + o, side="right").astype(np.uint8)
 
 
 _models: dict[str, Model] = {}
@@ -118,23 +118,24 @@ def _ready(broadcast) -> Model:
     return _models[model.tag]
 
 
-def _token_blocks(texts: list[bytes], model: Model):
+def _token_blocks(texts: list[bytes], model: Model, strange: bool = True):
     """Blocks of whole texts: first text, ids of all tokens (-1 outside the head), tokens per text,
-    and the words outside the head as (text, word) pairs."""
-    start, ids, sizes, strange, total = 0, [], [], [], 0
+    and, if asked for, the words outside the head as (text, word) pairs."""
+    start, ids, sizes, others, total = 0, [], [], [], 0
     get = model.ids.get
     for i, t in enumerate(texts):
         words = t.lower().split()
         own = np.fromiter(map(get, words, [-1] * len(words)), np.int32, len(words))
-        strange += [(i, words[j]) for j in np.flatnonzero(own < 0).tolist()]
+        if strange:
+            others += [(i, words[j]) for j in np.flatnonzero(own < 0).tolist()]
         ids += [own, np.zeros(1, np.int32)]
         sizes.append(len(words) + 1)
         total += len(words) + 1
         if total >= BLOCK_TOKENS:
-            yield start, np.concatenate(ids), np.array(sizes), strange
-            start, ids, sizes, strange, total = i + 1, [], [], [], 0
+            yield start, np.concatenate(ids), np.array(sizes), others
+            start, ids, sizes, others, total = i + 1, [], [], [], 0
     if sizes:
-        yield start, np.concatenate(ids), np.array(sizes), strange
+        yield start, np.concatenate(ids), np.array(sizes), others
 
 
 def _contexts(ids: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
@@ -156,21 +157,24 @@ def _contexts(ids: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndar
     return symbol, previous, one, one * (STOPS + 1) + two.astype(np.int64)
 
 
-def _bits(model: Model, symbol: np.ndarray):
-    """Nodes and bits of the symbols' codes, and for each bit its token."""
+def _bits(model: Model, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and bits of the symbols' codes, one after the other, and their number per symbol."""
     n = model.len[symbol]
-    token = np.repeat(np.arange(len(symbol)), n)
-    at = np.arange(len(token)) + np.repeat(model.at[symbol] - (np.cumsum(n) - n), n)
-    return model.node[at], model.bit[at], token
+    at = np.arange(n.sum()) + np.repeat(model.at[symbol] - (np.cumsum(n) - n), n)
+    code = model.code[at]
+    return code >> np.uint32(1), code & np.uint32(1), n
 
 
-def _slots(node: np.ndarray, token: np.ndarray, seeds: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-    out = []
+def _slots(node: np.ndarray, n: np.ndarray, seeds: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+    """Per context the slot of every bit, a hash of the context's seed and the node."""
+    spread = node * np.uint32(0x9E3779B1)
     for k, seed in enumerate(seeds):
-        mixed = (seed * 4 + k + 1) * -7046029254386353131
-        h = (mixed[token] ^ (node * 0x2545F4914F6CDD1D)) * -49064778989728563
-        out.append((h >> 40) & ((1 << SLOT_BITS) - 1))
-    return out
+        mixed = (seed.astype(np.uint32) * np.uint32(8) + np.uint32(k + 1)) * np.uint32(0x85EBCA77)
+        mixed ^= mixed >> np.uint32(15)
+        h = (np.repeat(mixed, n) ^ spread) * np.uint32(0xC2B2AE3D)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(0x27D4EB2F)
+        yield h >> np.uint32(32 - SLOT_BITS)
 
 
 def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray, learn: bool):
@@ -189,27 +193,32 @@ def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray,
     order = np.argsort(-sizes, kind="stable")
     gates_a = np.zeros((GATES, width, width))
     gates_b = np.zeros((GATES, width))
+    columns = weights.astype(np.float32).T.copy()
     for s in range(0, int(sizes.max()), SEGMENT):
         who = np.sort(order[: int((sizes > s).sum())])
         size = np.minimum(sizes[who] - s, SEGMENT)
         tokens = np.arange(size.sum()) + np.repeat(first[who] + s - (np.cumsum(size) - size), size)
-        node, bit, token = _bits(model, symbol[tokens])
-        n_bits = np.bincount(np.repeat(np.arange(len(who)), size), model.len[symbol[tokens]], len(who)).astype(np.int64)
-        slots = _slots(node, token, tuple(x[tokens] for x in seeds))
-        x = np.empty((width, len(node)), np.float32)
-        x[0] = model.base_stretch[node]
-        for k in range(CONTEXTS):
-            x[k + 1] = model.stretch[k][slots[k]]
-        gate = model.sure[0][slots[0]] * 4 + model.sure[2][slots[2]]
+        node, bit, n = _bits(model, symbol[tokens])
+        n_bits = np.add.reduceat(n, np.cumsum(size) - size)
+        x = [model.base_stretch[node]]
+        gate = None
+        for k, slot in enumerate(_slots(node, n, [y[tokens] for y in seeds])):
+            x.append(model.stretch[k][slot])
+            if k in (0, CONTEXTS - 1):
+                sure = model.sure[k][slot]
+                gate = sure * np.uint8(4) if gate is None else gate + sure
         z = np.zeros(len(node), np.float32)
         for k in range(width):
-            z += x[k] * (weights[:, k].astype(np.float32)[gate] + np.repeat(shift[who, k], n_bits))
-        p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-        signed = np.where(bit == 1, z, -z)
-        cost = -np.logaddexp(np.float32(0), -signed)
+            w = columns[k][gate]
+            if s:
+                w += np.repeat(shift[who, k], n_bits)
+            z += w * x[k]
+        sign = bit.astype(np.float32) * 2 - 1
+        q = 1 / (1 + np.exp(np.clip(-sign * z, -20, 20)))  # probability of the bit that came
         starts = np.cumsum(n_bits) - n_bits
-        total[who] += np.add.reduceat(cost.astype(np.float64), starts)
-        err, h = (bit - p).astype(np.float32), (p * (1 - p)).astype(np.float32)
+        total[who] += np.add.reduceat(np.log(q), starts, dtype=np.float64)
+        err = (1 - q) * sign
+        h = q * (1 - q)
         if learn:
             for k in range(width):
                 gates_b[:, k] += np.bincount(gate, err * x[k], GATES)
@@ -219,8 +228,7 @@ def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray,
                     if j != k:
                         gates_a[:, j, k] += a
             continue
-        more = sizes[who] > s + SEGMENT
-        if more.any():
+        if (sizes[who] > s + SEGMENT).any():
             for k in range(width):
                 grad[who, k] += np.add.reduceat(err * x[k], starts)
                 curve[who, k] += np.add.reduceat(h * x[k] * x[k], starts)
@@ -253,26 +261,40 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_bits(broadcast):
-    """Non-zero counters of all context slots of a partition: (place, n)."""
+    """A partition's context tables, as rows of ``CHUNK`` counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _ready(broadcast)
-        sums = np.zeros(CONTEXTS << (SLOT_BITS + 1), np.int64)
+        sums = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64)
         for batch in batches:
-            for _, ids, sizes, _ in _token_blocks(batch.column(0).to_pylist(), model):
+            for _, ids, sizes, _ in _token_blocks(batch.column(0).to_pylist(), model, strange=False):
                 symbol, *seeds = _contexts(ids, sizes, model)
-                node, bit, token = _bits(model, symbol)
-                for k, slot in enumerate(_slots(node, token, tuple(seeds))):
-                    part = np.bincount(slot * 2 + bit, minlength=2 << SLOT_BITS)
-                    sums[k << (SLOT_BITS + 1) : (k + 1) << (SLOT_BITS + 1)] += part
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["place", "n"]
-        )
+                node, bit, n = _bits(model, symbol)
+                for k, slot in enumerate(_slots(node, n, seeds)):
+                    sums[k] += np.bincount(slot * np.uint32(2) + bit, minlength=2 << SLOT_BITS)
+        yield from _chunk_rows(dict(enumerate(sums.reshape(-1, CHUNK))))
 
     return run
 
 
+def _chunk_rows(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    some = {c: v for c, v in sums.items() if v.any()}
+    raw = [v.astype("<i8").tobytes() for v in some.values()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(some), pa.int32()), pa.array(raw, pa.binary())], names=["chunk", "counts"]
+    )
+
+
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per chunk; a task holds one running sum per chunk, however many rows come."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            v = np.frombuffer(raw.as_buffer(), "<i8")
+            sums[c] = sums[c] + v if c in sums else v.copy()
+    yield from _chunk_rows(sums)
+
+
 def _tune(broadcast):
     """Sums of curvature and curvature times weights per gate, so that partitions average."""
 
@@ -282,7 +304,7 @@ def _tune(broadcast):
         weights = np.full((GATES, width), 1 / width)
         curve = np.tile(np.eye(width) * 10.0, (GATES, 1, 1))
         for batch in batches:
-            for _, ids, sizes, _ in _token_blocks(batch.column(0).to_pylist(), model):
+            for _, ids, sizes, _ in _token_blocks(batch.column(0).to_pylist(), model, strange=False):
                 _, a, b = _mix(model, ids, sizes, weights, learn=True)
                 curve = 0.7 * curve + a
                 weights = weights + np.linalg.solve(curve, b[:, :, None])[:, :, 0]
@@ -376,9 +398,10 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     model = Model(head, c, ends, total + ends, distinct + (ends > 0), distinct - len(head))
     sent = spark.sparkContext.broadcast(model)
     bulk = texts.where(F.col("part") != TUNING_FOLD).select("data")
-    tables = np.zeros(CONTEXTS << (SLOT_BITS + 1))
-    got = bulk.mapInArrow(_count_bits(sent), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    tables[got.column("place").to_numpy()] = got.column("n").to_numpy()
+    tables = np.zeros((CONTEXTS << (SLOT_BITS + 1)) // CHUNK * CHUNK).reshape(-1, CHUNK)
+    rows = bulk.mapInArrow(_count_bits(sent), "chunk int, counts binary").repartition("chunk")
+    for r in rows.mapInArrow(_add_chunks, "chunk int, counts binary").collect():  # tables of fixed size
+        tables[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
     model = Model(head, c, ends, total + ends, distinct + (ends > 0), distinct - len(head),
                   tables.reshape(CONTEXTS, -1, 2))
     sent = spark.sparkContext.broadcast(model)
