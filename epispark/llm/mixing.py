@@ -120,11 +120,11 @@ def mix(
     amounts = [F.greatest(F.lit(0), F.least(F.col("size"), whole - b)) for b in begins]
     times = []
     for b, amount in zip(begins, amounts):
-        reached = F.when(amount > 0, b / F.col("target"))
+        reached = F.when(F.col("target") > 0, b / F.col("target")).otherwise(0.0)
         time = F.lit(None).cast("double")
         for turn, knots in enumerate(schedules):
             time = F.when(F.col("turn") == turn, invert(knots, reached)).otherwise(time)
-        times.append(time)
+        times.append(F.when(amount > 0, time))
     rows = rows.select(
         F.col("doc_id").alias(key), F.col("source").alias(source), "size", "source_size", "target",
         sum(amounts[1:], amounts[0]).cast("long").alias("taken"),
