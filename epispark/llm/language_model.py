@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.words import whole
+from epispark.llm.words import text_batches, whole
 from epispark.session import materialise
 
 HEAD = 1 << 18  # words whose counts every task knows, at most
@@ -430,6 +430,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     count is 0. An empty table gives an empty table; other columns are not read.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     part = fold(key)
     src = docs.select(F.col(key).alias("id"), whole(text).cast("binary").alias("data"), part.alias("part"))
     model, counts = train(src.where(F.col("part") != 0).select("data", "part"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.bpe import blocks, piece_model
+from epispark.llm.words import text_batches
 
 CACHE_WORDS = 150_000
 CACHED_CHARS = 64
@@ -65,6 +66,7 @@ def _digests(model, rows: list[bytes]) -> dict[str, pa.Array]:
 
 
 def _source(docs: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, list[T.StructField]]:
+    text_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     return src, src.schema.fields[:-1]
 

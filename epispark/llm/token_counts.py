@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.bpe import blocks, piece_model
+from epispark.llm.words import text_batches
 
 CACHE_WORDS = 200_000
 CACHED_CHARS = 64
@@ -60,6 +61,7 @@ def count_tokens(
     keys stay as they are, an empty table gives an empty table, other columns are not read. A very
     long text forms a block of its own.
     """
+    text_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = T.StructType(
         [*src.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = "\t\n\x0b\x0c\r"
+TEXTS_PER_BATCH = 1000
 
 
 def whole(text: str | Column) -> Column:
@@ -34,3 +35,14 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of this session hold ``TEXTS_PER_BATCH`` rows at most.
+
+    Whole texts go to Python in these batches; Spark's default of 10,000 rows would keep several
+    copies of tens of MB in every task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_PER_BATCH:
+        spark.conf.set(name, TEXTS_PER_BATCH)
