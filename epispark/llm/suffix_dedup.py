@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.deep_shallow import deep_shallow_sort
-from epispark.llm.words import free_names
-from epispark.session import materialise
+from epispark.llm.words import free_names, text_batches
+from epispark.session import materialise, scratch_table
 
 LENGTH = 400
 PIECE = 64
-BUFFER = 1 << 18
+BUFFER = 1 << 16  # windows whose hashes a task holds at once
 DENSE = 192  # groups up to here compare common prefixes in a matrix
 LARGE_GROUP = 20_000  # distinct contexts of one minimiser that a task sorts
 POS_BITS = 20
@@ -120,8 +120,7 @@ def _anchor_rows(length: int, piece: int):
         maker = _anchors(length, piece)
         names = ["id", "xh", "pos", "before", "after", "own", "h", "ctx"]
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for text, *rest in maker.of(texts):
+            for text, *rest in maker.of(batch.column(2).to_pylist()):
                 rows = pa.array(text)
                 arrays = [batch.column(0).take(rows), batch.column(1).take(rows)]
                 arrays += [pa.array(x.astype(np.int64)) for x in rest]
@@ -236,13 +235,17 @@ def repeated_spans(
 
     ``xh`` is the text's hash; together they name a document even if keys are null or repeated.
     """
+    text_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
     src = src.select("id", F.xxhash64("data").alias("xh"), "data")
     fields = [T.StructField(n, T.LongType()) for n in ("xh", "pos", "before", "after", "own", "h", "ctx")]
     schema = T.StructType([src.schema["id"], *fields])
-    anchors = materialise(src.mapInArrow(_anchor_rows(length, piece), schema), "anchors")
+    anchors, drop = scratch_table(src.mapInArrow(_anchor_rows(length, piece), schema), "anchors")
+    # join sides are written first, so that adaptive execution can split the tasks of a hot minimiser
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = materialise(often, "often")
     again = materialise(anchors.join(often, "h", "left_semi"), "anchors")
+    drop()
     contexts = materialise(
         again.groupBy("h", "ctx").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("xh", "pos", "id", "before", "after", "own")).alias("at")
@@ -250,6 +253,7 @@ def repeated_spans(
         "contexts",
     )
     mixed = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mixed = materialise(mixed, "mixed")
     wanted = (
         contexts.join(mixed, "h")
         .groupBy(F.col("at.id").alias("wid"), F.col("at.xh").alias("wxh"))
@@ -259,7 +263,7 @@ def repeated_spans(
     # equal rows give a context more than once: as many equal strings, which n > 1 covers anyway
     strings = src.join(wanted, F.expr("id <=> wid AND xh = wxh"))
     strings = strings.select("data", F.explode("w").alias("w"))
-    strings = materialise(
+    strings, drop = scratch_table(
         strings.select("w.h", "w.ctx", "w.before", "w.own", cut.alias("data"), "w.m"), "strings"
     )
     sorted_ = (
@@ -278,6 +282,8 @@ def repeated_spans(
         )
         .where(F.col("left").isNotNull())
     )
+    covered = materialise(covered, "covered")
+    drop()
     span = F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + F.col("right")).alias("hi"))
     return (
         again.join(covered, ["h", "ctx"]).select("id", "xh", span.alias("span"))
