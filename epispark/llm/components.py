@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.session import materialise
+from epispark.session import scratch_table
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, drops: list[Callable[[], None]]) -> DataFrame:
     """One star operation on edges ``a > b``; hubs are aggregated map-side, never gathered."""
     if small:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -22,6 +24,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
             )
         )
     low = near.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low, drop = scratch_table(low, "lowest")  # so that adaptive execution can split a hub's rows in the join
+    drops.append(drop)
     joined = near.join(low, F.col("u") == F.col("w"))
     if small:
         moved = joined.select(
@@ -41,12 +45,12 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
     """``node, root`` for every node with a link, ``root`` the smallest node it reaches.
 
     Links are long columns in any direction, repeats and self-links allowed; rows with a null end are
-    left out. Each round writes its edges to the shared folder, so lineage stays short; the loop ends
-    when a round changes nothing. Only counts and sums come to the driver.
+    left out. Each round writes its edges to the shared folder, so lineage stays short, and deletes those
+    of the round before; the loop ends when a round changes nothing. Only counts and sums come to the driver.
     """
     a, b = F.col(left), F.col(right)
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), a.isNotNull().alias("x"), b.isNotNull().alias("y"))
-    edges = materialise(edges.where("x AND y AND a > b").select("a", "b").distinct(), "edges")
+    edges, drop = scratch_table(edges.where("x AND y AND a > b").select("a", "b").distinct(), "edges")
     state = None
     for _ in range(rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
@@ -55,5 +59,8 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         state = now
-        edges = materialise(_star(_star(edges, small=False), small=True), "edges")
+        drops = [drop]
+        edges, drop = scratch_table(_star(_star(edges, False, drops), True, drops), "edges")
+        for done in drops:
+            done()
     raise RuntimeError(f"components did not settle in {rounds} rounds")

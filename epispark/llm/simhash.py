@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.components import components
-from epispark.llm.words import free_names
+from epispark.llm.words import free_names, text_batches
 from epispark.session import materialise
 
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprints(
                 [*batch.columns[:-1], fp], names=[*batch.schema.names[:-1], "fp"]
             )
 
+    text_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).cast("string").cast("binary").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())])
     return src.mapInArrow(run, schema)
@@ -228,6 +229,7 @@ def near_duplicates(
     )
     lowest = members.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     members = members.join(lowest, F.col("root") == F.col("r")).select("cfp", "component_id")
+    members = materialise(members, "members")  # a fingerprint of many copies can then be split
     return marked.join(members, F.col("fp") == F.col("cfp")).select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
