@@ -34,6 +34,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from epispark.session import materialise
+
 SCHEMA = (
     "record_type string, record_id string, target_uri string, warc_date string, "
     "payload_digest string, refers_to string, payload_length long, payload binary"
@@ -395,6 +397,7 @@ def write_archive(
         .agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & F.col("first").isNotNull())
     )
+    groups = materialise(groups, "warc-copies")  # adaptive execution can then split a hot payload's join
     rows = rows.join(groups, F.col("digest") == F.col("g"), "left")
     again = F.col("first").isNotNull() & (F.col("k").isNull() | (F.col("k") > F.col("first")))
     urn = lambda c: F.concat(F.lit(URN), F.col(c).cast("string"))
