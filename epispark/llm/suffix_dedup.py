@@ -67,7 +67,8 @@ class Anchors:
 
     def of(self, texts: list[bytes]):
         """Per anchor: text number, position, bytes of context before and after, the offsets of the
-        windows whose minimiser it is (lowest * 65536 + highest), and two hashes."""
+        windows whose minimiser it is (lowest * 65536 + highest), two hashes, and how far and how
+        many anchors a run of equal contexts goes on."""
         k, side = self.piece, self.side
         last = (-1, -1)
         for held in self.pieces([len(t) for t in texts]):
@@ -107,7 +108,14 @@ class Anchors:
             begin, stop = at - before, at + after
             ctx = (sums[stop] - sums[begin]) * self.inv[begin]
             ctx = self.mix(ctx ^ self.mix((before * 65536 + after).astype(U)))
-            yield text, pos, before, after, own, grams[at].view(np.int64), ctx.view(np.int64)
+            h = grams[at]
+            # in a periodic text neighbours have equal contexts: such a run is one row
+            same = (text[1:] == text[:-1]) & (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1])
+            head = np.flatnonzero(np.r_[True, ~same])
+            tail = np.r_[head[1:], len(pos)] - 1
+            span, many = pos[tail] - pos[head], tail - head + 1
+            h, ctx = h.view(np.int64), ctx.view(np.int64)
+            yield *(x[head] for x in (text, pos, before, after, own, h, ctx)), span, many
 
 
 @functools.lru_cache(maxsize=2)
@@ -118,7 +126,7 @@ def _anchors(length: int, piece: int) -> Anchors:
 def _anchor_rows(length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _anchors(length, piece)
-        names = ["id", "xh", "pos", "before", "after", "own", "h", "ctx"]
+        names = ["id", "xh", "pos", "before", "after", "own", "h", "ctx", "run", "many"]
         for batch in batches:
             for text, *rest in maker.of(batch.column(2).to_pylist()):
                 rows = pa.array(text)
@@ -238,17 +246,17 @@ def repeated_spans(
     text_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
     src = src.select("id", F.xxhash64("data").alias("xh"), "data")
-    fields = [T.StructField(n, T.LongType()) for n in ("xh", "pos", "before", "after", "own", "h", "ctx")]
+    fields = [T.StructField(n, T.LongType()) for n in ("xh", "pos", "before", "after", "own", "h", "ctx", "run", "many")]
     schema = T.StructType([src.schema["id"], *fields])
     anchors, drop = scratch_table(src.mapInArrow(_anchor_rows(length, piece), schema), "anchors")
     # join sides are written first, so that adaptive execution can split the tasks of a hot minimiser
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = anchors.groupBy("h").agg(F.sum("many").alias("n")).where("n > 1").select("h")
     often = materialise(often, "often")
     again = materialise(anchors.join(often, "h", "left_semi"), "anchors")
     drop()
     contexts = materialise(
         again.groupBy("h", "ctx").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("xh", "pos", "id", "before", "after", "own")).alias("at")
+            F.sum("many").alias("n"), F.min(F.struct("xh", "pos", "id", "before", "after", "own")).alias("at")
         ),
         "contexts",
     )
@@ -284,7 +292,7 @@ def repeated_spans(
     )
     covered = materialise(covered, "covered")
     drop()
-    span = F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + F.col("right")).alias("hi"))
+    span = F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + F.col("run") + F.col("right")).alias("hi"))
     return (
         again.join(covered, ["h", "ctx"]).select("id", "xh", span.alias("span"))
         .groupBy("id", "xh").agg(F.collect_list("span").alias("spans"))
