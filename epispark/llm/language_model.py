@@ -10,6 +10,7 @@ log10 probability of a text, and to its bits per byte.
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -23,9 +24,11 @@ from epispark.llm.words import text_batches, whole
 from epispark.session import materialise
 
 HEAD = 1 << 18  # words whose counts every task knows, at most
-CODED = 2048  # most frequent of them, coded bit by bit
+CODED = 4096  # most frequent of them, coded bit by bit: so many at least, more in a large corpus
 STOPS = 64  # most frequent words, whose last occurrences are contexts
-SLOT_BITS = 18  # slots of a context table
+SLOT_BITS = 18  # slots of a context table, at least
+SLOTS_PER_WORD = 64  # and at least so many for each coded word
+TASKS_PER_CORE = 4  # tasks that count contexts, each with tables of its own
 CONTEXTS = 3
 GATES = 16
 SEGMENT = 256  # tokens between two refinements of a text's weights
@@ -42,6 +45,16 @@ def fold(key: str, mod: int = 10) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod
 
 
+def coded_words(tokens: int) -> int:
+    """Symbols coded bit by bit, as far as the head has them: the square root of the corpus' tokens."""
+    return max(CODED, math.isqrt(tokens))
+
+
+def slot_bits(coded: int) -> int:
+    """log2 of a context table's slots, which grow with the coded words."""
+    return max(SLOT_BITS, (SLOTS_PER_WORD * coded - 1).bit_length())
+
+
 def code_tree(counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Huffman code of the symbols: offsets, lengths, nodes and bits, and each node's zeros and ones."""
     n = len(counts)
@@ -70,9 +83,15 @@ def code_tree(counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.cumsum(length) - length, length, np.array(nodes, np.int64), np.array(bits, np.int64), zeros, ones
 
 
+def _read(z: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched probability of a one, and how well-known it is, from zeros and ones."""
+    stretch = np.log((o + 0.4) / (z + 0.4)).astype(np.float32)
+    return stretch, np.searchsorted([1, 8, 64], z + o, side="right").astype(np.uint8)
+
+
 @dataclass
 class Model:
-    """What a task needs to read texts; its size is bounded by the constants above."""
+    """What a task needs to read texts; it grows with the square root of the corpus."""
 
     words: list[bytes]  # by falling count
     counts: np.ndarray
@@ -82,13 +101,19 @@ class Model:
     known_beyond: int  # distinct training words outside the head, they are few texts' words
     tables: np.ndarray | None = None  # zeros and ones per slot of every context
     weights: np.ndarray | None = None  # per gate and predictor
+    stretch: np.ndarray | None = None  # what scoring reads of the tables
+    sure: np.ndarray | None = None  # and how well-known each slot is
     tag: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def prepare(self) -> None:
         if hasattr(self, "ids"):
             return
         self.ids = {w: i + 1 for i, w in enumerate(self.words)}  # 0 is the end
-        coded = min(CODED, len(self.words) + 1)
+        coded = min(coded_words(self.tokens), len(self.words) + 1)
+        if self.tables is not None:
+            self.stretch, self.sure = _read(self.tables[:, :, 0], self.tables[:, :, 1])
+        slots = 1 << slot_bits(coded) if self.stretch is None else self.stretch.shape[1]
+        self.slot_bits = slots.bit_length() - 1
         all_counts = np.r_[self.ends, self.counts].astype(np.float64)
         rest = self.tokens - all_counts[:coded].sum()
         self.coded = coded
@@ -99,10 +124,6 @@ class Model:
         self.smooth = np.log10(all_counts + 0.1)
         self.norm = np.log10(self.tokens + 0.1 * (self.distinct + 1))
         self.rest_norm = np.log10(rest + 0.1 * (self.distinct - coded + 1 + (self.ends == 0)))
-        if self.tables is not None:
-            z, o = self.tables[:, :, 0], self.tables[:, :, 1]
-            self.stretch = np.log((o + 0.4) / (z + 0.4)).astype(np.float32)
-            self.sure = np.searchsorted([1, 8, 64], z + o, side="right").astype(np.uint8)
 
 
 _models: dict[str, Model] = {}
@@ -165,7 +186,9 @@ def _bits(model: Model, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return code >> np.uint32(1), code & np.uint32(1), n
 
 
-def _slots(node: np.ndarray, n: np.ndarray, seeds: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+def _slots(
+    node: np.ndarray, n: np.ndarray, seeds: Sequence[np.ndarray], bits: int
+) -> Iterator[np.ndarray]:
     """Per context the slot of every bit, a hash of the context's seed and the node."""
     spread = node * np.uint32(0x9E3779B1)
     for k, seed in enumerate(seeds):
@@ -174,7 +197,7 @@ def _slots(node: np.ndarray, n: np.ndarray, seeds: Sequence[np.ndarray]) -> Iter
         h = (np.repeat(mixed, n) ^ spread) * np.uint32(0xC2B2AE3D)
         h ^= h >> np.uint32(13)
         h *= np.uint32(0x27D4EB2F)
-        yield h >> np.uint32(32 - SLOT_BITS)
+        yield h >> np.uint32(32 - bits)
 
 
 def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray, learn: bool):
@@ -202,7 +225,7 @@ def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray,
         n_bits = np.add.reduceat(n, np.cumsum(size) - size)
         x = [model.base_stretch[node]]
         gate = None
-        for k, slot in enumerate(_slots(node, n, [y[tokens] for y in seeds])):
+        for k, slot in enumerate(_slots(node, n, [y[tokens] for y in seeds], model.slot_bits)):
             x.append(model.stretch[k][slot])
             if k in (0, CONTEXTS - 1):
                 sure = model.sure[k][slot]
@@ -265,13 +288,14 @@ def _count_bits(broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _ready(broadcast)
-        sums = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64)
+        cells = 2 << model.slot_bits
+        sums = np.zeros((CONTEXTS, cells), np.uint32)
         for batch in batches:
             for _, ids, sizes, _ in _token_blocks(batch.column(0).to_pylist(), model, strange=False):
                 symbol, *seeds = _contexts(ids, sizes, model)
                 node, bit, n = _bits(model, symbol)
-                for k, slot in enumerate(_slots(node, n, seeds)):
-                    sums[k] += np.bincount(slot * np.uint32(2) + bit, minlength=2 << SLOT_BITS)
+                for k, slot in enumerate(_slots(node, n, seeds, model.slot_bits)):
+                    sums[k] += np.bincount(slot * np.uint32(2) + bit, minlength=cells).astype(np.uint32)
         yield from _chunk_rows(dict(enumerate(sums.reshape(-1, CHUNK))))
 
     return run
@@ -279,20 +303,28 @@ def _count_bits(broadcast):
 
 def _chunk_rows(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     some = {c: v for c, v in sums.items() if v.any()}
-    raw = [v.astype("<i8").tobytes() for v in some.values()]
+    raw = [v.astype("<u4").tobytes() for v in some.values()]
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(some), pa.int32()), pa.array(raw, pa.binary())], names=["chunk", "counts"]
     )
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums per chunk; a task holds one running sum per chunk, however many rows come."""
+    """Sums per chunk as what scoring reads; a task holds one running sum per chunk."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            v = np.frombuffer(raw.as_buffer(), "<i8")
-            sums[c] = sums[c] + v if c in sums else v.copy()
-    yield from _chunk_rows(sums)
+            v = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+            sums[c] = sums[c] + v if c in sums else v
+    stretch, sure = [], []
+    for v in sums.values():
+        x, known = _read(v[::2], v[1::2])
+        stretch.append(x.astype("<f4").tobytes())
+        sure.append(known.tobytes())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array(stretch, pa.binary()), pa.array(sure, pa.binary())],
+        names=["chunk", "stretch", "sure"],
+    )
 
 
 def _tune(broadcast):
@@ -398,12 +430,17 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     model = Model(head, c, ends, total + ends, distinct + (ends > 0), distinct - len(head))
     sent = spark.sparkContext.broadcast(model)
     bulk = texts.where(F.col("part") != TUNING_FOLD).select("data")
-    tables = np.zeros((CONTEXTS << (SLOT_BITS + 1)) // CHUNK * CHUNK).reshape(-1, CHUNK)
+    # few tasks, since each hands on tables of its own: their bytes follow the tables, not the input
+    bulk = bulk.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    coded = min(coded_words(total + ends), len(head) + 1)
+    slots = CONTEXTS << slot_bits(coded)
+    stretch, sure, half = np.zeros(slots, np.float32), np.zeros(slots, np.uint8), CHUNK // 2
     rows = bulk.mapInArrow(_count_bits(sent), "chunk int, counts binary").repartition("chunk")
-    for r in rows.mapInArrow(_add_chunks, "chunk int, counts binary").collect():  # tables of fixed size
-        tables[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
+    for r in rows.mapInArrow(_add_chunks, "chunk int, stretch binary, sure binary").collect():
+        at = slice(r["chunk"] * half, r["chunk"] * half + half)
+        stretch[at], sure[at] = np.frombuffer(r["stretch"], "<f4"), np.frombuffer(r["sure"], np.uint8)
     model = Model(head, c, ends, total + ends, distinct + (ends > 0), distinct - len(head),
-                  tables.reshape(CONTEXTS, -1, 2))
+                  stretch=stretch.reshape(CONTEXTS, -1), sure=sure.reshape(CONTEXTS, -1))
     sent = spark.sparkContext.broadcast(model)
     tuning = texts.where(F.col("part") == TUNING_FOLD).select("data")
     sums = tuning.mapInArrow(_tune(sent), "place int, v double").groupBy("place").agg(F.sum("v").alias("v"))

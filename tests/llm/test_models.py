@@ -140,3 +140,29 @@ def test_next_token_probabilities_sum_to_one():
     all_counts = np.r_[5, counts]
     rest = [*all_counts[model.coded :], 3, 2, 1, 1, 0]
     assert sum(10 ** (math.log10(c + 0.1) - model.rest_norm) for c in rest) == pytest.approx(1)
+
+
+def test_model_grows_with_the_corpus():
+    """Coded words and context slots follow the corpus; a small one has 4,096 coded words."""
+    assert lm.coded_words(1000) == 4096 and lm.slot_bits(4096) == 18
+    assert lm.coded_words(10**8) == 10**4 and lm.slot_bits(10**4) == 20
+    words = [b"w%d" % i for i in range(12_000)]
+    counts = np.full(len(words), 10_000, np.int64)
+    model = lm.Model(words, counts, 5, int(counts.sum()) + 5, len(words) + 1, 0)
+    model.prepare()
+    assert model.coded == math.isqrt(model.tokens) > 10_000 and model.slot_bits == 20
+
+
+def test_tables_equal_their_counts(spark):
+    """Tables summed by Spark, of several chunks, equal those counted in one task."""
+    rows = [(r.text.encode(), i % 10) for i, r in enumerate(table(spark, SMALL, "documents").limit(60).collect())]
+    model, _ = lm.train(spark.createDataFrame(rows, "data binary, part int").repartition(5))
+    model.prepare()
+    sums = np.zeros((lm.CONTEXTS, 1 << model.slot_bits, 2))
+    for _, ids, sizes, _ in lm._token_blocks([t for t, p in rows if p != lm.TUNING_FOLD], model, strange=False):
+        symbol, *seeds = lm._contexts(ids, sizes, model)
+        node, bit, n = lm._bits(model, symbol)
+        for k, slot in enumerate(lm._slots(node, n, seeds, model.slot_bits)):
+            np.add.at(sums[k], (slot, bit), 1)
+    stretch, sure = lm._read(sums[:, :, 0], sums[:, :, 1])
+    assert np.array_equal(model.sure, sure) and np.allclose(model.stretch, stretch)
