@@ -31,7 +31,8 @@ SLOTS_PER_WORD = 64  # and at least so many for each coded word
 TASKS_PER_CORE = 4  # tasks that count contexts, each with tables of its own
 CONTEXTS = 3
 GATES = 16
-SEGMENT = 256  # tokens between two refinements of a text's weights
+FIRST_SEGMENT = 32  # tokens before a text's weights are first refined
+SEGMENT = 256  # tokens between two later refinements, at most
 PRIOR = 60.0  # pull of a text's weights to the common ones
 BLOCK_TOKENS = 1 << 17
 CHUNK = 1 << 13  # counters of a row, when partitions' context tables are added up
@@ -55,6 +56,14 @@ def slot_bits(coded: int) -> int:
     return max(SLOT_BITS, (SLOTS_PER_WORD * coded - 1).bit_length())
 
 
+def segments(longest: int) -> Iterator[tuple[int, int]]:
+    """Token ranges between refinements, doubling from ``FIRST_SEGMENT`` to ``SEGMENT``."""
+    s, step = 0, FIRST_SEGMENT
+    while s < longest:
+        yield s, s + step
+        s, step = s + step, min(2 * step, SEGMENT)
+
+
 def code_tree(counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Huffman code of the symbols: offsets, lengths, nodes and bits, and each node's zeros and ones."""
     n = len(counts)
@@ -217,9 +226,9 @@ def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray,
     gates_a = np.zeros((GATES, width, width))
     gates_b = np.zeros((GATES, width))
     columns = weights.astype(np.float32).T.copy()
-    for s in range(0, int(sizes.max()), SEGMENT):
+    for s, end in segments(int(sizes.max())):
         who = np.sort(order[: int((sizes > s).sum())])
-        size = np.minimum(sizes[who] - s, SEGMENT)
+        size = np.minimum(sizes[who], end) - s
         tokens = np.arange(size.sum()) + np.repeat(first[who] + s - (np.cumsum(size) - size), size)
         node, bit, n = _bits(model, symbol[tokens])
         n_bits = np.add.reduceat(n, np.cumsum(size) - size)
@@ -251,7 +260,7 @@ def _mix(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray,
                     if j != k:
                         gates_a[:, j, k] += a
             continue
-        if (sizes[who] > s + SEGMENT).any():
+        if (sizes[who] > end).any():
             for k in range(width):
                 grad[who, k] += np.add.reduceat(err * x[k], starts)
                 curve[who, k] += np.add.reduceat(h * x[k] * x[k], starts)

@@ -166,3 +166,18 @@ def test_tables_equal_their_counts(spark):
             np.add.at(sums[k], (slot, bit), 1)
     stretch, sure = lm._read(sums[:, :, 0], sums[:, :, 1])
     assert np.array_equal(model.sure, sure) and np.allclose(model.stretch, stretch)
+
+
+def test_short_texts_are_refined(monkeypatch):
+    """A text of 100 tokens has weights of its own before its end."""
+    words = [b"w%d" % i for i in range(30)]
+    r = np.random.default_rng(3)
+    model = lm.Model(words, np.arange(40, 10, -1).astype(np.int64), 5, 900, 31, 0,
+                     r.integers(0, 50, (lm.CONTEXTS, 1 << lm.SLOT_BITS, 2)).astype(float),
+                     r.normal(0.4, 0.2, (lm.GATES, lm.CONTEXTS + 1)))
+    model.prepare()
+    ids = r.integers(1, 30, 100).astype(np.int32)
+    own, _, _ = lm._mix(model, ids, np.array([100]), model.weights, False)
+    monkeypatch.setattr(lm, "PRIOR", 1e18)
+    common, _, _ = lm._mix(model, ids, np.array([100]), model.weights, False)
+    assert abs(own[0] - common[0]) > 1e-3
