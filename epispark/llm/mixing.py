@@ -71,9 +71,12 @@ def mix(
     schedules: Sequence = SCHEDULES,
     share: float = 1.5,
     cap: float = 2.0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: ``key, source, size, source_size, target, taken, positions, position``.
 
+    Columns named in ``carry`` come along, and decide between rows of equal key and size.
+
     Inside a source documents follow one another in the order of ``md5(key)``, again from the start
     after the last one, until the target is reached: ``taken`` words come from a document, at most
     ``cap`` times its size, and a source's sum is the whole part of its target. ``positions`` are the
@@ -95,6 +98,7 @@ def mix(
             F.col(source).alias("source"),
             size.cast("long").alias("size"),
             hashed.alias("h"),
+            *carry,
         ),
         "mix-sizes",
     ).withColumn("part", F.substring("h", 1, DIGITS))
@@ -108,7 +112,7 @@ def mix(
         F.col("p.source").alias("p_source"), F.col("part").alias("p_part"),
         "shift", "turn", "source_size", "target",
     )
-    inner = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size")
+    inner = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", *carry)
     rows = sized.withColumn(
         "inside",
         F.coalesce(F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -128,7 +132,7 @@ def mix(
     rows = rows.select(
         F.col("doc_id").alias(key), F.col("source").alias(source), "size", "source_size", "target",
         sum(amounts[1:], amounts[0]).cast("long").alias("taken"),
-        F.array_compact(F.array(*times)).alias("positions"), "h",
+        F.array_compact(F.array(*times)).alias("positions"), "h", *carry,
     ).withColumn("position", F.get("positions", F.lit(0)))
     order = [F.col("position").asc_nulls_last(), F.col("h")]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("h")
@@ -141,13 +145,15 @@ def draw(
 
     A copy that the target cuts is taken whole, since documents are never truncated, if at least half
     of it fits. Positions are times in 0..1, so partitions are equal slices of training time and need
-    no sampling job. ``key`` must be unique here; rows with a null key take no part.
+    no sampling job. Rows are numbered in a written table and planned by number, so repeated and null
+    keys are rows like any other.
     """
-    k, at = free_names(docs, "mix_key", "mix_time")
-    plan = mix(docs, size, source, key, **how).where(F.col("taken") > 0)
-    copies = plan.select(F.col(key).alias(k), F.posexplode("positions").alias("n", at), "size", "taken")
+    k, at, row = free_names(docs, "mix_key", "mix_time", "mix_row")
+    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(docs, size, source, key, carry=(row,), **how).where(F.col("taken") > 0)
+    copies = plan.select(F.col(row).alias(k), F.posexplode("positions").alias("n", at), "size", "taken")
     copies = copies.where(F.col("taken") - F.col("n") * F.col("size") >= F.col("size") / 2)
-    rows = docs.join(copies.select(k, at), F.col(key) == F.col(k))
+    rows = docs.join(copies.select(k, at), F.col(row) == F.col(k))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.least(F.floor(F.col(at) * parts), F.lit(parts - 1)).cast("int")
-    return rows.repartitionById(parts, place).sortWithinPartitions(at, k).drop(k, at)
+    return rows.repartitionById(parts, place).sortWithinPartitions(at, k).drop(k, at, row)

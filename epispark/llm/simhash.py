@@ -221,26 +221,34 @@ def near_duplicates(
     other. Null keys come last: a component of null keys only has component null. Repeated rows give
     repeated results. An empty table gives an empty table; other columns are not read.
     """
-    marked = materialise(fingerprints(docs, text, (key,), width), "fingerprints")
+    return _grouped(docs, text, key, width).select(
+        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, text: str, key: str, width: int, *carry: str) -> DataFrame:
+    """``key``, ``carry``, ``fp``, ``component_id``; and with ``carry`` the component's ``root``."""
+    marked = materialise(fingerprints(docs, text, (key, *carry), width), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min(key).alias("first"))
     found = components(links(classes), "a", "b")
     members = classes.join(found, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("cfp"), "first", F.coalesce("root", "fp").alias("root")
     )
     lowest = members.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    members = members.join(lowest, F.col("root") == F.col("r")).select("cfp", "component_id")
+    members = members.join(lowest, F.col("root") == F.col("r")).select("cfp", "component_id", *(["root"] if carry else []))
     members = materialise(members, "members")  # a fingerprint of many copies can then be split
-    return marked.join(members, F.col("fp") == F.col("cfp")).select(
-        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked.join(members, F.col("fp") == F.col("cfp")).drop("cfp")
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents of ``docs``, of each near-duplicate group only the one with the smallest key.
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
+    """The documents of ``docs``, of each near-duplicate group one row: that with the smallest key.
 
-    Rows that share this key all stay; a group of null keys only keeps all its rows.
+    Null keys come last. Rows are numbered in a written table; of rows that share the smallest key, or
+    have no key, the one with the lowest number stays.
     """
-    (k,) = free_names(docs, "kept_key")
-    groups = near_duplicates(docs, text, key)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(k))
-    return docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col(k)), "left_semi")
+    row, k = free_names(docs, "kept_row", "kept_key")
+    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "kept-rows")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    first = _grouped(docs, text, key, width, row).groupBy("root").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first.row").alias(k))
+    return docs.join(kept, F.col(row) == F.col(k), "left_semi").drop(row)

@@ -217,3 +217,11 @@ def test_suffix_dedup_of_the_table(spark, sf):
     texts = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     got = sorted(map(tuple, QUERIES["op7_suffix_dedup"](spark, sf).collect()), key=str)
     assert got == brute_dedup(texts, 400)
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Exact repeats, and groups of null keys only, give one row each."""
+    base = [" ".join(f"w{g}x{i}" for i in range(80)) for g in range(3)]
+    rows = [(1, base[0])] * 5 + [(2, base[0])] + [(None, base[1])] * 4 + [(None, base[2]), (9, base[2])]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, base[0]), (None, base[1]), (9, base[2])], key=str)

@@ -103,3 +103,16 @@ def test_draw_keeps_columns_and_repeats(odd_docs):
     got = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
     for k, r in plan.items():
         assert abs(got[k] * r["size"] - r.taken) <= r["size"] / 2
+
+
+def test_draw_of_repeated_and_null_keys(spark):
+    """Every row is planned and drawn by itself, at most twice, up to its source's target."""
+    rows = [(7, f"one two three four r{i}", "a") for i in range(6)] + [(7, "same words here", "a")] * 6
+    rows += [(None, f"no key at all n{i}", "b") for i in range(8)] + [(k, "a b c", "b") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = draw(docs, word_count("text")).collect()
+    plan = mix(docs, word_count("text")).collect()
+    assert sum(len(p.positions) for p in plan) - 2 <= len(out) <= sum(len(p.positions) for p in plan)
+    have, got = collections.Counter(rows), collections.Counter(map(tuple, out))
+    assert all(n <= 2 * have[x] for x, n in got.items())
+    assert any(k is None for k, _, _ in got)
