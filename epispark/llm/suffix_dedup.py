@@ -357,12 +357,22 @@ def dedup_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", **how
     return rows.mapInArrow(run, schema)
 
 
+def _whole_words(data: bytes, lo: int, hi: int) -> int:
+    """Words of ``data`` that lie in ``[lo, hi)`` from their first byte to their last."""
+    inside = data[lo:hi]
+    cut_first = lo > 0 and data[lo - 1 : lo + 1] == data[lo - 1 : lo + 1].strip()
+    cut_last = hi < len(data) and data[hi - 1 : hi + 1] == data[hi - 1 : hi + 1].strip()
+    return len(inside.split()) - cut_first - cut_last
+
+
 def remove_repeats(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", length_column: str = "n_chars", **how
+    docs: DataFrame, text: str = "text", key: str = "doc_id", length_column: str = "n_chars",
+    words: int = 0, **how,
 ) -> DataFrame:
     """The documents with repeats cut out of ``text``; a character goes only with all its bytes.
 
-    ``length_column``, if there is one, follows the new text. No row is dropped.
+    ``length_column``, if there is one, follows the new text. No row is dropped. With ``words``, only
+    runs of repeats that hold so many whole words go, or ``LENGTH`` bytes.
     """
 
     @F.pandas_udf("string")
@@ -372,6 +382,8 @@ def remove_repeats(
         def one(d, s):
             runs = []
             for a, b in _merged(s):
+                if b - a < LENGTH and _whole_words(d, a, b) < words:
+                    continue
                 while a < b and d[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(d) and d[b] & 0xC0 == 0x80:

@@ -104,3 +104,19 @@ def test_stages_on_odd_rows(spark, sf, odd_docs, no_docs):
             docs = materialise(f(spark, docs, sf), "odd")
             assert docs.columns == first.columns
         assert cp.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_repeated_passages_of_51_words(spark, sf):
+    """Planted 51-word passages under 400 bytes go; 40-word ones and clean documents stay."""
+    word = lambda k: f"a{k % 9973:04d}"
+    fill = iter(range(3000))
+    own = lambda n: " ".join(word(next(fill)) for _ in range(n))
+    long, short = [" ".join(word(5000 + i) for i in range(m, m + n)) for m, n in ((0, 51), (100, 40))]
+    rows = [(1, f"{own(90)} b {long} c {own(70)}"), (2, f"{own(60)} d {long} e {own(80)}"), (3, own(200)),
+            (4, f"{own(90)} {short} {own(70)}"), (5, f"{own(60)} {short} {own(80)}")]
+    assert 200 < len(short) < len(long) < 400
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.suffix_array(spark, docs, sf).collect()}
+    for k, t in rows:
+        assert got[k] == (t.replace(f" {long} ", "") if k <= 2 else t)
