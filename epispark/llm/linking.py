@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from epispark.llm.components import components
 from epispark.session import materialise, scratch_table
 
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 TILE = 128  # members of a slot; a task compares two slots at a time
 COLUMNS = 4096  # shared shingles that a task's incidence matrix holds at once
 
