@@ -134,9 +134,12 @@ def similar_components(
             ask = ask.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
             new = confirm(ask, sets, percent)
             members = materialise(joined.select("key", "cid", "n"), "open-members")
-        links = materialise(new if links is None else links.unionByName(new), "links")
+        new = materialise(new, "links")
+        links = new if links is None else links.unionByName(new)
         drop()
-        found = materialise(components(links, "a", "b"), "components")
+        # components so far are stars already, which settle sooner than all links would
+        edges = new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = materialise(components(edges, "a", "b"), "components")
         ends = links.select(F.explode(F.array("a", "b")).alias("d_"))
         degree = ends.groupBy("d_").agg(F.count(F.lit(1)).alias("deg"))
     if found is None:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epispark.llm.words import free_names
+from epispark.llm.words import free_names, numbered
 from epispark.session import materialise
 
 #: (time, weight) knots, linear in between, over training time 0..1. The integrals are 3, 1 and 2.
@@ -145,11 +145,10 @@ def draw(
 
     A copy that the target cuts is taken whole, since documents are never truncated, if at least half
     of it fits. Positions are times in 0..1, so partitions are equal slices of training time and need
-    no sampling job. Rows are numbered in a written table and planned by number, so repeated and null
-    keys are rows like any other.
+    no sampling job. Rows are planned by number, so repeated and null keys are rows like any other.
     """
     k, at, row = free_names(docs, "mix_key", "mix_time", "mix_row")
-    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    docs = numbered(docs, row)
     plan = mix(docs, size, source, key, carry=(row,), **how).where(F.col("taken") > 0)
     copies = plan.select(F.col(row).alias(k), F.posexplode("positions").alias("n", at), "size", "taken")
     copies = copies.where(F.col("taken") - F.col("n") * F.col("size") >= F.col("size") / 2)

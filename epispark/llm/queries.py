@@ -143,9 +143,13 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    from epispark.llm.suffix_dedup import dedup_digest
+    """The digest, and ``passage_words``: words in passages of over 50 words that repeat, however short."""
+    from epispark.llm.suffix_dedup import dedup_digest, passage_words
 
-    return dedup_digest(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    words = passage_words(docs).groupBy(F.col("id").alias("i")).agg(F.sum("passage_words").alias("passage_words"))
+    rows = dedup_digest(docs).join(words, F.expr("doc_id <=> i"), "left").drop("i")
+    return rows.withColumn("passage_words", F.coalesce("passage_words", F.lit(0)).cast("long"))
 
 
 @query

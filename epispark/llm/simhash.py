@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.components import components
-from epispark.llm.words import free_names, text_batches
+from epispark.llm.words import free_names, numbered, text_batches
 from epispark.session import materialise
 
 SEED = 42
@@ -243,11 +243,11 @@ def _grouped(docs: DataFrame, text: str, key: str, width: int, *carry: str) -> D
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
     """The documents of ``docs``, of each near-duplicate group one row: that with the smallest key.
 
-    Null keys come last. Rows are numbered in a written table; of rows that share the smallest key, or
-    have no key, the one with the lowest number stays.
+    Null keys come last. Of rows that share the smallest key, or have no key, the one with the lowest
+    row number stays.
     """
     row, k = free_names(docs, "kept_row", "kept_key")
-    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "kept-rows")
+    docs = numbered(docs, row)
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
     first = _grouped(docs, text, key, width, row).groupBy("root").agg(F.min(order).alias("first"))
     kept = first.select(F.col("first.row").alias(k))

@@ -13,17 +13,20 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.deep_shallow import deep_shallow_sort
+from epispark.llm.wordhash import word_hashes
 from epispark.llm.words import free_names, text_batches
 from epispark.session import materialise, scratch_table
 
 LENGTH = 400
 PIECE = 64
+WORD = 8  # bytes of a word hash
 BUFFER = 1 << 16  # windows whose hashes a task holds at once
 DENSE = 192  # groups up to here compare common prefixes in a matrix
 LARGE_GROUP = 20_000  # distinct contexts of one minimiser that a task sorts
@@ -237,15 +240,17 @@ def _reach_large(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(
     docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, piece: int = PIECE,
-    large: int = LARGE_GROUP,
+    large: int = LARGE_GROUP, by_word: bool = False,
 ) -> DataFrame:
     """``id, xh, spans`` per document with repeats: byte ranges ``[lo, hi)`` covered by repeats.
 
-    ``xh`` is the text's hash; together they name a document even if keys are null or repeated.
+    With ``by_word`` a text is the string of its words' hashes, ``WORD`` bytes each, and ranges are in
+    it. ``xh`` is the text's hash; together they name a document even if keys are null or repeated.
     """
     text_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
-    src = src.select("id", F.xxhash64("data").alias("xh"), "data")
+    data = word_string("data").alias("data") if by_word else F.col("data")
+    src = src.select("id", F.xxhash64("data").alias("xh"), data)
     fields = [T.StructField(n, T.LongType()) for n in ("xh", "pos", "before", "after", "own", "h", "ctx", "run", "many")]
     schema = T.StructType([src.schema["id"], *fields])
     anchors, drop = scratch_table(src.mapInArrow(_anchor_rows(length, piece), schema), "anchors")
@@ -299,6 +304,26 @@ def repeated_spans(
     )
 
 
+@F.pandas_udf(T.BinaryType())
+def word_string(data: pd.Series) -> pd.Series:
+    """The hashes of a text's words one after another."""
+    return pd.Series([word_hashes(d)[0].tobytes() for d in data], dtype=object)
+
+
+def passage_words(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 51) -> DataFrame:
+    """``id, xh, passage_words``: words in passages of ``words`` words or more that also start elsewhere.
+
+    Rows without such passages are missing; ``id, xh`` are as in :func:`repeated_spans`.
+    """
+
+    @F.pandas_udf("long")
+    def count(spans):
+        return pd.Series([sum(b - a for a, b in _words_of(s)) for s in spans], dtype="int64")
+
+    found = repeated_spans(docs, text, key, length=words * WORD, by_word=True)
+    return found.select("id", "xh", count("spans").alias("passage_words"))
+
+
 def _merged(spans) -> list[tuple[int, int]]:
     """Maximal runs of possibly overlapping ranges."""
     out: list[tuple[int, int]] = []
@@ -315,6 +340,12 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
+def _words_of(spans) -> list[tuple[int, int]]:
+    """Ranges in a word string as ranges of whole words."""
+    runs = [(-(-a // WORD), b // WORD) for a, b in _merged(spans)]
+    return [(a, b) for a, b in runs if b > a]
+
+
 def _with_spans(docs: DataFrame, text: str, key: str, **how) -> tuple[DataFrame, str, str]:
     """The rows with their text's bytes and repeated spans, and the names of these two columns."""
     i, x, spans, data = free_names(docs, "span_id", "span_hash", "spans", "data")
@@ -357,44 +388,28 @@ def dedup_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", **how
     return rows.mapInArrow(run, schema)
 
 
-def _whole_words(data: bytes, lo: int, hi: int) -> int:
-    """Words of ``data`` that lie in ``[lo, hi)`` from their first byte to their last."""
-    inside = data[lo:hi]
-    cut_first = lo > 0 and data[lo - 1 : lo + 1] == data[lo - 1 : lo + 1].strip()
-    cut_last = hi < len(data) and data[hi - 1 : hi + 1] == data[hi - 1 : hi + 1].strip()
-    return len(inside.split()) - cut_first - cut_last
-
-
 def remove_repeats(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", length_column: str = "n_chars",
-    words: int = 0, **how,
+    docs: DataFrame, text: str = "text", key: str = "doc_id", length_column: str = "n_chars", words: int = 51, **how
 ) -> DataFrame:
-    """The documents with repeats cut out of ``text``; a character goes only with all its bytes.
+    """The documents without passages of ``words`` words or more that also start elsewhere.
 
-    ``length_column``, if there is one, follows the new text. No row is dropped. With ``words``, only
-    runs of repeats that hold so many whole words go, or ``LENGTH`` bytes.
+    Passages are compared word by word, whatever white space is between the words, and cut together
+    with the white space around them; overlapping ones are one cut.
+    Each of them repeats as a whole: shorter repeats side by side are left alone, however long they are
+    together. ``length_column``, if there is one, follows the new text. No row is dropped; null and
+    empty texts stay as they are, equal rows repeat each other.
     """
 
     @F.pandas_udf("string")
     def cut(data, spans):
-        import pandas as pd
-
         def one(d, s):
-            runs = []
-            for a, b in _merged(s):
-                if b - a < LENGTH and _whole_words(d, a, b) < words:
-                    continue
-                while a < b and d[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(d) and d[b] & 0xC0 == 0x80:
-                    b -= 1
-                if b > a:
-                    runs.append((a, b))
-            return _kept(d, runs).decode()
+            _, starts, ends = word_hashes(d)
+            starts, ends = [*starts.tolist(), len(d)], [0, *ends.tolist()]
+            return _kept(d, [(ends[a], starts[b]) for a, b in _words_of(s)]).decode()
 
         return pd.Series([one(d, s) for d, s in zip(data, spans)], dtype=object)
 
-    rows, data, spans = _with_spans(docs, text, key, **how)
+    rows, data, spans = _with_spans(docs, text, key, length=words * WORD, by_word=True, **how)
     rows = rows.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cut(data, spans)))
     if length_column in docs.columns:
         rows = rows.withColumn(length_column, F.length(text).cast(docs.schema[length_column].dataType))

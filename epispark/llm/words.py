@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epispark.session import materialise
+
 SPACES = "\t\n\x0b\x0c\r"
 TEXTS_PER_BATCH = 1000
 
@@ -46,3 +49,20 @@ def text_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= TEXTS_PER_BATCH:
         spark.conf.set(name, TEXTS_PER_BATCH)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that is another for every row and the same in every read.
+
+    Rows of written files are named by file and place in it, so texts need not be copied; the driver
+    holds the list of files. Other tables are written once with a number.
+    """
+    path, place = free_names(docs, "file_path", "file_place")
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:  # not a plain file scan
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in rows.select(path).distinct().collect())
+    names = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, number long")
+    rows = rows.join(F.broadcast(names), F.col(path) == F.col("file"))
+    return rows.withColumn(name, F.shiftleft("number", 40) + F.col(place)).drop(path, place, "file", "number")

@@ -57,24 +57,46 @@ def test_near_duplicate_stage(stages):
     assert {r.doc_id for r in new.collect()} == {c for _, _, c in groups}
 
 
+def without_repeats(texts: dict, words: int = 51) -> dict:
+    """Texts without word sequences of ``words`` words that start twice, and the white space around."""
+    spans = {k: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for k, t in texts.items()}
+    split = {k: [t[a:b] for a, b in spans[k]] for k, t in texts.items()}
+    windows = lambda w: (tuple(w[i : i + words]) for i in range(len(w) - words + 1))
+    starts = collections.Counter(x for w in split.values() for x in windows(w))
+    out = {}
+    for k, t in texts.items():
+        gone = {i + j for i, x in enumerate(windows(split[k])) if starts[x] > 1 for j in range(words)}
+        at, kept = 0, ""
+        for i, (a, b) in enumerate(spans[k]):
+            if i not in gone:
+                kept += t[a:b] if i - 1 in gone else t[at:b]
+            at = b
+        out[k] = kept + ("" if spans[k] and len(spans[k]) - 1 in gone else t[at:])
+    return out
+
+
 def test_repeat_stage(stages):
     docs, new = stages[2]
-    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
-    starts = collections.Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    want = without_repeats({r.doc_id: r.text for r in docs.collect()})
     got = {r.doc_id: r for r in new.collect()}
-    assert got.keys() == texts.keys()
-    for k, t in texts.items():
-        gone = set()
-        for i in range(len(t) - 399):
-            if starts[t[i : i + 400]] > 1:
-                gone.update(range(i, i + 400))
-        chars, at, kept = t.decode(), 0, []
-        for c in chars:
-            n = len(c.encode())
-            if not all(at + j in gone for j in range(n)):
-                kept.append(c)
-            at += n
-        assert got[k].text == "".join(kept) and got[k].n_chars == len(kept)
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(want[k]) for k, r in got.items())
+    assert any(len(want[r.doc_id]) < len(r.text) for r in docs.collect())
+
+
+def test_short_words_and_side_by_side_repeats(spark, sf):
+    """A passage of 60 short words goes; two shorter repeats side by side stay."""
+    fill = iter(range(9999))
+    own = lambda n: " ".join(f"u{next(fill)}" for _ in range(n))
+    tiny = " ".join(chr(97 + i % 26) + chr(97 + i * 7 % 25) for i in range(60))
+    one, two = own(35), own(35)
+    rows = [(1, f"{own(60)} {tiny} {own(9)}"), (2, f"{own(9)}\n{tiny}\n\n{own(80)}"), (3, f"{own(70)} {one} {own(9)}"),
+            (4, f"{own(20)} {two} {own(70)}"), (5, f"{own(50)} {one} {two} {own(50)}"), (6, tiny.upper()), (7, tiny)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.suffix_array(spark, docs, sf).collect()}
+    assert got == without_repeats(dict(rows))
+    assert all(got[k] == t for k, t in rows if k in (3, 4, 5, 6)) and got[7] == ""
 
 
 def test_mixture_stage(stages):
