@@ -19,9 +19,8 @@ from epispark.llm.suffix_dedup import remove_repeats
 from epispark.llm.words import word_count
 from epispark.session import materialise
 
-#: A repeated passage goes from so many words on; strings of so many bytes are looked for.
+#: A repeated passage goes from so many words on.
 PASSAGE_WORDS = 51
-PASSAGE_BYTES = 200
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of over 50 words, or 400 bytes, that occur more than once."""
-    return remove_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
+    """All documents, without passages of over 50 words that occur more than once."""
+    return remove_repeats(docs, words=PASSAGE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
