@@ -11,6 +11,7 @@ from . import (  # noqa: F401
     q_ingest,
     q_streaming,
     q_large,
+    q_deep,
 )
 
 __all__ = ["REGISTRY"]
