@@ -163,10 +163,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Four episodes: the filter reaches the source, which opens their files only."""
     root = write_records(spark, sf)
-    RF.register(spark)
     last = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").agg(F.max("l_orderkey")).first()[0]
-    rows = spark.read.format(RF.FORMAT).load(root)
-    return _record_rows(rows.where(F.col("episode_id").isin(50, 100, last, last - 50)))
+    return _record_rows(RF.read_episodes(spark, root, [50, 100, last, last - 50]))
 
 
 @query(

@@ -11,7 +11,8 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition,
 )
@@ -68,18 +69,11 @@ def _read(root: str, paths: Sequence[str]) -> Iterator[tuple]:
 
 
 class RecordReader(DataSourceReader):
-    """One partition per run of files; an episode filter leaves other files unopened."""
+    """One partition per run of files, all of them or those of some episodes."""
 
     def __init__(self, root: str):
         self.root, self.episodes = root, None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and f.attribute == ("episode_id",):
-                self.episodes = values if self.episodes is None else self.episodes & values
-            yield f  # names only choose files; Spark still filters the rows
-
     def partitions(self) -> list[InputPartition]:
         files = list_records(self.root)
         if self.episodes is not None:
@@ -90,6 +84,21 @@ class RecordReader(DataSourceReader):
         return _read(self.root, partition.paths)
 
 
+class PushedRecordReader(RecordReader):
+    """Takes Spark's episode filters, which leave the files of other episodes unopened.
+
+    Spark plans such a reader once per loaded table and keeps its files for later queries over the same
+    DataFrame, so it serves one query: see :func:`read_episodes`.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("episode_id",):
+                self.episodes = values if self.episodes is None else self.episodes & values
+            yield f  # names only choose files; Spark still filters the rows
+
+
 class RecordStream(DataSourceStreamReader):
     """New files in the order of their names; an offset is the last name that was planned.
 
@@ -130,16 +139,24 @@ class RecordSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return RecordReader(self.options["path"])
+        pushed = self.options.get("pushEpisodes", "false") == "true"
+        return (PushedRecordReader if pushed else RecordReader)(self.options["path"])
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return RecordStream(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, and lets the session push filters to Python sources.
+    """Makes the format known to a session."""
+    spark.dataSource.register(RecordSource)
+
 
-    The setting concerns no source but those that take filters.
+def read_episodes(spark: SparkSession, path: str, episodes: Sequence[int]) -> DataFrame:
+    """Rows of some episodes: Spark pushes the filter to the source, which opens their files only.
+
+    The table is loaded for this query alone; filter the result of a plain load for anything else.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(RecordSource)
+    register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # asked for by readers with filters only
+    rows = spark.read.format(FORMAT).option("pushEpisodes", "true").load(path)
+    return rows.where(F.col("episode_id").isin(*episodes))

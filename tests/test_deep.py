@@ -119,9 +119,10 @@ def test_record_files(spark):
     RF.register(spark)
     rows = spark.read.format(RF.FORMAT).load(root)
     assert rows.where("error IS NULL").count() == 36 * 3 and rows.where("error IS NOT NULL").count() == 4
-    some = rows.where(F.col("episode_id").isin(3, 7)).where("frame_index = 1").collect()
+    some = RF.read_episodes(spark, root, [3, 7]).where("frame_index = 1").collect()
     assert sorted(tuple(r.action) for r in some) == [(3.0, 1.0), (7.0, 1.0)]
-    reader = RF.RecordReader(root)
+    assert rows.where("episode_id = 3").count() == 3 and rows.where("episode_id = 4").count() == 3
+    reader = RF.PushedRecordReader(root)
     list(reader.pushFilters([RF.In(("episode_id",), (3, 7)), RF.EqualTo(("frame_index",), 1)]))
     assert [p.rsplit("_", 1)[-1] for x in reader.partitions() for p in x.paths] == ["003.json", "007.json"]
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
