@@ -35,19 +35,21 @@ def demo_frames(spark, sf):
 # ---- listings -----------------------------------------------------------------------------
 
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-
-
 @query(
     "src01_list_tables",
     "SRC-01 SRT-01",
-    f"""WITH t AS (SELECT 'tables::' || unnest(string_split('{TABLES}', ' ')) || '.parquet' AS episode_id)
+    """WITH t AS (SELECT DISTINCT 'records::episode_' || lpad(l_orderkey::VARCHAR, 12, '0') || '.json' AS episode_id
+      FROM lineitem WHERE l_orderkey % 50 = 0)
     SELECT episode_id, row_number() OVER (ORDER BY episode_id) - 1 AS episode_idx,
       substr(sha256(episode_id), 1, 12) AS hash FROM t""",
 )
 def _(spark, sf):
-    files = RD.list_files(spark, sf, "*.parquet")
-    m = RD.manifest(files, "tables", "none", RD.relative_path(F.col("path"), sf))
+    """Manifest of record files, which are first written from the line items."""
+    from epispark.plans.q_deep import write_records
+
+    root = write_records(spark, sf)
+    files = RD.list_files(spark, root, "*.json")
+    m = RD.manifest(files, "records", "none", RD.relative_path(F.col("path"), root))
     return m.select("episode_id", "episode_idx", "hash")
 
 
