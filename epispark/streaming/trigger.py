@@ -273,10 +273,11 @@ class TriggerProcessor(StatefulProcessor):
 
 def use_rocksdb(df: DataFrame) -> None:
     """Arbitrary state needs the RocksDB store; set it unless the session names one."""
-    df.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(
+            name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        )
 
 
 def refresh_stream(
