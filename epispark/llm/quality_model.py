@@ -185,7 +185,8 @@ def fit_on_labels(
 
     Those with the lowest key hash are taken; they are few enough to be broadcast, and statistics are
     computed for their texts only. Rows without label or key are left out; a key with several labels
-    counts with each.
+    counts with each. Of documents that share a key one counts, that with the lowest statistics, so that
+    the bound holds for repeated keys too.
     """
     names = list(FEATURES)
     known = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
@@ -193,7 +194,9 @@ def fit_on_labels(
     known = known.orderBy(F.xxhash64(F.col("__k").cast("string")), "__k", "__y").limit(sample)
     rows = docs.select(F.col(key).alias("__j"), F.col(text).alias("__text"))
     rows = rows.join(F.broadcast(known), F.col("__j") == F.col("__k"))
-    data = statistics(rows, "__text", ("__j", "__y")).toPandas().sort_values(["__j", "__y"])
+    one = F.min(F.struct(*names)).alias("one")
+    data = statistics(rows, "__text", ("__j", "__y")).groupBy("__j", "__y").agg(one).select("__j", "__y", "one.*")
+    data = data.toPandas().sort_values(["__j", "__y"])
     return fit(data[names].to_numpy(float), data["__y"].to_numpy(float), names)
 
 

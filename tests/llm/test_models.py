@@ -181,3 +181,15 @@ def test_short_texts_are_refined(monkeypatch):
     monkeypatch.setattr(lm, "PRIOR", 1e18)
     common, _, _ = lm._mix(model, ids, np.array([100]), model.weights, False)
     assert abs(own[0] - common[0]) > 1e-3
+
+
+def test_sample_bound_holds_for_repeated_keys(spark, monkeypatch):
+    rows = [(k % 12, f"text {k} of a key that many rows share, in words {k * 7}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)] + [(3, 1)] * 5, "doc_id long, quality int")
+    seen = []
+    fit = qm.fit
+    monkeypatch.setattr(qm, "fit", lambda x, y, names: seen.append(len(x)) or fit(x, y, names))
+    qm.fit_on_labels(docs, labels, sample=6)
+    qm.fit_on_labels(docs, labels)
+    assert seen[0] <= 6 and seen[1] <= 12
