@@ -14,7 +14,7 @@ from epispark.llm.mixing import draw
 from epispark.llm.piece_codec import encode
 from epispark.llm.quality_model import keep_good
 from epispark.llm.queries import table, tokenizer_path
-from epispark.llm.simhash import keep_first
+from epispark.llm.shingle_simhash import keep_first_similar
 from epispark.llm.suffix_dedup import remove_repeats
 from epispark.llm.words import word_count
 from epispark.session import materialise
@@ -29,8 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id."""
-    return keep_first(docs)
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest doc_id."""
+    return keep_first_similar(docs)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
