@@ -2,8 +2,8 @@
 
 Two sets of similarity 0.8 differ in 15% of their SimHash bits, so fingerprints of 64 bits do not tell
 them apart and no number of segments makes one differ by at most one bit for certain. Fingerprints are
-therefore 448 bits: 21 segments of 18 bits, each indexed as it is and with each of its 4 least decided
-bits wildcarded, and 64 bits that a task compares before it names a candidate. Candidates are confirmed
+therefore 512 bits: 21 segments of 18 bits, each indexed as it is and with each of its 4 least decided
+bits wildcarded, and 128 bits that a task compares before it names a candidate. Candidates are confirmed
 on their full sets: a link is never false, and is lost only if all segments miss it (see ``BITS``).
 """
 
@@ -29,12 +29,12 @@ from epispark.session import materialise, scratch_table
 BITS = 18
 SEGMENTS = 21
 WEAK = 4
-CHECK = 20  # of 64: expected 9.7 at similarity 0.8, standard deviation 2.9; strangers differ in 32
-LANES = 7  # 64-bit hashes of a shingle; the last lane is what tasks compare
+CHECK = 32  # of 128: expected 19.4 at similarity 0.8, standard deviation 4.1; strangers differ in 64
+LANES = 8  # 64-bit hashes of a shingle; the last two lanes are what tasks compare
 AT_ONCE = 1 << 14
 SMALL_GROUP = 48  # groups up to here are compared by shifted arrays, many groups at once
 LARGE_GROUP = 8192  # groups beyond are cut into slots, and pairs of slots become groups
-ROUNDS = 4
+ROUNDS = 2  # later stars found 3 of 27,381 links of check_h; tiles take what is left
 
 
 def margins(hashes: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def margins(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(margin: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Keys of all segments with none or one weak bit wildcarded, and the 64 bits to compare."""
+    """Keys of all segments with none or one weak bit wildcarded, and the 128 bits to compare."""
     bits = margin > 0
     own = bits[: SEGMENTS * BITS].reshape(SEGMENTS, BITS)
     value = own @ (1 << np.arange(BITS))
@@ -58,80 +58,108 @@ def signature(margin: np.ndarray) -> tuple[np.ndarray, bytes]:
     place = np.concatenate([np.full((SEGMENTS, 1), BITS), weak], axis=1)
     wild = np.concatenate([value[:, None], value[:, None] & ~(1 << weak)], axis=1)
     keys = (np.arange(SEGMENTS)[:, None] * (BITS + 1) + place << BITS) | wild
-    return keys.ravel(), np.packbits(bits[-64:]).tobytes()
+    return keys.ravel(), np.packbits(bits[-128:]).tobytes()
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts).astype(np.int64, copy=False) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def signatures(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
-    """``keep`` columns and ``n, d1, d2, low, variants, shingles`` of every document: its set of shingle
-    hashes, the set's size and 128-bit digest, the bits to compare and the keys. Null text is empty."""
+def _set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    words, _, _ = word_hashes(text or b"", lower=True)
+    return np.unique(shingles(words, width))
+
+
+def _over_texts(docs: DataFrame, text: str, keep: list[str], fields: list[T.StructField], columns) -> DataFrame:
+    """``keep`` columns and those that ``columns`` makes of a batch's texts, as bytes or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, low, keys, sets = [], [], [], [], []
-            for value in batch.column(batch.num_columns - 1):
-                words, _, _ = word_hashes(value.as_py() or b"", lower=True)
-                own = np.unique(shingles(words, width))
-                key, check = signature(margins(own))
-                n.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                low.append(check)
-                keys.append(key if len(own) else key[:0])
-                sets.append(own.view(np.int64))
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            check = np.frombuffer(b"".join(low), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(check), _lists(keys), _lists(sets)],
-                names=schema.names,
-            )
+            made = columns(v.as_py() for v in batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
     text_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).cast("string").cast("binary").alias("__text"))
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "low")]
-    arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("variants", "shingles")]
-    schema = T.StructType([*src.schema.fields[:-1], *longs, *arrays])
+    schema = T.StructType([*src.schema.fields[:-1], *fields])
     return src.mapInArrow(run, schema)
 
 
-def _near(key: np.ndarray, low: np.ndarray) -> np.ndarray:
+def shingle_sets(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
+    """``keep`` columns and ``n, shingles``: the set of shingle hashes of every document, and its size."""
+
+    def columns(texts):
+        sets = [_set(t, width).view(np.int64) for t in texts]
+        return pa.array(list(map(len, sets)), pa.int64()), _lists(sets, np.int64)
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
+    return _over_texts(docs, text, keep, fields, columns)
+
+
+def signatures(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
+    """``keep`` columns and ``n, d1, d2, low, high, variants`` of every document: the size of its set of
+    shingle hashes and its 128-bit digest, the bits to compare and the keys. Null text is empty."""
+
+    def columns(texts):
+        n, digests, check, keys = [], [], [], []
+        for text in texts:
+            own = _set(text, width)
+            key, bits = signature(margins(own))
+            n.append(len(own))
+            digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+            check.append(bits)
+            keys.append(key if len(own) else key[:0])
+        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        c = np.frombuffer(b"".join(check), np.int64).reshape(-1, 2)
+        longs = (np.array(n, np.int64), d[:, 0], d[:, 1], c[:, 0], c[:, 1])
+        return *map(pa.array, longs), _lists(keys, np.int32)
+
+    fields = [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "low", "high")]
+    return _over_texts(docs, text, keep, [*fields, T.StructField("variants", T.ArrayType(T.IntegerType()))], columns)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of differing bits of rows of two 64-bit values."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint8)
+
+
+def _near(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Which rows, sorted by key, have another row of their key within ``CHECK`` bits."""
-    low = low.view(np.uint64)
+    both = np.stack([low, high], axis=1).view(np.uint64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     mark = np.zeros(len(key), bool)
     small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL_GROUP), size))
-    k, v = key[small], low[small]
+    k, v = key[small], both[small]
     for d in range(1, SMALL_GROUP):
         at = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else small[:0]
         if not len(at):
             break
-        at = at[np.bitwise_count(v[at] ^ v[at + d]) <= CHECK]
+        at = at[_differ(v[at], v[at + d]) <= CHECK]
         mark[small[at]] = mark[small[at + d]] = True
     for start, n in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist()):
-        v = low[start : start + n]
+        v = both[start : start + n]
         for i in range(0, n, 128):
-            near = np.bitwise_count(v[i : i + 128, None] ^ v[None, :]) <= CHECK
+            near = _differ(v[i : i + 128, None], v[None, :]) <= CHECK
             mark[start + i : start + i + len(near)] = near.sum(axis=1) > 1
     return mark
 
 
 def _candidates(large: int | None):
-    """Rows ``key, cid, low`` sorted by key: those near another one as kind 0; all rows of larger groups as kind 1."""
+    """Rows ``key, cid, low, high`` sorted by key: those near another one as kind 0; all rows of larger groups as kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(kind: int, key, cid, low) -> pa.RecordBatch:
+        def answer(kind: int, *rows: np.ndarray) -> pa.RecordBatch:
             if kind == 0:
-                mark = _near(key, low)
-                key, cid, low = key[mark], cid[mark], low[mark]
-            columns = [pa.array(np.full(len(key), kind, np.int32)), *map(pa.array, (key, cid, low))]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "cid", "low"])
+                key, _, low, high = rows
+                mark = _near(key, low, high)
+                rows = tuple(a[mark] for a in rows)
+            columns = [pa.array(np.full(len(rows[0]), kind, np.int32)), *map(pa.array, rows)]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "cid", "low", "high"])
 
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         huge = None
         for batch in batches:
             held = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)]
@@ -158,25 +186,25 @@ def _candidates(large: int | None):
 
 def _marked(rows: DataFrame, large: int | None) -> DataFrame:
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_candidates(large), "kind int, key long, cid long, low long")
+    return dealt.mapInArrow(_candidates(large), "kind int, key long, cid long, low long, high long")
 
 
 def candidate_groups(rows: DataFrame, large: int = LARGE_GROUP) -> DataFrame:
-    """``key, cid`` of all rows (``key, cid, low``) that are near another row of their key.
+    """``key, cid`` of all rows (``key, cid, low, high``) that are near another row of their key.
 
     Groups over ``large`` rows are dealt into slots by hash and each pair of slots is a group of its
     own, so all pairs are compared and none is listed.
     """
     found = materialise(_marked(rows, large), "candidates")
     near = found.where("kind = 0").select("key", "cid")
-    rest = found.where("kind = 1").select("key", "cid", "low")
+    rest = found.where("kind = 1").select("key", "cid", "low", "high")
     if rest.isEmpty():
         return near
     sizes = rest.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / (large // 4)).cast("int").alias("g"))
     slots = rest.join(sizes, F.col("key") == F.col("k")).withColumn("s", F.pmod(F.xxhash64("cid"), "g"))
     slots = slots.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     pair = F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t"))
-    return near.unionByName(_marked(slots.select(pair.alias("key"), "cid", "low"), None).select("key", "cid"))
+    return near.unionByName(_marked(slots.select(pair.alias("key"), "cid", "low", "high"), None).select("key", "cid"))
 
 
 def keep_first_similar(
@@ -201,10 +229,11 @@ def keep_first_similar(
     classes = marked.groupBy("d1", "d2").agg(F.min(order).alias("first"))
     classes, drop_classes = scratch_table(classes.select(F.col("first.row").alias("cid"), "first"), "classes")
     reps = marked.where("n > 0").withColumnRenamed("row", "cid").join(classes.select("cid"), "cid", "left_semi")
-    groups = candidate_groups(reps.select(F.explode("variants").alias("key"), "cid", "low"))
-    asked, drop_asked = scratch_table(groups, "near-rows")
-    sets = reps.select("cid", "n", "shingles").join(asked.select("cid").distinct(), "cid", "left_semi")
-    sets, drop_sets = scratch_table(sets, "candidate-sets")
+    variants = reps.select(F.explode(F.col("variants").cast("array<long>")).alias("key"), "cid", "low", "high")
+    asked, drop_asked = scratch_table(candidate_groups(variants), "near-rows")
+    near = materialise(asked.select(F.col("cid").alias("near")).distinct(), "near")
+    texts = src.join(near, F.col("row") == F.col("near"), "left_semi")  # few are near: their sets are built again
+    sets, drop_sets = scratch_table(shingle_sets(texts.withColumnRenamed("row", "cid"), "text", ["cid"], width), "candidate-sets")
     members = materialise(asked.join(sets.select("cid", "n"), "cid").select("key", "cid", "n"), "members")
     drop_asked()
     found = similar_components(members, sets, percent, ROUNDS)

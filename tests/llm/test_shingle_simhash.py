@@ -57,12 +57,13 @@ def test_large_groups_are_cut_without_loss(spark, large):
     low = np.r_[rng.integers(-(1 << 62), 1 << 62, 150), np.full(30, 77)]
     low[150:] ^= 1 << np.arange(30)
     key = np.r_[rng.integers(0, 5, 150), np.repeat([1, 2], 15)]
-    rows = [(int(a), i, int(b)) for i, (a, b) in enumerate(zip(key, low))]
-    ss_rows = spark.createDataFrame(rows, "key long, cid long, low long").repartition(3)
-    close = lambda x, y: (x[2] ^ y[2]) % (1 << 64)
-    want = {
-        a[1] for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and close(a, b).bit_count() <= ss.CHECK
-    }
+    high = np.roll(low, 1)
+    high[150:] = 5
+    rows = [(int(a), i, int(b), int(c)) for i, (a, b, c) in enumerate(zip(key, low, high))]
+    ss_rows = spark.createDataFrame(rows, "key long, cid long, low long, high long").repartition(3)
+    bits = lambda x, y: ((x ^ y) % (1 << 64)).bit_count()
+    differ = lambda x, y: bits(x[2], y[2]) + bits(x[3], y[3])
+    want = {a[1] for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and differ(a, b) <= ss.CHECK}
     assert {r.cid for r in ss.candidate_groups(ss_rows, large).collect()} == want
 
 
@@ -79,6 +80,6 @@ def test_odd_rows(odd_docs, no_docs, texts):
 
 def test_margins_equal_a_count_of_bits():
     h = np.random.default_rng(2).integers(0, 1 << 63, 700, np.int64).astype(np.uint64)
-    assert len(ss.margins(h)) == 448 and np.abs(ss.margins(h)).max() < 200
+    assert len(ss.margins(h)) == 64 * ss.LANES and np.abs(ss.margins(h)).max() < 200
     assert (ss.margins(h[:1]) ** 2 == 1).all() and (ss.margins(h[:0]) == 0).all()
     assert (ss.margins(h) == sum(ss.margins(h[i : i + 1]) for i in range(700))).all()
