@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from epispark.operators import alias as AL
 from epispark.operators import contrastive as CT
 from epispark.operators import smooth_ranks as SR
+from epispark.operators import subspace as SS
 from epispark.operators import table_functions as TF
 from epispark.plans.q_joins import SEG_SQL
 from epispark.plans.q_stats import PAIRS, _neighbours
@@ -16,10 +17,12 @@ from epispark.plans.q_streaming import CONFIG, trigger_rows
 from epispark.plans.q_windows import u_sql
 from epispark.plans.registry import R, query, r
 from epispark.plans.views import EV, signal_frames, table
+from epispark.functions.ids import short_sha256
 from epispark.session import materialise, scratch_path
 from epispark.sources import feature_store as FS
 from epispark.sources import record_format as RF
 from epispark.streaming import flows as FL
+from epispark.streaming import seen as SN
 from epispark.streaming import sessions as SE
 from epispark.streaming import trigger as TR
 
@@ -251,3 +254,51 @@ def _(spark, sf):
         "episode", "frame", F.when(first, F.concat(F.lit("task"), F.col("episode"))).alias("task"), F.when(first, seg).alias("segments")
     )
     return TF.promote(spark, rows)
+
+
+@query(
+    "agg30_planar_components",
+    "AGG-30",
+    f"""WITH v AS (SELECT l_returnflag AS g, l_orderkey * 10 + l_linenumber AS id, l_quantity::DOUBLE AS x,
+        l_extendedprice::DOUBLE / 1000 AS y FROM lineitem),
+    m AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM v WINDOW w AS (PARTITION BY g)),
+    c AS (SELECT g, atan2(2 * avg(dx * dy), avg(dx * dx) - avg(dy * dy)) / 2 AS t FROM m GROUP BY 1),
+    d AS (SELECT g, cos(t) AS c, sin(t) AS s FROM c),
+    e AS (SELECT g, id, (dx * c + dy * s) * CASE WHEN abs(c) >= abs(s) THEN sign(c) ELSE sign(s) END AS p0,
+        (dy * c - dx * s) * CASE WHEN abs(c) >= abs(s) THEN sign(c) ELSE -sign(s) END AS p1 FROM m JOIN d USING (g))
+    SELECT g AS flag, id, {R("(p0 - min(p0) OVER w) / (max(p0) OVER w - min(p0) OVER w)", 5)} AS pc0,
+      {R("(p1 - min(p1) OVER w) / (max(p1) OVER w - min(p1) OVER w)", 5)} AS pc1
+    FROM e WINDOW w AS (PARTITION BY g)""",
+)
+def _(spark, sf):
+    """Two components per line item, by the iteration that wide vectors use; the oracle has the closed form."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"),
+        F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000).alias("v"),
+    )
+    out = SS.wide_components(rows, "flag", "id", "v", k=2)
+    return out.select("flag", "id", r(F.col("pc0"), 5).alias("pc0"), r(F.col("pc1"), 5).alias("pc1"))
+
+
+@query(
+    "str07_repeats_ever",
+    "STR-07",
+    """SELECT substr(sha256(event_type || '/' || value), 1, 12) AS hash, min(epoch_us(ts)) AS first_us, 1::BIGINT AS copies
+    FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    """Repeats are dropped however late they come; a second run over all files publishes nothing."""
+    src, out, seen = scratch_path(spark, "hashes"), scratch_path(spark, "out"), scratch_path(spark, "seen")
+    ev = table(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("at"),
+        short_sha256(F.concat_ws("/", "event_type", F.col("value").cast("string"))).alias("hash"),
+    )
+    low, high = ev.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    third = F.floor(3 * (F.unix_micros("at") - low) / (high - low + 1))
+    for k in range(3):  # arrivals in the order of time
+        ev.where(third == k).coalesce(1).write.mode("append").parquet(src)
+    for files in (1, None):
+        stream = FL.file_stream(spark, src, ev.schema, files_per_trigger=files)
+        SN.drop_repeats_ever(stream, ["hash"], "at", out, seen, scratch_path(spark, "ckpt"), digits=1)
+    back = spark.read.schema(ev.schema).parquet(out)
+    return back.groupBy("hash").agg(F.min(F.unix_micros("at")).alias("first_us"), F.count(F.lit(1)).alias("copies"))

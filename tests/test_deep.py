@@ -15,6 +15,7 @@ from epispark.operators.alias import alias_draws, alias_table
 from epispark.operators.contrastive import tiled_info_nce
 from epispark.operators.evaluation import info_nce, soft_spearman
 from epispark.operators.smooth_ranks import group_spearman, smooth_ranks
+from epispark.operators.subspace import wide_components
 from epispark.session import materialise, scratch_path
 from epispark.sources import record_format as RF
 from epispark.sources.feature_store import lookup, write_store
@@ -168,3 +169,74 @@ def test_silent_episodes_keep_their_state_over_runs(spark):
     assert arrive((1, 1000), (1, 1030), (2, 1000), (1, 1091)) == [(1, 1_000_000, 1_030_000, 2), (2, 1_000_000, 1_000_000, 1)]
     third = arrive((3, 1200))
     assert third[-1] != (3, 1_200_000, 1_200_000, 1) and (1, 1_091_000, 1_091_000, 1) in third and len(third) == 3
+
+
+def leading(x, k=3):
+    """Scaled scores of the leading eigenvectors of all columns."""
+    c = x - x.mean(axis=0)
+    _, vectors = np.linalg.eigh(c.T @ c / len(x))
+    comps = vectors[:, ::-1][:, :k]
+    s = c @ (comps * np.sign(np.take_along_axis(comps, np.abs(comps).argmax(axis=0)[None, :], axis=0)))
+    return (s - s.min(axis=0)) / (s.max(axis=0) - s.min(axis=0))
+
+
+@pytest.mark.parametrize("width, spread", [(64, "slow"), (64, "none"), (300, "slow"), (5, "slow")])
+def test_wide_components(spark, width, spread):
+    rng = np.random.default_rng(width)
+    scale = 0.97 ** np.arange(width) if spread == "slow" else np.ones(width)
+    x = {g: rng.normal(size=(n, width)) * scale + 3 for g, n in (("a", 2500), ("b", 700))}
+    rows = [(g, i, [float(v) for v in row]) for g, m in x.items() for i, row in enumerate(m)]
+    df = spark.createDataFrame(rows, "g string, i long, v array<double>").repartition(5)
+    got = {(r.g, r.i): r for r in wide_components(df, "g", "i", "v").collect()}
+    for g, m in x.items():
+        want = leading(m)
+        have = np.array([[got[g, i][f"pc{j}"] for j in range(3)] for i in range(len(m))])
+        assert np.abs(have - want).max() < 1e-6
+
+
+def test_wide_components_on_odd_rows(spark):
+    rows = [(None, 1, [0.0, 0.0]), (None, 2, [1.0, 1.0]), (None, 2, [1.0, 1.0]), (1, 3, None), (1, 4, [1.0, None]),
+            (1, 5, [float("nan"), 1.0]), (2, 6, [4.0]), (2, 7, [6.0]), (3, 8, [2.0, 2.0, 2.0]), (3, None, [2.0, 2.0, 2.0]), (4, 9, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "key long, row long, v array<double>, x string")
+    got = collections.Counter(tuple(r) for r in wide_components(df, "key", "row", "v", k=2).collect())
+    assert set((a, b) for a, b, *_ in got) == {(None, 1), (None, 2), (2, 6), (2, 7), (3, 8), (3, None)}
+    assert {(a, b): round(c, 6) for a, b, c, _ in got if a != 3} == {(None, 1): 0, (None, 2): 1, (2, 6): 0, (2, 7): 1}
+    assert sum(got.values()) == 7 and all(d is None for a, _, _, d in got if a == 2)
+    assert wide_components(df.limit(0), "key", "row", "v").count() == 0
+    mixed = spark.createDataFrame([(1, 1, [1.0]), (1, 2, [1.0, 2.0])], "key long, row long, v array<double>")
+    with pytest.raises(Exception, match="differ in width"):
+        wide_components(mixed.coalesce(1), "key", "row", "v").count()
+
+
+def test_filters_know_what_they_hold():
+    import hashlib
+
+    from epispark.streaming.seen import build_filter, may_hold
+
+    names = [hashlib.md5(str(i).encode()).hexdigest() for i in range(30_000)]
+    bits = build_filter(names[:10_000])
+    assert may_hold(bits, names[:10_000]).all()
+    assert may_hold(bits, names[10_000:]).mean() < 0.005
+
+
+def test_repeats_after_any_time(spark):
+    from epispark.streaming.flows import file_stream
+    from epispark.streaming.seen import drop_repeats_ever
+
+    src, out, seen, state = (scratch_path(spark, x) for x in ("src", "out", "seen", "state"))
+    year = 31_536_000
+
+    def arrive(rows, state=state):
+        if rows:
+            df = spark.createDataFrame(rows, "key string, s long")
+            df.select("key", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(src)
+        stream = file_stream(spark, src, spark.createDataFrame([], "key string, at timestamp").schema)
+        drop_repeats_ever(stream, ["key"], "at", out, seen, state, digits=1)
+        back = spark.read.schema("key string, at timestamp").parquet(out)
+        return sorted(((r.key, r.s) for r in back.select("key", F.unix_seconds("at").alias("s")).collect()), key=lambda x: x[1])
+
+    first = [("a", 5), ("b", 6), (None, 7)]
+    assert arrive([("a", 5), ("b", 6), ("a", 9), (None, 7), (None, 8)]) == first
+    assert arrive([("a", 5 + year), ("c", 5 + year), (None, 1 + year)]) == [*first, ("c", 5 + year)]  # a year later
+    assert arrive([("b", 6 + 9 * year), ("a", 1)]) == [*first, ("c", 5 + year)]
+    assert arrive([], scratch_path(spark, "state")) == [*first, ("c", 5 + year)]
