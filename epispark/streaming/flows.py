@@ -37,9 +37,15 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def prefix(source: Column, item: Column, digits: int) -> Column:
+    """Ledger partition of an item: the first digits of a hash of its source and name."""
+    name = F.concat_ws("/", source, item.cast("string"))
+    return F.concat(F.lit("p"), F.substring(F.md5(name), 1, digits)).alias("prefix")
+
+
 def ingest(
     stream: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, ledger: str,
-    checkpoint: str, source: str = "source", item: str = "episode_index",
+    checkpoint: str, source: str = "source", item: str = "episode_index", digits: int = 1,
 ) -> None:
     """Resumable ingest: each micro-batch replaces its own partition, then its episodes are marked.
 
@@ -47,14 +53,19 @@ def ingest(
     loss nor duplicates occur. Items that the ledger names as done are not converted again, also
     after a restart with a fresh checkpoint folder, whose batches get names of their own. ``item`` is
     what is delivered as a whole, in one file, and marked: an episode by default.
+
+    The ledger is partitioned by a hash prefix of source and item, then by batch, and a batch reads only
+    the prefixes of its own items: a small batch does not scan what all others have marked. A batch's marks
+    take up to 16 ** ``digits`` folders; keep the digits of a ledger, raise them for one with many items.
     """
     spark = stream.sparkSession
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def flush(batch: DataFrame, number: int) -> None:
         folder = f"{run}-{number}"
-        done = read_ledger(spark, ledger, f"{schemas.LEDGER}, batch string").where(
-            (F.col("status") == "done") & (F.col("batch") != folder)
+        prefixes = [r.prefix for r in batch.select(prefix(F.col(source), F.col(item), digits)).distinct().collect()]
+        done = read_ledger(spark, ledger, f"{schemas.LEDGER}, prefix string, batch string").where(
+            F.col("prefix").isin(prefixes) & (F.col("status") == "done") & (F.col("batch") != folder)
         ).select(F.col("source").alias("__s"), F.col("item").alias("__i"))
         fresh = batch.join(
             done, (F.col(source) == F.col("__s")) & (F.col(item).cast("string") == F.col("__i")), "left_anti"
@@ -73,10 +84,12 @@ def ingest(
         done = written.select(source, item).distinct()
         rows = ledger_rows(done, "ingest", "done", F.col(source), F.lit(number), F.col(item))
         (
-            rows.withColumn("batch", F.lit(folder))
+            rows.withColumn("prefix", prefix(F.col("source"), F.col("item"), digits))
+            .withColumn("batch", F.lit(folder))
+            .repartition("prefix")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
+            .partitionBy("prefix", "batch")
             .parquet(ledger)
         )
 
