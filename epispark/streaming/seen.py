@@ -56,6 +56,10 @@ def _filters(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [build_filter(pdf["digest"].tolist())]})
 
 
+def replace_parts(df: DataFrame, path: str, *parts: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def drop_repeats_ever(
     stream: DataFrame, keys: Sequence[str], time: str, out: str, seen: str, checkpoint: str, digits: int = 2
 ) -> None:
@@ -76,9 +80,6 @@ def drop_repeats_ever(
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     digest = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
 
-    def put(df: DataFrame, path: str, *parts: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-
     def earlier(name: str, like: DataFrame, folder: str) -> DataFrame:
         found = stored(spark, f"{seen}/{name}", like)
         return like.limit(0) if found is None else found.where(F.col("batch") != folder)
@@ -105,10 +106,10 @@ def drop_repeats_ever(
         new, drop_new = scratch_table(new, "new-keys")
         marks = new.select("digest", F.lit(folder).alias("batch"), "part")
         if not marks.isEmpty():
-            put(marks.repartition("part").sortWithinPartitions("part", "digest"), f"{seen}/digests", "batch", "part")
+            replace_parts(marks.repartition("part").sortWithinPartitions("part", "digest"), f"{seen}/digests", "batch", "part")
             bits = marks.select("part", "digest").groupBy("part").applyInPandas(_filters, "part string, bits binary")
-            put(bits.select("bits", F.lit(folder).alias("batch"), "part"), f"{seen}/filters", "batch")
-            put(new.select("row.*", F.lit(folder).alias("batch")), out, "batch")
+            replace_parts(bits.select("bits", F.lit(folder).alias("batch"), "part"), f"{seen}/filters", "batch")
+            replace_parts(new.select("row.*", F.lit(folder).alias("batch")), out, "batch")
         for done in (drop, drop_hits, drop_new):
             done()
 

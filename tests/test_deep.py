@@ -240,3 +240,32 @@ def test_repeats_after_any_time(spark):
     assert arrive([("a", 5 + year), ("c", 5 + year), (None, 1 + year)]) == [*first, ("c", 5 + year)]  # a year later
     assert arrive([("b", 6 + 9 * year), ("a", 1)]) == [*first, ("c", 5 + year)]
     assert arrive([], scratch_path(spark, "state")) == [*first, ("c", 5 + year)]
+
+
+@pytest.mark.parametrize("stop", ["filters", "out"])
+def test_a_stopped_batch_is_replayed_whole(spark, monkeypatch, stop):
+    from epispark.streaming import seen as SN
+    from epispark.streaming.flows import file_stream
+
+    root = scratch_path(spark, "replay")
+    rows = spark.createDataFrame([(k % 5, k) for k in range(40)], "key long, s long")
+    rows.select("key", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(f"{root}/src")
+
+    def run():
+        stream = file_stream(spark, f"{root}/src", spark.read.parquet(f"{root}/src").schema)
+        SN.drop_repeats_ever(stream, ["key"], "at", f"{root}/out", f"{root}/seen", f"{root}/state", digits=1)
+
+    write = SN.replace_parts
+
+    def stopping(df, path, *parts):
+        if path.endswith(stop):
+            raise RuntimeError("stopped here")
+        write(df, path, *parts)
+
+    monkeypatch.setattr(SN, "replace_parts", stopping)
+    with pytest.raises(Exception, match="stopped here"):
+        run()
+    monkeypatch.setattr(SN, "replace_parts", write)
+    run()
+    got = spark.read.schema("key long, at timestamp").parquet(f"{root}/out")
+    assert sorted((r.key, r.s) for r in got.select("key", F.unix_seconds("at").alias("s")).collect()) == [(k, k) for k in range(5)]
