@@ -203,30 +203,42 @@ def mean_action_distance(df: DataFrame, keys: Sequence[str], gt: str, pred: str)
     )
 
 
-def _soft_ranks(x: np.ndarray, tau: float, step: int = 512) -> np.ndarray:
-    """Row-wise smooth rank: one plus the sigmoid comparisons with all other elements."""
+CELLS = 1 << 20  # comparisons that a task holds at once
+
+
+def _soft_ranks(x: np.ndarray, tau: float) -> np.ndarray:
+    """Smooth rank in each row: one plus the sigmoid comparisons with all other elements of the row."""
+    rows, n = x.shape
     out = np.empty_like(x)
-    for lo in range(0, len(x), step):
-        part = x[lo : lo + step, None]
+    step = max(1, CELLS // max(1, rows * n))
+    for lo in range(0, n, step):
         with np.errstate(over="ignore"):
-            out[lo : lo + step] = (1.0 / (1.0 + np.exp((part - x[None, :]) / tau))).sum(axis=1)
+            out[:, lo : lo + step] = (1.0 / (1.0 + np.exp((x[:, lo : lo + step, None] - x[:, None, :]) / tau))).sum(axis=2)
     return out + 0.5
 
 
 def soft_spearman(a: Column, b: Column, tau: float = 1.0, eps: float = 1e-8) -> Column:
-    """Smooth rank correlation of two equally long arrays of one row (Arrow batches)."""
+    """Smooth rank correlation of two equally long arrays of one row (Arrow batches); null if one is null.
+
+    Rows of one length are ranked together as a matrix, as many as ``CELLS`` comparisons allow.
+    """
     if tau <= 0:
         raise ValueError("tau must be positive")
 
     @F.pandas_udf(T.DoubleType())
     def rho(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            rx, ry = (_soft_ranks(np.asarray(v, float), tau) for v in (x, y))
-            rx, ry = rx - rx.mean(), ry - ry.mean()
-            den = np.sqrt(((rx**2).sum() + eps) * ((ry**2).sum() + eps))
-            out.append(float((rx * ry).sum() / den))
-        return pd.Series(out, dtype="float64")
+        there = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+        size = np.array([len(left.iloc[i]) for i in there], int)
+        out = np.full(len(left), np.nan)
+        for n in np.unique(size):
+            same, many = there[size == n], max(1, CELLS // max(1, int(n) ** 2))
+            for lo in range(0, len(same), many):
+                at = same[lo : lo + many]
+                x, y = (_soft_ranks(np.stack(v.iloc[at].to_numpy()).astype(float), tau) for v in (left, right))
+                x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+                den = np.sqrt(((x**2).sum(axis=1) + eps) * ((y**2).sum(axis=1) + eps))
+                out[at] = (x * y).sum(axis=1) / den
+        return pd.Series(out)
 
     return rho(a, b)
 

@@ -179,6 +179,18 @@ def test_soft_spearman_agreement(spark):
     assert row["c0"] > 0.99 and row["c1"] < -0.99
 
 
+def test_soft_spearman_of_rows_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *([float(v) for v in rng.normal(size=n)] for _ in range(2))) for i, n in enumerate([4, 9, 4, 1500, 9, 1])]
+    df = spark.createDataFrame([*rows, (9, None, [1.0])], "i int, a array<double>, b array<double>")
+    got = {r.i: r.c for r in df.coalesce(1).select("i", E.soft_spearman(F.col("a"), F.col("b")).alias("c")).collect()}
+    for i, *pair in rows:
+        x, y = ((1 / (1 + np.exp(np.subtract.outer(v, v)))).sum(axis=0) for v in map(np.array, pair))
+        x, y = x - x.mean(), y - y.mean()
+        assert abs(got[i] - (x * y).sum() / np.sqrt(((x**2).sum() + 1e-8) * ((y**2).sum() + 1e-8))) < 1e-9
+    assert got[9] is None
+
+
 def test_info_nce_rejects_larger_batches(spark):
     df = spark.createDataFrame([(0, i, [1.0, float(i)]) for i in range(5)], "b long, i long, v array<double>")
     with pytest.raises(Exception, match="more than 3"):
