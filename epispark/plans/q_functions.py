@@ -93,8 +93,8 @@ def _(spark, sf):
 @query(
     "fn07_path_template",
     "FN-07 SRC-04",
-    """SELECT p.page_id, 'videos/chunk-' || lpad((page_id // 100)::VARCHAR, 3, '0') || '/head/episode_'
-      || lpad(page_id::VARCHAR, 6, '0') || '.mp4' AS path FROM pages p""",
+    """SELECT p.page_id, printf('videos/chunk-%03d/head/episode_%06d.mp4', floor(page_id / 100)::BIGINT, page_id) AS path
+    FROM pages p""",
 )
 def _(spark, sf):
     tmpl = "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d}.mp4"

@@ -174,3 +174,29 @@ def test_outliers_do_not_fill_one_bucket(spark):
     bucket = scale.order_buckets(df, F.col("frame"), 1000)
     sizes = [r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()]
     assert len(sizes) == 40 and max(sizes) <= 2 * n / 40
+
+
+def _small(spark, folder, name, df):
+    """The test tables with one of them replaced."""
+    import os
+
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f != f"{name}.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{f}", f"{folder}/{f}")
+    df.toPandas().to_parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_path_template_beyond_its_widths(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "h") for k in (0, 99, 100_000, 1_234_567)], "page_id long, url string, html string")
+    sf = _small(spark, tmp_path, "pages", pages)
+    q = REGISTRY["fn07_path_template"]
+    assert compare(q.build(spark, sf), connect(sf), q.oracle) == ""
+
+
+def test_no_fallback_where_an_episode_has_samples(spark, tmp_path):
+    lines = spark.range(25).select(F.when(F.col("id") < 22, 1).otherwise(2).cast("long").alias("l_orderkey"))
+    sf = _small(spark, tmp_path, "lineitem", lines)
+    q = REGISTRY["win07_sample_index_fallback"]
+    assert compare(q.build(spark, sf), connect(sf), q.oracle) == ""
+    assert [(r.episode, r.t) for r in q.build(spark, sf).collect()] == [(1, 18)]
