@@ -158,8 +158,11 @@ def _(spark, sf):
 @query(
     "win07_sample_index_fallback",
     "WIN-07",
-    """WITH n AS (SELECT l_orderkey AS episode, count(*) AS n FROM lineitem GROUP BY 1)
-    SELECT episode, 0::BIGINT AS t FROM n""",
+    """WITH n AS (SELECT l_orderkey AS episode, count(*) AS n FROM lineitem GROUP BY 1),
+    s AS (SELECT episode, n, unnest(range(18, greatest(19, n - 48), 6)) AS t FROM n),
+    ok AS (SELECT episode, t FROM s WHERE t < n)
+    SELECT * FROM ok
+    UNION ALL SELECT episode, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM ok)""",
 )
 def _(spark, sf):
     n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("episode")).agg(
