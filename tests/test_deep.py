@@ -269,3 +269,19 @@ def test_a_stopped_batch_is_replayed_whole(spark, monkeypatch, stop):
     run()
     got = spark.read.schema("key long, at timestamp").parquet(f"{root}/out")
     assert sorted((r.key, r.s) for r in got.select("key", F.unix_seconds("at").alias("s")).collect()) == [(k, k) for k in range(5)]
+
+
+def test_slots_are_sent_as_rows_and_few_times(spark, monkeypatch):
+    """No row handed to a task holds a whole tile, and a row is sent once per slot, not once per tile."""
+    from epispark.operators import contrastive as CT
+
+    monkeypatch.setattr(CT, "SLOT", 100)
+    monkeypatch.setattr(CT, "SLOTS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(None, k, *[rng.normal(0, 1, 4).tolist() for _ in "st"]) for k in range(300)]
+    df = spark.createDataFrame(rows, "b int, i long, s array<float>, t array<float>")
+    sent = CT.paired_slots(df, "b", "i", "s", "t", tile=8)
+    assert dict(sent.dtypes)["v"] == "array<float>" and sent.count() == 2 * 300 * 3
+    got = CT.tiled_info_nce(df, "b", "i", "s", "t", tile=8).collect()
+    want = info_nce(df.withColumn("b", F.lit(0)), "b", "i", "s", "t", 300).first()
+    assert len(got) == 1 and got[0].b is None and got[0].n == 300 and abs(got[0].loss - want.loss) < 1e-6
