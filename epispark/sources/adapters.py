@@ -170,13 +170,15 @@ class DeltaPoseAdapter(SourceAdapter):
         )
 
 
-def velocity_from_pose(df: DataFrame, pose: Column, fps: float) -> DataFrame:
+def velocity_from_pose(
+    df: DataFrame, pose: Column, fps: float, key: str = "episode_index"
+) -> DataFrame:
     """Clipped canonical velocity ``ee`` from a 7-dim pose column (zeros where it is absent)."""
     xs = {c: F.coalesce(F.get(pose, F.lit(i)), F.lit(0.0)) for i, c in enumerate(CANON)}
     rows = df.withColumns(
         {**xs, "c6": F.coalesce(F.get(pose, F.lit(6)), F.lit(0.0))}
     )
-    rows = finite_difference(rows, ["episode_index"], "frame_index", CANON[:3], CANON[3:], fps)
+    rows = finite_difference(rows, [key], "frame_index", CANON[:3], CANON[3:], fps)
     canon = V.clip_canonical(F.array(*[f"v_{c}" for c in CANON], "c6"))
     return rows.withColumn("ee", canon).drop(*CANON, "c6", *[f"v_{c}" for c in CANON])
 
@@ -259,7 +261,8 @@ class JointPositionAdapter(SourceAdapter):
             # the number comes from the 12-digit hash of the id
             "episode_index", id_from_hash(F.col("episode_id"))
         )
-        rows = velocity_from_pose(rows, F.col("ee_pose"), self.fps)
+        # two ids may share a number, so frames follow one another within an id
+        rows = velocity_from_pose(rows, F.col("ee_pose"), self.fps, "episode_id")
         native, mask = prefixed_action(F.col("action"))
         joints = F.coalesce("joints", V.zeros(14))
         return self.frame(
