@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from epispark.functions import rotation as rot
 from epispark.functions.ids import hash_uniform
 from epispark.functions.vectors import wrap_angle
-from epispark.scale import BLOCK, Halo, explode_range, fill, global_rank, prefix_sum
+from epispark.scale import (
+    BLOCK, Halo, explode_range, fill, global_rank, in_key_order, prefix_sum,
+)
 
 
 def finite_difference(
@@ -230,8 +232,7 @@ def _scan_products(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
             last_key, acc = tuple(ids.iloc[-1]), mats[-1]
             yield pdf.assign(**_flat(mats))
 
-    parts = df.repartition(*keys).sortWithinPartitions(*keys, order)
-    return parts.mapInPandas(scan, df.schema)
+    return in_key_order(df, keys, order).mapInPandas(scan, df.schema)
 
 
 def integrate_deltas(

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from epispark.scale import in_key_order
+
 
 def split_groups(
     batches: Iterator[pd.DataFrame], keys: Sequence[str]
@@ -55,5 +57,4 @@ def map_groups(
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return parts.mapInPandas(run, schema)
+    return in_key_order(df, keys, *order).mapInPandas(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from epispark.scale import BLOCK, Halo
+from epispark.scale import BLOCK, Halo, in_key_order
 from epispark.streaming.groups import map_groups
 
 
@@ -180,10 +180,8 @@ def refresh_batch(
                 {key: pdf[key], "__block": pdf["block"], "entry": entry, "before": before}
             )
 
-    entries = (
-        tables.repartition(key)
-        .sortWithinPartitions(key, "block")
-        .mapInPandas(chain, f"{key} {ktype}, __block long, entry long, before long")
+    entries = in_key_order(tables, [key], "block").mapInPandas(
+        chain, f"{key} {ktype}, __block long, entry long, before long"
     )
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:

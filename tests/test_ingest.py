@@ -144,3 +144,65 @@ def test_bimanual_boundary_only_at_segment_start(spark):
     row = out.where("frame_index = 3").first()
     assert row["level_1"] == "task" and len(row["action_native"]) == 32 and sum(row["action_mask"]) == 31
     assert row["action_canonical_ee"] == row["action_native"][:7]
+
+
+def test_keys_of_episodes_are_never_broadcast(spark, root):
+    """Their files are small beside their rows, so Spark's estimate must not choose the join."""
+    frames = spark.range(3000).select(
+        F.lit("s").alias("source"), F.floor(F.col("id") / 1000).alias("chunk"),
+        F.floor(F.col("id") / 2).alias("episode_index"), (F.col("id") % 2).alias("frame_index"))
+    known = frames.select("source", "chunk", "episode_index").distinct()
+    plans, write = [], SK.materialise
+
+    def spy(df, label):
+        out = write(df, label)
+        plans.append(df._jdf.queryExecution().executedPlan().toString() if label in ("pending", "kept") else "")
+        return out
+
+    SK.materialise = spy
+    try:
+        SK.write_frames(frames.where("episode_index % 3 = 0"), f"{root}/out", f"{root}/ledger", episodes=known)
+        SK.write_frames(frames, f"{root}/out", f"{root}/ledger", episodes=known)
+    finally:
+        SK.materialise = write
+    text = "\n".join(plans)
+    assert text.count("SortMergeJoin [") >= 4
+    assert not [x for x in text.splitlines() if "BroadcastHashJoin" in x and "episode_index" in x]
+    assert spark.read.parquet(f"{root}/out").count() == 3000
+
+
+def test_ids_that_share_a_number_keep_their_frames_apart(spark):
+    """ep3894 and ep81374 have the same episode number."""
+    pose = "named_struct('joint_position', cast(null as array<double>), 'ee_pose', array(x, 0d, 0d, 0d, 0d, 0d, 0d))"
+    none = "named_struct('joint_position', cast(null as array<double>))"
+    raw = spark.sql(f"""SELECT id AS episode_id, f AS frame_index, array(x) AS actions, {none} AS master,
+        {pose} AS observations, {none} AS puppet, cast(null as binary) AS language_instruction, cast(id as binary) AS language_raw
+      FROM (SELECT id, f, CASE id WHEN 'ep3894' THEN f * 0.01D ELSE 5 - f * 0.02D END AS x
+        FROM VALUES ('ep3894'), ('ep81374') AS e(id) CROSS JOIN (SELECT explode(sequence(0L, 4L)) AS f))""")
+    rows = AD.JointPositionAdapter().to_frames(raw).collect()
+    assert len({r.episode_index for r in rows}) == 1
+    speed = {"ep3894": 0.25, "ep81374": -0.5}
+    assert all(abs(r.action_canonical_ee[0] - speed[r.level_1]) < 1e-5 for r in rows)
+
+
+def test_groups_stay_whole_behind_a_broadcast_join(spark):
+    """Adaptive execution reads the shuffle below a join that it turns into a broadcast one map by map."""
+    from epispark.streaming.groups import map_groups
+
+    import pandas as pd
+
+    rows = spark.range(0, 200_000, 1, 8).select((F.col("id") % 500).alias("k"), F.col("id").alias("i"))
+    side = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y")).groupBy("k").agg(F.max("y").alias("y"))
+    both = rows.join(side, "k", "left")
+    size = lambda pdf: pd.DataFrame({"k": pdf["k"].iloc[:1], "n": [len(pdf)]})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # planned as a merge join
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = map_groups(both, ["k"], ["i"], size, "k long, n long").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.k, r.n) for r in got) == [(k, 400) for k in range(500)]
