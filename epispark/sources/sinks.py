@@ -71,12 +71,14 @@ def write_frames(
     """
     spark = frames.sparkSession
     ledger = latest_status(read_ledger(spark, ledger_path)).where(F.col("stage") == stage)
+    # a row per episode: its files are far smaller than its rows in memory, so it is never broadcast
     ledger = ledger.select(
         F.col("source").alias(source), F.col("item").cast("long").alias(episode), "status"
-    )
+    ).hint("merge")
     wanted = frames
     if episodes is not None:
-        wanted = frames.join(episodes.select(source, episode).distinct(), [source, episode], "left_semi")
+        known = episodes.select(source, episode).distinct().hint("merge")
+        wanted = frames.join(known, [source, episode], "left_semi")
     todo = materialise(not_done(wanted, ledger, [source, episode]).select(frames.columns), "pending")
     written = materialise(todo.select(source, chunk, episode).distinct(), "pending-keys")
     touched = written.select(source, chunk).distinct()
@@ -87,7 +89,7 @@ def write_frames(
         marked = ledger.where(F.col("status") == "done").select(source, episode)
         kept = present.join(touched, [source, chunk], "left_semi")
         kept = kept.join(marked, [source, episode], "left_semi").select(todo.columns)
-        todo = materialise(kept.unionByName(todo), "chunks")
+        todo = materialise(kept, "kept").unionByName(todo)
     block = F.floor(F.col(index) / BLOCK)
     clustered = todo.repartition(F.col(source), F.col(chunk), block).sortWithinPartitions(
         source, chunk, episode, index
