@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epispark.scale import small_side
 from epispark.session import materialise
 
 BLOCK = 1024  # vectors of a block
@@ -118,20 +119,24 @@ def _step(k: int):
 
 def _scores(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = batch.to_pydict() | {"group": None, "rows": None}
-            parts = []
-            for m, x, mean, p in zip(got["m"], got["x"], got["mean"], got["p"]):
-                mean = np.array(mean)
-                s = (np.array(x).reshape(m, -1) - mean) @ np.array(p).reshape(-1, len(mean)).T
-                parts.append(np.hstack([s, np.full((m, k - s.shape[1]), np.nan)]))
-            s = np.vstack(parts) if parts else np.zeros((0, k))
-            who = pa.array(np.repeat(np.arange(batch.num_rows), got["m"] if parts else 0))
-            columns = [pa.array(s[:, i], from_pandas=True) for i in range(k)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(who), batch.column(1).take(who), batch.column(2).flatten(), *columns],
-                names=["key", "group", "row", *[f"pc{i}" for i in range(k)]],
-            )
+        for whole in batches:
+            # a batch may hold thousands of blocks: a few at a time, read in place
+            for lo in range(0, whole.num_rows, HELD):
+                yield scored(whole.slice(lo, HELD))
+
+    def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, parts = batch.column(3).to_numpy(), []
+        for i, m in enumerate(sizes):
+            x, mean, p = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+            s = (x.reshape(m, -1) - mean) @ p.reshape(-1, len(mean)).T
+            parts.append(np.hstack([s, np.full((m, k - s.shape[1]), np.nan)]))
+        s = np.vstack(parts)
+        who = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        columns = [pa.array(s[:, i], from_pandas=True) for i in range(k)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(who), batch.column(1).take(who), batch.column(2).flatten(), *columns],
+            names=["key", "group", "row", *[f"pc{i}" for i in range(k)]],
+        )
 
     return run
 
@@ -203,5 +208,5 @@ def wide_components(
     scaled = [
         ((F.col(c) - F.col("lo_" + c)) / F.greatest(F.col("hi_" + c) - F.col("lo_" + c), F.lit(1e-6))).alias(c) for c in names
     ]
-    both = scores.join(bounds, F.col("key") == F.col("k_"))
+    both = scores.join(small_side(bounds, "bounds"), F.col("key") == F.col("k_"))
     return both.select(F.col("group").alias(group), F.col("row").alias(row), *scaled)

@@ -285,3 +285,22 @@ def test_slots_are_sent_as_rows_and_few_times(spark, monkeypatch):
     got = CT.tiled_info_nce(df, "b", "i", "s", "t", tile=8).collect()
     want = info_nce(df.withColumn("b", F.lit(0)), "b", "i", "s", "t", 300).first()
     assert len(got) == 1 and got[0].b is None and got[0].n == 300 and abs(got[0].loss - want.loss) < 1e-6
+
+
+def test_scores_leave_a_task_few_blocks_at_a_time():
+    import pyarrow as pa
+
+    from epispark.operators import subspace as SS
+
+    n, m = 5 * SS.HELD, 3
+    lists = lambda x: pa.array(x, pa.list_(pa.float64()))
+    x = np.random.default_rng(3).normal(size=(n, m, 2))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["k"] * n), pa.array([0] * n), pa.array([list(range(i * m, i * m + m)) for i in range(n)]), pa.array([m] * n),
+         lists([b.ravel().tolist() for b in x]), lists([[0.5, 1.0]] * n), lists([[0.0, 1.0, 1.0, 0.0]] * n)],
+        names=["key", "group", "rows", "m", "x", "mean", "p"])
+    out = list(SS._scores(3)([batch, batch.slice(0, 0)]))
+    assert max(b.num_rows for b in out) == SS.HELD * m
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["row"] == list(range(n * m)) and got["pc2"] == [None] * (n * m)
+    assert np.allclose(np.c_[got["pc0"], got["pc1"]], x.reshape(-1, 2)[:, ::-1] - [1.0, 0.5])
