@@ -1,7 +1,8 @@
 """Queries in the form that their plans take on large tables, held against the same oracles.
 
-Tables above ``scale.ROWS_PER_BUCKET`` rows are numbered, filled and ranked in two levels. Here the
-limit is 1,000 rows while the plan is built, so the test data already take that way.
+Tables above ``scale.ROWS_PER_BUCKET`` rows are filled and ranked in two levels, and numbered so where a key
+has more than ``scale.ROWS_PER_KEY``. Here the limit is 1,000 rows while the plan is built, whatever the
+longest key, so the test data already take that way.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ NAMES = (
 
 def _build(name: str):
     def build(spark, sf):
-        limit, scale.ROWS_PER_BUCKET = scale.ROWS_PER_BUCKET, 1_000
+        limits = scale.ROWS_PER_BUCKET, scale.ROWS_PER_KEY
+        scale.ROWS_PER_BUCKET, scale.ROWS_PER_KEY = 1_000, 0
         try:
             return REGISTRY[name].build(spark, sf)
         finally:
-            scale.ROWS_PER_BUCKET = limit
+            scale.ROWS_PER_BUCKET, scale.ROWS_PER_KEY = limits
 
     return build
 

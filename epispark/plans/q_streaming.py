@@ -78,7 +78,7 @@ def _(spark, sf):
     from epispark.scale import dense_index, key_prefix, order_buckets
 
     e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("episode"), "vec_id", "embedding")
-    rows = dense_index(e, ["episode"], ["vec_id"], key_prefix(order_buckets(e, F.col("vec_id"))), "t")
+    rows = dense_index(e, ["episode"], ["vec_id"], key_prefix(order_buckets(e, F.col("vec_id"), keys=["episode"])), "t")
     cfg = TR.TriggerConfig(tau_hard=1.2, tau_soft=0.9, timer_hard=60, timer_soft=5)
     out = TR.refresh_batch(rows, "episode", "t", F.lit(-1.0), vector=F.col("embedding"), config=cfg)
     return out.select("episode", "t", "refreshed", r(F.col("drift")).alias("drift"), "refresh_count")

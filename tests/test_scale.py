@@ -44,6 +44,22 @@ def test_order_buckets_cuts_large_tables_only(hot):
     assert len(sizes) > 20 and max(sizes) < 1200
 
 
+def test_order_buckets_leave_short_keys_whole(spark, hot, monkeypatch):
+    monkeypatch.setattr(scale, "ROWS_PER_KEY", 1999)
+    assert scale.order_buckets(hot, F.col("frame"), 100, keys=["episode"]) is not None
+    short = hot.where("episode > 1")
+    assert scale.order_buckets(short, F.col("x"), 100) is not None
+    assert scale.order_buckets(short, F.col("x"), 100, keys=["episode"]) is None
+
+
+def test_order_buckets_count_the_cuts_below(hot):
+    """Same numbers as comparing every position with every cut, outliers and equal positions included."""
+    bucket = scale.order_buckets(hot, F.col("x"), rows_per_bucket=7)
+    rows = sorted((r.x, r.b) for r in hot.select("x", bucket.alias("b")).collect())
+    ids = [b for _, b in rows]
+    assert ids == sorted(ids) and ids[0] == 0 and len(set(ids)) == ids[-1] + 1 > 300
+
+
 def test_global_rank_of_a_large_table(hot, monkeypatch):
     monkeypatch.setattr(scale, "ROWS_PER_BUCKET", 100)
     got = scale.global_rank(hot, ["episode", "frame"], "i").collect()
