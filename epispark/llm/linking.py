@@ -19,7 +19,8 @@ from epispark.llm.components import components
 from epispark.session import materialise, scratch_table
 
 STAR_ROUNDS = 2
-TILE = 128  # members of a slot; a task compares two slots at a time
+TILE = 1024  # members of a slot; a task compares two slots at a time
+VOLUME = 1 << 20  # shingles of a slot, 8 MB: slots of long texts have fewer members
 COLUMNS = 4096  # shared shingles that a task's incidence matrix holds at once
 
 
@@ -40,27 +41,44 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of sets with the similarity and different components."""
+    """Positions of pairs of sets with the similarity, enough to join all components that such pairs join.
+
+    The members of the largest component are held against the others only, as they need no link.
+    """
     m = len(sets)
+    names, comp, many = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.argsort(comp != many.argmax(), kind="stable")
+    g, sets, comp = int(many.max()), [sets[i] for i in order], comp[order]
+    if g == m:
+        return order[:0], order[:0]
     size = np.fromiter(map(len, sets), np.int64, m)
     flat, who = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(flat, kind="stable")
-    flat, who = flat[order], who[order]
+    by = np.argsort(flat, kind="stable")
+    flat, who = flat[by], who[by]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    many = np.diff(np.r_[first, len(flat)])
-    column = np.repeat(np.cumsum(many > 1) - 1, many)
-    on = np.repeat(many > 1, many)
+    held = np.diff(np.r_[first, len(flat)])
+    use = (held > 1) & (np.maximum.reduceat(who, first) >= g)  # shared, and by one outside the largest component
+    column = np.repeat(np.cumsum(use) - 1, held)
+    on = np.repeat(use, held)
     column, who = column[on], who[on]
-    shared = np.zeros((m, m), np.float32)
+    shared = np.zeros((m, m - g), np.float32)
     cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + COLUMNS + 1, COLUMNS))
     for lo, hi in zip(cuts, cuts[1:]):
         if hi > lo:
             block = np.zeros((m, COLUMNS), np.float32)
             block[who[lo:hi], column[lo:hi] % COLUMNS] = 1
-            shared += block @ block.T
-    shared = shared.astype(np.int64)
-    close = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-    return np.nonzero(np.triu(close & (comp[:, None] != comp[None, :]), 1))
+            shared += block @ block[g:].T
+    a, b = [], []
+    for j in range(m - g):
+        both = shared[:, j]
+        close = np.flatnonzero((100 * both >= percent * (size + size[g + j] - both)) & (comp != comp[g + j]))
+        if len(close):  # one link to each component, which are one from now on
+            joined, at = np.unique(comp[close], return_index=True)
+            a.append(close[at])
+            b.append(np.full(len(at), g + j))
+            comp[np.isin(comp, joined)] = comp[g + j]
+    a, b = (order[np.concatenate(x)] if x else order[:0] for x in (a, b))
+    return a, b
 
 
 def _tiles(percent: int):
@@ -90,10 +108,23 @@ def _tiles(percent: int):
 
 
 def _all_pairs(open_: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Links between all members of each group ``key`` (``key, cid, comp``) that its tiles find."""
-    sizes = open_.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("g"))
-    slots = open_.join(sizes, F.col("key") == F.col("k")).withColumn("s", F.pmod(F.xxhash64("cid"), "g"))
-    slots = slots.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    """Links between all members of each group ``key`` (``key, cid, comp, n, own``) that its tiles find.
+
+    Members with ``own`` are in the hub's component and need no link among themselves: their slots meet
+    those of the others only, which meet all slots. A group of two slots is one tile and goes out once, so
+    rows grow with the square of the others, and with the group itself while they are one slot.
+    """
+    def slots_of(own: Column) -> Column:
+        many, volume = F.count_if(own), F.sum(F.when(own, F.col("n")))
+        return F.greatest(F.ceil(many / tile), F.ceil(F.coalesce(volume, F.lit(0)) / VOLUME)).cast("int")
+
+    sizes = open_.groupBy(F.col("key").alias("k")).agg(slots_of(F.col("own")).alias("g"), slots_of(~F.col("own")).alias("h"))
+    slots = open_.join(sizes, F.col("key") == F.col("k"))
+    one = F.col("g") + F.col("h") < 3
+    at = F.when(F.col("own"), F.pmod(F.xxhash64("cid"), "g")).otherwise(F.col("g") + F.pmod(F.xxhash64("cid"), "h"))
+    slots = slots.withColumn("s", F.when(one, 0).otherwise(at))
+    met = F.sequence(F.when(F.col("own"), F.col("g")).otherwise(0), F.col("g") + F.col("h") - 1)
+    slots = slots.withColumn("t", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.array_remove(met, F.col("s").cast("int")))))
     grp = F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t"))
     dealt = materialise(slots.select(grp.alias("grp"), "cid", "comp"), "tile-rows")
     full = dealt.join(sets.select(F.col("cid").alias("c_"), "shingles"), F.col("cid") == F.col("c_"))
@@ -101,6 +132,14 @@ def _all_pairs(open_: DataFrame, sets: DataFrame, percent: int, tile: int) -> Da
     return full.mapInArrow(_tiles(percent), "a long, b long")
 
 
+def different_groups(members: DataFrame) -> DataFrame:
+    """``key, cid, n`` of ``members``, of all groups with the same members one."""
+    same = [F.count(F.lit(1)), F.sum(F.xxhash64("cid").cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), "cid"))]
+    groups = members.groupBy(F.col("key").alias("k")).agg(*[x.alias(f"s{i}") for i, x in enumerate(same)])
+    first = materialise(groups.groupBy("s0", "s1", "s2").agg(F.min("k").alias("k")).select("k"), "groups")
+    return materialise(members.join(first, F.col("key") == F.col("k"), "left_semi"), "different-groups")
+
+
 def similar_components(
     members: DataFrame, sets: DataFrame, percent: int = 80, rounds: int = STAR_ROUNDS, tile: int = TILE
 ) -> DataFrame:
@@ -110,12 +149,14 @@ def similar_components(
     Both are written tables. The hub of a group is the member with most confirmed links so far, in the
     first round the one with the smallest id, so that groups of the same copies share their stars.
     """
+    members = different_groups(members)
     links, found, degree = None, None, None
     for turn in range(rounds + 1):
         if links is None:
             state = members.withColumn("comp", F.col("cid")).withColumn("deg", F.lit(0))
         else:
-            state = members.join(found, F.col("cid") == F.col("node"), "left").join(degree, F.col("cid") == F.col("d_"), "left")
+            known = materialise(found.join(degree, F.col("node") == F.col("d_"), "left"), "known")
+            state = members.join(known, F.col("cid") == F.col("node"), "left")
             state = state.select("key", "cid", "n", F.coalesce("root", "cid").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
         state, drop = scratch_table(state, "link-state")
         order = F.col("cid") if turn == 0 else F.xxhash64("cid", F.pmod("key", F.lit(4)))
@@ -127,8 +168,9 @@ def similar_components(
             break
         joined = state.join(hubs, F.col("key") == F.col("k")).where("cid <> hub.cid")
         if turn == rounds:
-            rest = state.join(hubs, F.col("key") == F.col("k"), "left_semi")
-            new = _all_pairs(rest.select("key", "cid", "comp"), sets, percent, tile)
+            own = F.col("comp") == F.col("hub.comp")
+            rest = state.join(hubs, F.col("key") == F.col("k")).select("key", "cid", "comp", "n", own.alias("own"))
+            new = _all_pairs(rest, sets, percent, tile)
         else:
             ask = joined.where((F.col("comp") != F.col("hub.comp")) & sizes_fit(F.col("n"), F.col("hub.n"), percent))
             ask = ask.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()

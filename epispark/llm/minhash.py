@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.linking import similar_components
+from epispark.llm.shingle_simhash import shingle_sets
 from epispark.llm.wordhash import U, mix, shingles, word_hashes
-from epispark.llm.words import text_batches
+from epispark.llm.words import free_names, numbered, text_batches
 from epispark.session import materialise, scratch_table
 
 BITS = 7  # 128 bins
@@ -55,44 +56,36 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def _sets(width: int, bits: int, rows: int):
+def _bands(width: int, bits: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "key", "n", "d1", "d2", "bands", "shingles"]
+        names = ["row", "key", "n", "d1", "d2", "bands"]
         for batch in batches:
-            n, d, keys, sets = [], [], [], []
+            n, d, keys = [], [], []
             for text in batch.column(2):
                 words, _, _ = word_hashes(text.as_py() or b"", lower=True)
                 own = np.unique(shingles(words, width))
                 n.append(len(own))
                 d.append(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64))
                 keys.append(band_keys(signature(own, bits), rows) if len(own) else own)
-                sets.append(own)
-            def lists(parts):
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             d = np.array(d, np.int64).reshape(-1, 2)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(keys), lists(sets)],
-                names=names,
-            )
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), bands], names=names
+            )
 
     return run
 
 
-def shingle_sets(
-    docs: DataFrame, text: str, key: str, width: int, bits: int = BITS, rows: int = ROWS
-) -> DataFrame:
-    """``row, key, n, d1, d2, bands, shingles`` of every document: its set of distinct shingle hashes,
-    the set's size and 128-bit digest, and its band keys."""
-    text_batches(docs.sparkSession)
-    src = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"),
-    )
+def banded(src: DataFrame, width: int, bits: int = BITS, rows: int = ROWS) -> DataFrame:
+    """``row, key, n, d1, d2, bands`` of every document (``row, key, text``): the size of its set of distinct
+    shingle hashes, the set's 128-bit digest, and its band keys."""
+    text_batches(src.sparkSession)
+    src = src.select("row", "key", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     longs = [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")]
-    arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "shingles")]
-    return src.mapInArrow(_sets(width, bits, rows), T.StructType([*src.schema.fields[:2], *longs, *arrays]))
+    bands = T.StructField("bands", T.ArrayType(T.LongType()))
+    return src.mapInArrow(_bands(width, bits, rows), T.StructType([*src.schema.fields[:2], *longs, bands]))
 
 
 def band_members(reps: DataFrame) -> DataFrame:
@@ -120,15 +113,18 @@ def minhash_duplicates(
     last, a component of null keys has component null and is kept; repeated rows give repeated
     results; an empty table gives an empty table; other columns are not read.
     """
-    marked = materialise(shingle_sets(docs, text, key, width), "shingle-sets")
+    (row,) = free_names(docs, "minhash_row")
+    src = numbered(docs, row).select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = materialise(banded(src, width), "banded")
     classes = marked.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("key").alias("first"))
     classes = materialise(classes, "classes")
     ids = classes.select("cid")
     reps = marked.select(F.col("row").alias("cid"), "n", "bands").join(ids, "cid", "left_semi")
     members = band_members(reps)
     asked = materialise(members.select("cid").distinct(), "candidates")
-    sets = marked.select(F.col("row").alias("cid"), "n", "shingles").join(asked, "cid", "left_semi")
-    sets = materialise(sets, "candidate-sets")
+    # candidates grow with the documents, so they are never broadcast; their sets are built again, as texts are smaller
+    texts = src.select(F.col("row").alias("cid"), "text").join(asked.hint("merge"), "cid", "left_semi")
+    sets = materialise(shingle_sets(texts, "text", ["cid"], width), "candidate-sets")
     found = similar_components(members, sets, percent)
     roots = classes.join(found, F.col("cid") == F.col("node"), "left").select(
         F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first", F.coalesce("root", "cid").alias("root")

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+from epispark.llm import linking
 from epispark.llm.linking import similar_components
 from epispark.llm.minhash import minhash_duplicates, signature
 from epispark.llm.wordhash import PIECE, shingles, word_hashes
@@ -84,6 +85,28 @@ def test_stars_and_tiles_agree(spark, rounds, tile):
     assert {k: got.get(k, k) for k in sets} == want
 
 
+def test_rows_of_tiles_follow_the_strangers(spark, monkeypatch):
+    """Members of the hub's component are not held against one another: doubling them doubles the rows."""
+
+    def sent(many: int) -> int:
+        rows = [(1, k, 0 if k >= 40 else k + 1, 3, k >= 40) for k in range(many + 40)]
+        open_ = spark.createDataFrame(rows, "key long, cid long, comp long, n long, own boolean")
+        sets = spark.createDataFrame([(k, [3 * k, 3 * k + 1, 3 * k + 2]) for k in range(many + 40)], "cid long, shingles array<long>")
+        kept = []
+        monkeypatch.setattr(linking, "materialise", lambda df, label: kept.append(df.count()) or df)
+        assert linking._all_pairs(open_, sets, 80, 32).isEmpty()
+        return kept[0]
+
+    one, two = sent(640), sent(1280)
+    assert one < 680 * 4 and two < 2.2 * one
+
+
+def test_equal_groups_are_one(spark):
+    rows = [(key, cid, 5) for key, cids in ((1, (1, 2)), (2, (1, 2)), (3, (1, 2, 3)), (4, (2, 1))) for cid in cids]
+    got = linking.different_groups(spark.createDataFrame(rows, "key long, cid long, n long"))
+    assert sorted(r.key for r in got.select("key").distinct().collect()) == [1, 3]
+
+
 def test_odd_rows(odd_docs, no_docs, texts):
     got = minhash_duplicates(odd_docs).collect()
     assert len(got) == len(texts)
