@@ -232,7 +232,9 @@ def keep_first_similar(
     variants = reps.select(F.explode(F.col("variants").cast("array<long>")).alias("key"), "cid", "low", "high")
     asked, drop_asked = scratch_table(candidate_groups(variants), "near-rows")
     near = materialise(asked.select(F.col("cid").alias("near")).distinct(), "near")
-    texts = src.join(near, F.col("row") == F.col("near"), "left_semi")  # few are near: their sets are built again
+    # few are near: their sets are built again; both semi-joins of texts are with rows that grow with the
+    # documents, so they are shuffled at every size
+    texts = src.join(near.hint("merge"), F.col("row") == F.col("near"), "left_semi")
     sets, drop_sets = scratch_table(shingle_sets(texts.withColumnRenamed("row", "cid"), "text", ["cid"], width), "candidate-sets")
     members = materialise(asked.join(sets.select("cid", "n"), "cid").select("key", "cid", "n"), "members")
     drop_asked()
@@ -242,4 +244,4 @@ def keep_first_similar(
     kept = materialise(first.select(F.col("first.row").alias(k)), "kept")
     for drop in (drop_marked, drop_classes, drop_sets):
         drop()
-    return docs.join(kept, F.col(row) == F.col(k), "left_semi").drop(row)
+    return docs.join(kept.hint("merge"), F.col(row) == F.col(k), "left_semi").drop(row)

@@ -83,3 +83,12 @@ def test_margins_equal_a_count_of_bits():
     assert len(ss.margins(h)) == 64 * ss.LANES and np.abs(ss.margins(h)).max() < 200
     assert (ss.margins(h[:1]) ** 2 == 1).all() and (ss.margins(h[:0]) == 0).all()
     assert (ss.margins(h) == sum(ss.margins(h[i : i + 1]) for i in range(700))).all()
+
+
+def test_kept_rows_are_never_broadcast(spark):
+    """A row per kept document: the plan is the same for few documents as for many."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words")], "doc_id long, text string")
+    out = ss.keep_first_similar(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
