@@ -304,3 +304,15 @@ def test_scores_leave_a_task_few_blocks_at_a_time():
     got = pa.Table.from_batches(out).to_pydict()
     assert got["row"] == list(range(n * m)) and got["pc2"] == [None] * (n * m)
     assert np.allclose(np.c_[got["pc0"], got["pc1"]], x.reshape(-1, 2)[:, ::-1] - [1.0, 0.5])
+
+
+def test_record_tasks_are_bounded(monkeypatch):
+    """Many files make longer runs, not ever more tasks; few files stay spread."""
+    for n in (0, 40, 100_000):
+        files = [f"r/episode_{k:012d}.json" for k in range(n)]
+        monkeypatch.setattr(RF, "list_records", lambda root, files=files: files)
+        parts = RF.RecordReader("r").partitions()
+        assert [f for p in parts for f in p.paths] == files
+        assert len(parts) <= RF.MAX_PARTITIONS and max(len(p.paths) for p in parts) <= max(16, -(-n // 128))
+        stream = RF.RecordStream("r").partitions({"after": ""}, {"after": "s"})
+        assert [f for p in stream for f in p.paths] == files and len(stream) <= RF.MAX_PARTITIONS
