@@ -17,14 +17,22 @@ def gaussian(*key: Column) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * math.pi * v)
 
 
+def jitter(x: Column, lo: Column, hi: Column, std: float, seed: int, *key: Column) -> Column:
+    """``x`` with Gaussian noise, clamped to ``lo`` and ``hi``."""
+    return F.least(F.greatest(x + std * gaussian(F.lit(seed), *key), lo), hi)
+
+
 def perturb(v: Column, std: float, seed: int, *key: Column, training: bool = True) -> Column:
-    """Gaussian jitter per element, clamped to the vector's own range; off for negative ``std``."""
+    """Gaussian jitter per element, clamped to the vector's own range; off for negative ``std``.
+
+    For vectors that are rows per element anyway :func:`jitter` draws the same values in compiled code.
+    """
     if not training or std < 0:
         return v
     lo, hi = F.array_min(v), F.array_max(v)
     return F.transform(
         v,
-        lambda x, i: F.least(F.greatest(x + std * gaussian(F.lit(seed), *key, i), lo), hi),
+        lambda x, i: jitter(x, lo, hi, std, seed, *key, i),
     )
 
 

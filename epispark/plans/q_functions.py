@@ -173,9 +173,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     v = F.array(F.col("x2"), F.col("x3"), F.col("x0") / 50)
-    out = line_frames(spark, sf).select(
-        "episode", "frame", F.posexplode(A.perturb(v, 0.05, 3, F.col("episode"), F.col("frame"))).alias("i", "y"))
-    return out.withColumn("y", r(F.col("y")))
+    rows = line_frames(spark, sf).select(
+        "episode", "frame", F.array_min(v).alias("lo"), F.array_max(v).alias("hi"), F.posexplode(v).alias("i", "x"))
+    y = A.jitter(F.col("x"), F.col("lo"), F.col("hi"), 0.05, 3, F.col("episode"), F.col("frame"), F.col("i"))
+    return rows.select("episode", "frame", "i", r(y).alias("y"))
 
 
 @query(
