@@ -17,11 +17,22 @@ from epispark.scale import global_rank
 RAW_GLOBS = {"table": "*.parquet", "hierarchical": "*.h5", "records": "*.tfrecord*"}
 
 
+LISTING_TASKS = 128
+
+
+def few_listing_tasks(spark: SparkSession) -> None:
+    """Lets a listing take ``LISTING_TASKS`` tasks at most; Spark's default is a task a folder up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    if int(spark.conf.get(name)) > LISTING_TASKS:
+        spark.conf.set(name, LISTING_TASKS)
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Recursive listing ``path, length, modificationTime``; contents are never read.
 
     A missing root is an empty listing.
     """
+    few_listing_tasks(spark)
     try:
         files = (
             spark.read.format("binaryFile")
@@ -130,6 +141,7 @@ def episode_of_file(path: Column) -> Column:
 
 def read_episode_files(spark: SparkSession, root: str, pattern: str = "episode_*.parquet"):
     """Layout with one file per episode; the episode number comes from the file name."""
+    few_listing_tasks(spark)
     df = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)

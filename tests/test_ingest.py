@@ -206,3 +206,15 @@ def test_groups_stay_whole_behind_a_broadcast_join(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((r.k, r.n) for r in got) == [(k, 400) for k in range(500)]
+
+
+def test_listing_tasks_are_bounded(spark, tmp_path):
+    """Forty folders, more than the driver lists itself, are listed by a few tasks."""
+    from epispark.sources import readers as RD
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.range(40).withColumn("episode", F.col("id")).write.partitionBy("episode").parquet(f"{tmp_path}/data")
+    spark.conf.unset(name)
+    found = RD.episodes_with_fallbacks(spark, str(tmp_path), "*.parquet").collect()
+    assert sorted(r.episode_index for r in found) == list(range(40))
+    assert int(spark.conf.get(name)) <= RD.LISTING_TASKS
