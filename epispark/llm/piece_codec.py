@@ -16,6 +16,8 @@ from epispark.llm.words import text_batches
 
 CACHE_WORDS = 150_000
 CACHED_CHARS = 64
+#: Texts are encoded in blocks of so many characters, one text at least: symbol arrays are many times as large.
+BLOCK_CHARS = 1 << 18
 
 
 def _encoder(model_path: str, ends: bool, finish):
@@ -28,7 +30,7 @@ def _encoder(model_path: str, ends: bool, finish):
         known: dict[str, bytes] = {}
         for batch in batches:
             values = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in blocks(values):
+            for lo, hi in blocks(values, BLOCK_CHARS):
                 words = [model.pretokens(t or "") for t in values[lo:hi]]
                 missing = list(set().union(*words) - known.keys())
                 ids, counts = model.encode_words(missing)

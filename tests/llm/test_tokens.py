@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epispark.llm.bpe import piece_model
-from epispark.llm.piece_codec import decode, encode, round_trip
+from epispark.llm.piece_codec import _encoder, _ids, decode, encode, round_trip
 from epispark.llm.queries import QUERIES, table, tokenizer_path
 from epispark.llm.token_counts import count_tokens
 
@@ -77,3 +79,19 @@ def test_queries_equal_library(spark, sf, library):
         ids = [1, *library.encode(texts[r.doc_id]), 2]
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_encoding_of_a_batch_takes_little_memory(library):
+    """Two workers encode beside an executor's heap; a batch of whole texts goes through in small blocks."""
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdeinrst", k=9)) for _ in range(200)) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], names=["doc_id", "text"])
+    run = _encoder(tokenizer_path(), True, _ids)
+    list(run(iter([batch.slice(0, 1)])))  # the model's tables stay
+    tracemalloc.start()
+    made = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = [i for b in made for i in b.column("ids").to_pylist()]
+    assert ids == [[1, *library.encode(t), 2] for t in texts]
+    assert peak < 100 << 20
