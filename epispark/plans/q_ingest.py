@@ -13,7 +13,7 @@ from epispark.operators.stats import column_statistics
 from epispark.plans.q_stats import six, six_sql
 from epispark.plans.registry import R, query, r
 from epispark.plans.views import EV, LF, line_frames, long_values, signal_frames, table
-from epispark.session import scratch_path
+from epispark.session import materialise, scratch_path
 from epispark.sources import adapters as AD
 from epispark.sources import readers as RD
 from epispark.sources import sinks as SK
@@ -324,14 +324,16 @@ def _(spark, sf):
     absent = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(
         F.lit("lines").alias("source"), F.lit(0).cast("long").alias("chunk"), (-F.col("o_orderkey") - 1).alias("episode_index"))
     known = known.select("source", F.col("chunk").cast("long").alias("chunk"), "episode_index").unionByName(absent)
+    known = materialise(known, "manifest")
     for part in (0, 1):
         SK.write_frames(frames.where(F.col("episode_index") % 3 == part), out, ledger, episodes=known)
     SK.write_frames(frames, out, ledger, episodes=known)
     stored = RD.read_frames(spark, out, columns=["episode_index", "frame_index"]).groupBy("episode_index").agg(
         F.count(F.lit(1)).alias("frames"), F.sum(F.col("frame_index").cast("long")).alias("total"))
-    done = SK.latest_status(SK.read_ledger(spark, ledger)).where("status = 'done'").select(
+    done = SK.finished(SK.read_ledger(spark, ledger)).select(
         F.col("item").cast("long").alias("episode_index"), F.lit(True).alias("done"))
-    rows = known.select("episode_index").distinct().join(stored, "episode_index", "left").join(done, "episode_index", "left")
+    rows = known.select("episode_index").distinct().join(stored.hint("merge"), "episode_index", "left").join(
+        done.hint("merge"), "episode_index", "left")
     return rows.select("episode_index", F.coalesce("frames", F.lit(0).cast("long")).alias("frames"),
                        F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("done", F.lit(False)).alias("done"))
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark import schemas
-from epispark.operators.joins import changed, not_done
+from epispark.operators.joins import changed
 from epispark.operators.quality import episode_rollup, long_enough
 from epispark.scale import BLOCK
 from epispark.session import materialise
+from epispark.sources.readers import few_listing_tasks
 
 MAX_ROWS_PER_FILE = 2_000_000
 
@@ -55,6 +56,17 @@ def latest_status(ledger: DataFrame) -> DataFrame:
     )
 
 
+def finished(ledger: DataFrame) -> DataFrame:
+    """Items whose :func:`latest_status` is ``done``, from numbers only: sums in a hash map, no sort of the ledger."""
+    names = F.array(*[F.lit(s) for s in schemas.STATUSES])
+    done, later = F.col("status") == "done", F.array_position(names, F.col("status")) > F.array_position(names, F.lit("done"))
+    at = F.coalesce("updated_at", F.lit(float("-inf")))
+    times = ledger.groupBy("source", "stage", "chunk", "item").agg(
+        F.max(F.when(done, at)).alias("__done"), F.max(F.when(later, at)).alias("__later"), F.max(at).alias("__last"))
+    latest = (F.col("__done") >= F.col("__last")) & (F.col("__later").isNull() | (F.col("__later") < F.col("__done")))
+    return times.where(latest).select("source", "stage", "chunk", "item")
+
+
 def write_frames(
     frames: DataFrame, path: str, ledger_path: str, stage: str = "convert",
     source: str = "source", chunk: str = "chunk", episode: str = "episode_index",
@@ -65,31 +77,34 @@ def write_frames(
     A chunk is replaced as a whole by its stored rows and the new episodes, so increments keep what
     is there and a rerun after a crash cannot duplicate rows: rows of unmarked episodes are not
     carried over. Chunks whose episodes are all marked are not touched, and an episode without
-    frames stays unmarked. Rows are distributed by chunk and frame block, so a task gets a bounded
-    share even of a very long episode, and sorted for episode filters. ``episodes`` is the manifest
-    (source, chunk, episode) if there is one.
+    frames stays unmarked. Only a crash leaves unmarked episodes, so stored episodes are compared with the
+    ledger first, and stored rows meet a join only if there are any. Stored rows go straight into the new
+    files: a dynamic overwrite drops the old ones once all tasks are done. Rows are distributed by chunk and
+    frame block, so a task gets a bounded share even of a very long episode, and sorted for episode filters.
+    ``episodes`` is the manifest (source, chunk, episode) if there is one.
     """
     spark = frames.sparkSession
-    ledger = latest_status(read_ledger(spark, ledger_path)).where(F.col("stage") == stage)
+    few_listing_tasks(spark)
+    done = finished(read_ledger(spark, ledger_path).where(F.col("stage") == stage))
     # a row per episode: its files are far smaller than its rows in memory, so it is never broadcast
-    ledger = ledger.select(
-        F.col("source").alias(source), F.col("item").cast("long").alias(episode), "status"
-    ).hint("merge")
+    done = done.select(F.col("source").alias(source), F.col("item").cast("long").alias(episode)).hint("merge")
     wanted = frames
     if episodes is not None:
-        known = episodes.select(source, episode).distinct().hint("merge")
-        wanted = frames.join(known, [source, episode], "left_semi")
-    todo = materialise(not_done(wanted, ledger, [source, episode]).select(frames.columns), "pending")
+        wanted = frames.join(episodes.select(source, episode).hint("merge"), [source, episode], "left_semi")
+    todo = materialise(wanted.join(done, [source, episode], "left_anti").select(frames.columns), "pending")
     written = materialise(todo.select(source, chunk, episode).distinct(), "pending-keys")
     touched = written.select(source, chunk).distinct()
     if touched.isEmpty():
         return
     present = stored(spark, path, todo)
     if present is not None:
-        marked = ledger.where(F.col("status") == "done").select(source, episode)
-        kept = present.join(touched, [source, chunk], "left_semi")
-        kept = kept.join(marked, [source, episode], "left_semi").select(todo.columns)
-        todo = materialise(kept, "kept").unionByName(todo)
+        kept = present.join(touched, [source, chunk], "left_semi").select(todo.columns)
+        kept = kept.where(F.col(source).isNotNull() & F.col(episode).isNotNull())
+        keys = kept.select(source, episode).distinct()
+        strays = materialise(keys.join(done, [source, episode], "left_anti"), "strays")
+        if not strays.isEmpty():
+            kept = kept.join(strays.hint("merge"), [source, episode], "left_anti")
+        todo = kept.unionByName(todo)
     block = F.floor(F.col(index) / BLOCK)
     clustered = todo.repartition(F.col(source), F.col(chunk), block).sortWithinPartitions(
         source, chunk, episode, index

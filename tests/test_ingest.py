@@ -218,3 +218,41 @@ def test_listing_tasks_are_bounded(spark, tmp_path):
     found = RD.episodes_with_fallbacks(spark, str(tmp_path), "*.parquet").collect()
     assert sorted(r.episode_index for r in found) == list(range(40))
     assert int(spark.conf.get(name)) <= RD.LISTING_TASKS
+
+
+def test_stored_frames_are_not_written_to_scratch_again(spark, root):
+    """An increment rewrites a chunk from its files; rows of a crashed job are dropped on the way."""
+    frames = spark.range(3000).select(
+        F.lit("s").alias("source"), F.floor(F.col("id") / 1000).alias("chunk"),
+        F.floor(F.col("id") / 2).alias("episode_index"), (F.col("id") % 2).alias("frame_index"))
+    out, ledger, sizes, write = f"{root}/out", f"{root}/ledger", [], SK.materialise
+
+    def spy(df, label):
+        made = write(df, label)
+        sizes.append(made.count())
+        return made
+
+    SK.write_frames(frames.where("episode_index % 3 = 0"), out, ledger)
+    stray = frames.where("episode_index in (1, 4)").withColumn("frame_index", F.lit(7).cast("long"))
+    stray.write.mode("append").partitionBy("source", "chunk").parquet(out)  # data without marks
+    SK.materialise = spy
+    try:
+        SK.write_frames(frames.where("episode_index % 3 = 1"), out, ledger)
+        SK.write_frames(frames, out, ledger)
+    finally:
+        SK.materialise = write
+    assert sizes == [1000, 500, 2, 1000, 500, 0]  # new rows, their episodes, strays
+    back = spark.read.parquet(out).select("source", "chunk", "episode_index", "frame_index")
+    assert back.count() == 3000 and back.exceptAll(frames.select(back.columns)).count() == 0
+
+
+def test_finished_items_are_those_whose_latest_status_is_done(spark):
+    rows = [("a", "done", 1.0), ("a", "failed", 1.0), ("b", "done", 2.0), ("b", "failed", 1.0), ("c", "done", 1.0),
+            ("c", "running", 1.0), ("d", "done", None), ("e", "pending", 3.0), ("e", "done", 2.0), ("f", "requeued", None),
+            ("f", "done", None), ("g", None, 1.0), ("g", "done", 1.0), ("h", "odd", 5.0), ("h", "done", 4.0)]
+    ledger = spark.createDataFrame(
+        [("s", "x", 0, i, st, 1, t) for i, st, t in rows],
+        "source string, stage string, chunk long, item string, status string, attempts int, updated_at double")
+    want = {r.item for r in SK.latest_status(ledger).where("status = 'done'").collect()}
+    assert {r.item for r in SK.finished(ledger).collect()} == want == {"b", "c", "d", "g"}
+    assert "SortAggregate" not in SK.finished(ledger)._jdf.queryExecution().executedPlan().toString()
