@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from epispark import schemas
 from epispark.operators.joins import changed
-from epispark.operators.quality import episode_rollup, long_enough
+from epispark.operators.quality import episode_rollup
 from epispark.scale import BLOCK
 from epispark.session import materialise
 from epispark.sources.readers import few_listing_tasks
@@ -141,16 +141,18 @@ def roll_up(
 ) -> None:
     """Frames of long enough episodes, the episode table and a one-row info file.
 
-    Rows are clustered by chunk and frame block before the write; a rerun replaces all three.
+    Rows are clustered by chunk and frame block before the write; a rerun replaces all three. Episodes are
+    counted once, from the frames: the written folders, one per chunk, are neither listed nor read again.
     """
     spark = frames.sparkSession
-    kept = long_enough(frames, "episode_index", min_frames).withColumn(
-        "chunk", F.floor(F.col("episode_index") / chunk_size)
-    )
+    known = frames.where(F.col("episode_index").isNotNull())
+    episodes = episode_rollup(known, "episode_index", "embodiment", chunk_size)
+    episodes = materialise(episodes.where(F.col("length") >= min_frames), "episodes")
+    # a row per episode: its files are far smaller than its rows in memory, so it is never broadcast
+    kept = known.join(episodes.select("episode_index").hint("merge"), "episode_index", "left_semi")
+    kept = kept.withColumn("chunk", F.floor(F.col("episode_index") / chunk_size))
     clustered = kept.repartition("chunk", F.floor(F.col("frame_index") / BLOCK))
     clustered.write.mode("overwrite").partitionBy("chunk").parquet(f"{out}/data")
-    written = spark.read.parquet(f"{out}/data")
-    episodes = episode_rollup(written, "episode_index", "embodiment", chunk_size)
     episodes.write.mode("overwrite").parquet(f"{out}/meta/episodes")
     table = spark.read.parquet(f"{out}/meta/episodes")
     info = table.agg(

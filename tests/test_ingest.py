@@ -256,3 +256,24 @@ def test_finished_items_are_those_whose_latest_status_is_done(spark):
     want = {r.item for r in SK.latest_status(ledger).where("status = 'done'").collect()}
     assert {r.item for r in SK.finished(ledger).collect()} == want == {"b", "c", "d", "g"}
     assert "SortAggregate" not in SK.finished(ledger)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roll_up_does_not_read_its_folders_again(spark, root, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    frames = spark.range(3000).select(
+        F.when(F.col("id") >= 20, F.floor(F.sqrt("id"))).alias("episode_index"), F.col("id").alias("frame_index"),
+        F.lit("arm").alias("embodiment"))
+    read, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **kw: read.extend(paths) or parquet(self, *paths, **kw))
+    for _ in range(2):  # a rerun replaces all three
+        SK.roll_up(frames, root, "s", 4, 15, 5, min_frames=40)
+    monkeypatch.undo()
+    assert read and not [p for p in read if p.endswith("/data")]
+    data = spark.read.parquet(f"{root}/data").groupBy("episode_index", "chunk").agg(F.count(F.lit(1)).alias("n")).collect()
+    want = {(k, k // 4, 2 * k + 1) for k in range(20, 54)} | {(54, 13, 3000 - 54 * 54)}
+    assert {tuple(r) for r in data} == want
+    meta = spark.read.parquet(f"{root}/meta/episodes").select("episode_index", "chunk", "length", "embodiment", "file").collect()
+    assert {tuple(r) for r in meta} == {(*w, "arm", 0) for w in want}
+    info = spark.read.json(f"{root}/meta/info").first()
+    assert (info.n_episodes, info.n_frames) == (35, sum(w[2] for w in want))
