@@ -308,20 +308,35 @@ class EnsembleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("t", ignore_index=True)
-        kept = [np.stack([np.asarray(x, float) for x in c[0]]) for c in self.chunks.get()]
-        out = []
-        for t, chunk in zip(pdf["t"], pdf["chunk"]):
-            if int(t) == 0:
-                kept = []
-            kept.append(np.stack([np.asarray(x, float) for x in chunk]))
-            kept = kept[-self.horizon :]
-            preds = np.stack([c[len(kept) - 1 - j] for j, c in enumerate(kept)])
-            ref = preds[-1]
-            cos = preds @ ref / (np.linalg.norm(preds, axis=1) * np.linalg.norm(ref) + 1e-7)
+        t = pdf["t"].to_numpy()
+        raw = [] if t[0] == 0 else [c[0] for c in self.chunks.get()]
+        old = len(raw)
+        raw += pdf["chunk"].tolist()
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.array([x for c in raw for x in c], float)
+        # chunks x steps x dimensions; missing steps of shorter chunks are never read
+        chunks = np.full((len(raw), max(self.horizon, size.max()), flat.shape[1]), np.nan)
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        chunks[np.repeat(np.arange(len(raw)), size), step] = flat
+        own = np.arange(old, len(raw))
+        # rows from the latest start on; chunks before it are forgotten
+        start = np.maximum.accumulate(np.where(t == 0, own, 0))
+        n = np.minimum(own - start + 1, self.horizon)
+        ref = chunks[own, 0]
+        weight, total = np.zeros(len(own)), np.zeros_like(ref)
+        for age in range(int(n.max())):
+            at = np.flatnonzero(n > age)
+            if (size[own[at] - age] <= age).any():
+                raise IndexError(f"a chunk has no prediction for {age} steps ahead")
+            pred, near = chunks[own[at] - age, age], ref[at]
+            cos = (pred * near).sum(1) / (np.linalg.norm(pred, axis=1) * np.linalg.norm(near, axis=1) + 1e-7)
             w = np.exp(self.alpha * cos)
-            out.append((key[0], int(t), list((w / w.sum()) @ preds), len(preds)))
-        self.chunks.put([([[float(y) for y in x] for x in c],) for c in kept])
-        yield pd.DataFrame(out, columns=["episode", "t", "action", "n_preds"])
+            weight[at] += w
+            total[at] += w[:, None] * pred
+        last = range(len(raw) - n[-1], len(raw))
+        self.chunks.put([(chunks[i, : size[i]].tolist(),) for i in last])
+        yield pd.DataFrame({
+            "episode": key[0], "t": t, "action": list(total / weight[:, None]), "n_preds": n.astype(np.int32)})
 
     def close(self) -> None:
         pass

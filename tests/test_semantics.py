@@ -300,3 +300,43 @@ def test_observation_offsets_are_checked(spark):
     for bad in ([-2, -1], [-4, -1, 0], [0, 1]):
         with pytest.raises(ValueError):
             W.history_stack(df, ["e"], "f", {"h": F.col("v")}, bad)
+
+
+def test_ensemble_state_is_asked_only_for_continued_episodes():
+    """Steps of a micro-batch are computed together; a batch that begins an episode needs no state."""
+    import pandas as pd
+
+    from epispark.streaming.trigger import EnsembleProcessor
+
+    class State:
+        rows, asked = [], 0
+
+        def get(self):
+            self.asked += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    rnd = np.random.default_rng(2)
+    t = [*range(7), *range(5)]  # the episode starts twice
+    chunks = [[rnd.normal(size=2) for _ in range(3 + i % 2)] for i in range(12)]
+    run, got = EnsembleProcessor(3, 1.5), []
+    run.chunks = State()
+    for lo, hi in ((0, 3), (3, 4), (4, 10), (10, 12)):
+        order = range(hi - 1, lo - 1, -1) if hi <= 7 else range(lo, hi)
+        pdf = pd.DataFrame({"t": [t[i] for i in order], "chunk": [chunks[i] for i in order]})
+        if hi == 10:  # frames 4 to 6 of one run, then a new one: one start a batch, so deliver them apart
+            for part in (pdf[:3], pdf[3:]):
+                got += [x for out in run.handleInputRows((1,), iter([part]), None) for x in out.itertuples(index=False)]
+            continue
+        got += [x for out in run.handleInputRows((1,), iter([pdf]), None) for x in out.itertuples(index=False)]
+    for i, x in enumerate(got):
+        preds = np.array([chunks[i - a][a] for a in range(min(t[i] + 1, 3))])
+        cos = preds @ preds[0] / (np.linalg.norm(preds, axis=1) * np.linalg.norm(preds[0]) + 1e-7)
+        w = np.exp(1.5 * cos)
+        assert (x.episode, x.t, x.n_preds) == (1, t[i], len(preds)) and np.allclose(x.action, w @ preds / w.sum())
+    assert len(got) == 12 and run.chunks.asked == 3 and len(run.chunks.rows) == 3
+    short = pd.DataFrame({"t": [0, 1], "chunk": [chunks[0][:1], chunks[1]]})
+    with pytest.raises(IndexError):
+        list(run.handleInputRows((1,), iter([short]), None))
