@@ -107,19 +107,24 @@ def _tiles(percent: int):
     return run
 
 
+def _slots(many: Column, volume: Column, tile: int) -> Column:
+    """Number of slots of so many members, with so many shingles."""
+    return F.greatest(F.ceil(many / tile), F.ceil(F.coalesce(volume, F.lit(0)) / VOLUME)).cast("int")
+
+
 def _all_pairs(open_: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
     """Links between all members of each group ``key`` (``key, cid, comp, n, own``) that its tiles find.
+    ``g, h``, the slots of members with ``own`` and of the others, are counted if they are not given.
 
     Members with ``own`` are in the hub's component and need no link among themselves: their slots meet
     those of the others only, which meet all slots. A group of two slots is one tile and goes out once, so
     rows grow with the square of the others, and with the group itself while they are one slot.
     """
-    def slots_of(own: Column) -> Column:
-        many, volume = F.count_if(own), F.sum(F.when(own, F.col("n")))
-        return F.greatest(F.ceil(many / tile), F.ceil(F.coalesce(volume, F.lit(0)) / VOLUME)).cast("int")
-
-    sizes = open_.groupBy(F.col("key").alias("k")).agg(slots_of(F.col("own")).alias("g"), slots_of(~F.col("own")).alias("h"))
-    slots = open_.join(sizes, F.col("key") == F.col("k"))
+    slots = open_
+    if "g" not in open_.columns:
+        own = F.col("own")
+        count = [_slots(F.count_if(x), F.sum(F.when(x, F.col("n"))), tile).alias(c) for x, c in ((own, "g"), (~own, "h"))]
+        slots = open_.join(open_.groupBy(F.col("key").alias("k")).agg(*count), F.col("key") == F.col("k"))
     one = F.col("g") + F.col("h") < 3
     at = F.when(F.col("own"), F.pmod(F.xxhash64("cid"), "g")).otherwise(F.col("g") + F.pmod(F.xxhash64("cid"), "h"))
     slots = slots.withColumn("s", F.when(one, 0).otherwise(at))
@@ -140,45 +145,63 @@ def different_groups(members: DataFrame) -> DataFrame:
     return materialise(members.join(first, F.col("key") == F.col("k"), "left_semi"), "different-groups")
 
 
+def _hubs(state: DataFrame, order: Column, tile: int) -> DataFrame:
+    """``k, hub, g, h`` of every open group of ``state`` (``key, cid, n, comp, deg``): its hub (``cid, comp, n``), and
+    the slots of the hub's component and of the others."""
+    hub = F.min(F.struct((-F.col("deg")).alias("d"), order.alias("o"), "cid", "comp", "n")).alias("hub")
+    parts = state.groupBy("key", "comp").agg(hub, F.count(F.lit(1)).alias("many"), F.sum("n").alias("volume"))
+    most = F.min(F.struct("hub", "many", "volume")).alias("first")
+    groups = parts.groupBy(F.col("key").alias("k")).agg(most, F.sum("many").alias("all"), F.sum("volume").alias("volume"))
+    many, volume = F.col("first.many"), F.col("first.volume")
+    return groups.where(F.col("all") > many).select(
+        "k", F.struct("first.hub.cid", "first.hub.comp", "first.hub.n").alias("hub"),
+        _slots(many, volume, tile).alias("g"), _slots(F.col("all") - many, F.col("volume") - volume, tile).alias("h"),
+    )
+
+
 def similar_components(
-    members: DataFrame, sets: DataFrame, percent: int = 80, rounds: int = STAR_ROUNDS, tile: int = TILE
+    members: DataFrame, sets: DataFrame, percent: int = 80, rounds: int = STAR_ROUNDS, tile: int = TILE, first: DataFrame | None = None
 ) -> DataFrame:
     """``node, root`` of every class with a link: components of all similar pairs that share a group.
 
     ``members`` are ``key, cid, n`` (n: set size), ``sets`` are ``cid, n, shingles``, distinct hashes.
-    Both are written tables. The hub of a group is the member with most confirmed links so far, in the
-    first round the one with the smallest id, so that groups of the same copies share their stars.
+    Both are written tables. ``first`` are pairs ``a, b`` to confirm before any round, so that groups which
+    they close are never read; any pairs will do. The hub of a group is the member with most confirmed links
+    so far, without links the one with the smallest id, so that groups of the same copies share their stars.
+    A group has one hub: rows joined with hubs are no more than the members.
     """
     members = different_groups(members)
     links, found, degree = None, None, None
-    for turn in range(rounds + 1):
-        if links is None:
-            state = members.withColumn("comp", F.col("cid")).withColumn("deg", F.lit(0))
-        else:
-            known = materialise(found.join(degree, F.col("node") == F.col("d_"), "left"), "known")
-            state = members.join(known, F.col("cid") == F.col("node"), "left")
-            state = state.select("key", "cid", "n", F.coalesce("root", "cid").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
-        state, drop = scratch_table(state, "link-state")
-        order = F.col("cid") if turn == 0 else F.xxhash64("cid", F.pmod("key", F.lit(4)))
-        hub = F.min(F.struct((-F.col("deg")).alias("d"), order.alias("o"), F.col("cid").alias("cid"), F.col("comp").alias("comp"), F.col("n").alias("n")))
-        hubs = state.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub.alias("hub"))
-        hubs = materialise(hubs.where("lo <> hi"), "hubs")
-        if hubs.isEmpty():
-            drop()
-            break
-        joined = state.join(hubs, F.col("key") == F.col("k")).where("cid <> hub.cid")
-        if turn == rounds:
-            own = F.col("comp") == F.col("hub.comp")
-            rest = state.join(hubs, F.col("key") == F.col("k")).select("key", "cid", "comp", "n", own.alias("own"))
-            new = _all_pairs(rest, sets, percent, tile)
+    for turn in range(rounds + 1) if first is None else range(-1, rounds + 1):
+        if turn < 0:
+            new, drop = confirm(first, sets, percent), None
         else:
-            ask = joined.where((F.col("comp") != F.col("hub.comp")) & sizes_fit(F.col("n"), F.col("hub.n"), percent))
-            ask = ask.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
-            new = confirm(ask, sets, percent)
-            members = materialise(joined.select("key", "cid", "n"), "open-members")
+            if links is None:
+                state = members.withColumn("comp", F.col("cid")).withColumn("deg", F.lit(0))
+            else:
+                known = materialise(found.join(degree, F.col("node") == F.col("d_"), "left"), "known")
+                state = members.join(known, F.col("cid") == F.col("node"), "left")
+                state = state.select("key", "cid", "n", F.coalesce("root", "cid").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
+            state, drop = scratch_table(state, "link-state")
+            order = F.col("cid") if links is None else F.xxhash64("cid", F.pmod("key", F.lit(4)))
+            hubs = materialise(_hubs(state, order, tile), "hubs")
+            if hubs.isEmpty():
+                drop()
+                break
+            joined = state.join(hubs, F.col("key") == F.col("k"))
+            if turn == rounds:
+                own = F.col("comp") == F.col("hub.comp")
+                new = _all_pairs(joined.select("key", "cid", "comp", "n", own.alias("own"), "g", "h"), sets, percent, tile)
+            else:
+                held = materialise(joined.where("cid <> hub.cid").select("key", "cid", "comp", "n", "hub"), "open-members")
+                ask = held.where((F.col("comp") != F.col("hub.comp")) & sizes_fit(F.col("n"), F.col("hub.n"), percent))
+                ask = ask.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+                new = confirm(ask, sets, percent)
+                members = held.select("key", "cid", "n")
         new = materialise(new, "links")
         links = new if links is None else links.unionByName(new)
-        drop()
+        if drop:
+            drop()
         # components so far are stars already, which settle sooner than all links would
         edges = new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         found = materialise(components(edges, "a", "b"), "components")

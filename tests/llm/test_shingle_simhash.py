@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from epispark.llm import linking
 from epispark.llm import shingle_simhash as ss
+from epispark.session import scratch_table
 from tests.llm.test_minhash import brute, shingle_set
 
 
@@ -51,6 +54,56 @@ def test_one_large_family(spark):
     assert {r.doc_id for r in ss.keep_first_similar(docs).collect()} == {k for k, r in root.items() if k == r}
 
 
+def family(many: int):
+    """Near copies of one text, part of them similar only by way of others."""
+    rng = random.Random(many)
+    base = [f"term{i}" for i in range(200)]
+    return [(k, " ".join(f"x{rng.random()}" if rng.random() < 0.02 else w for w in base)) for k in range(many)]
+
+
+def test_rows_joined_with_hubs_follow_the_family(spark, monkeypatch):
+    """Each row of a group meets a hub once, so a family twice as large joins twice the rows."""
+
+    def joined(many: int) -> tuple[int, int]:
+        rows = {}
+
+        def counted(df, label):
+            out = scratch_table(df, label)
+            if label in ("different-groups", "open-members", "tile-rows"):
+                rows[label] = rows.get(label, 0) + out[0].count()
+            return out
+
+        monkeypatch.setattr(linking, "scratch_table", counted)
+        monkeypatch.setattr(linking, "materialise", lambda df, label: counted(df, label)[0])
+        texts = family(many)
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        kept = {r.doc_id for r in ss.keep_first_similar(docs).collect()}
+        assert kept == {k for k, r in brute({k: shingle_set(t, 5) for k, t in texts}).items() if k == r}
+        return rows["different-groups"], rows.get("open-members", 0) + rows.get("tile-rows", 0)
+
+    (members, one), (more, two) = joined(150), joined(300)
+    assert one <= members and two <= more
+    assert more < 2.6 * members and more <= 300 * ss.SEGMENTS * (ss.WEAK + 1)
+
+
+def test_first_pairs_are_few_and_share_a_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(c)) for g, c in {(g, c) for g, c in zip(rng.integers(0, 60, 900), rng.integers(0, 100, 900))}]
+    low = {g: min(c for h, c in rows if h == g) for g, _ in rows}
+    groups = spark.createDataFrame([(g, c, low[g]) for g, c in rows], "key long, cid long, hub long")
+    pairs = [(r.a, r.b) for r in ss.first_pairs(groups).collect()]
+    assert len(pairs) == len(set(pairs)) and max(Counter(b for _, b in pairs).values()) <= 3
+    assert {b for _, b in pairs} == {c for g, c in rows if c != low[g]}
+    assert set(pairs) <= {(low[g], c) for g, c in rows if c != low[g]}
+
+
+def test_hub_is_the_smallest_near_row_of_a_group(spark):
+    bits = {10: (1, 0), 11: (1, 1), 12: (1, 3), 3: (1, -1), 20: (2, 0), 21: (2, 1)}  # 3 shares a key but is far
+    rows = [(key, cid, low, low) for cid, (key, low) in bits.items()]
+    got = ss.candidate_groups(spark.createDataFrame(rows, "key long, cid long, low long, high long")).collect()
+    assert {(r.key, r.cid, r.hub) for r in got} == {(1, 10, 10), (1, 11, 10), (1, 12, 10), (2, 20, 20), (2, 21, 20)}
+
+
 @pytest.mark.parametrize("large", [8, 40, 8192])
 def test_large_groups_are_cut_without_loss(spark, large):
     rng = np.random.default_rng(1)
