@@ -68,16 +68,20 @@ def neighbourhood(form: str, symbols: int = SYMBOLS) -> Column:
 def near_words(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """``word, n, near, near_n``: every ordered pair of words exactly one edit apart.
 
-    ``vocab`` (``word, n``) is read several times: pass a written table.
+    ``vocab`` (``word, n``) is read several times: pass a written table. Joins are shuffled at every size: Spark
+    sizes an exploded side as if it had no more rows than its source, and would broadcast neighbourhoods.
     """
     forms = materialise(vocab.select("word", "n", reduced(F.col("word"), symbols).alias("form")), "reduced")
     distinct = materialise(forms.select("form").distinct(), "reduced-forms")
-    around = distinct.select("form", F.explode(neighbourhood("form", symbols)).alias("other"))
+    # the written forms are a few small files, their neighbourhoods a hundred times as many rows
+    dealt = distinct.repartition(int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    around = dealt.select("form", F.explode(neighbourhood("form", symbols)).alias("other"))
     around = around.select("form", F.xxhash64("other").alias("hash"))
     there = distinct.select(F.col("form").alias("near_form"), F.xxhash64("form").alias("there"))
-    met = materialise(around.join(there, F.col("hash") == F.col("there")).select("form", "near_form"), "near-forms")
+    met = materialise(around.hint("merge").join(there, F.col("hash") == F.col("there")).select("form", "near_form"), "near-forms")
     other = forms.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("form").alias("f"))
-    pairs = forms.join(met, "form").drop("form").join(other, F.col("near_form") == F.col("f"))
+    pairs = forms.hint("merge").join(met, "form").drop("form")
+    pairs = pairs.join(other.hint("merge"), F.col("near_form") == F.col("f"))
     return pairs.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
@@ -89,7 +93,7 @@ def roots(forms: DataFrame, rounds: int = 64) -> DataFrame:
     links = materialise(forms.select("word", F.col("form").alias("root")), "forms")
     for _ in range(rounds):
         step = links.select(F.col("word").alias("w"), F.col("root").alias("next"))
-        moved = links.join(step, F.col("root") == F.col("w"), "left")
+        moved = links.join(step.hint("merge"), F.col("root") == F.col("w"), "left")
         moved = materialise(moved.select("word", F.coalesce("next", "root").alias("root"), F.col("w").isNotNull().alias("on")), "forms")
         links = moved.select("word", "root")
         if moved.where("on").isEmpty():
@@ -109,12 +113,13 @@ def spelling_variants(
     Null texts count as empty, null keys as the empty text; repeated rows count as often as they
     occur; words may be of any length; an empty table gives an empty table; other columns are not
     read. Texts are read once. Pairs are summed up per word map-side, so frequent reduced forms and
-    words with many neighbours gather nothing in one task.
+    words with many neighbours gather nothing in one task. The vocabulary grows with the documents, so no
+    join broadcasts it.
     """
     vocab = materialise(vocabulary(docs, text, key, **how), "vocabulary")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near"))).alias("best")
     near = near_words(vocab, symbols).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    rows = vocab.join(near, "word", "left").withColumn("form_n", -F.col("best.minus"))
+    rows = vocab.join(near.hint("merge"), "word", "left").withColumn("form_n", -F.col("best.minus"))
     takes = F.col("form_n") >= ratio * F.col("n")
     rows = rows.select(
         "word", F.when(takes, F.col("best.near")).alias("form"), "n",
@@ -122,6 +127,6 @@ def spelling_variants(
     )
     rows = materialise(rows, "variants")
     ends = roots(rows.where(F.col("form").isNotNull()))
-    return rows.join(ends, "word", "left").select(
+    return rows.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

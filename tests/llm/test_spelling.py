@@ -7,7 +7,9 @@ import random
 import re
 import zlib
 
+from epispark.llm import spelling
 from epispark.llm.spelling import spelling_variants
+from epispark.session import materialise
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzéßÀ×÷"
 
@@ -80,3 +82,18 @@ def test_against_brute_force(spark):
 def test_odd_rows(odd_docs, no_docs, texts):
     assert result(spelling_variants(odd_docs)) == brute(texts)
     assert spelling_variants(no_docs).count() == 0
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Exploded neighbourhoods look as small as their source, and the vocabulary grows with the documents."""
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return materialise(df, label)
+
+    monkeypatch.setattr(spelling, "materialise", noted)
+    rows = spelling_variants(spark.createDataFrame(misspelt(), "doc_id long, text string"))
+    plans.append(rows._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
