@@ -13,18 +13,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.words import free_names, whole, word_array
+from epispark.llm.words import between_spaces, free_names, whole
 
-#: Statistics over the helper columns __t (text), __w (words) and __l (lines with a word).
+
+def in_rest(chars: str) -> str:
+    """SQL for the number of characters of a class in the rest of a text (below)."""
+    return f"(length(__r) - length(regexp_replace(__r, '[{chars}]+', '')))"
+
+
+#: Statistics over the helper columns __t (text), __r (the rest: the text without a-z and blanks, a small part of most
+#: texts, where single characters are counted), __s (strings between white space), __w (words: those that are not
+#: empty) and __l (lines with a word). White space but blanks, tabs and line ends counts for ``word_length``.
 FEATURES: dict[str, str] = {
     "log_words": "ln(1 + size(__w))",
-    "word_length": "length(translate(__t, ' \\t\\n', '')) / greatest(size(__w), 1)",
-    "symbols": "(length(__t) - length(translate(__t, '#*$%&<>@^~', ''))) / greatest(size(__w), 1)",
-    "bars": "(length(__t) - length(translate(__t, '|', ''))) / greatest(size(__w), 1)",
-    "shouts": "(length(__t) - length(translate(__t, '!', ''))) / greatest(size(__w), 1)",
-    "stops": "(length(__t) - length(translate(__t, '.,;:?', ''))) / greatest(size(__w), 1)",
-    "digits": "(length(__t) - length(translate(__t, '0123456789', ''))) / greatest(length(__t), 1)",
-    "upper": "(length(__t) - length(regexp_replace(__t, '\\\\p{Lu}', ''))) / greatest(length(__t), 1)",
+    "word_length": f"(length(__t) - (size(__s) - 1) + {in_rest('\\\\x0B-\\\\x0D')}) / greatest(size(__w), 1)",
+    "symbols": f"{in_rest('#*$%&<>@^~')} / greatest(size(__w), 1)",
+    "bars": f"{in_rest('|')} / greatest(size(__w), 1)",
+    "shouts": f"{in_rest('!')} / greatest(size(__w), 1)",
+    "stops": f"{in_rest('.,;:?')} / greatest(size(__w), 1)",
+    "digits": f"{in_rest('0123456789')} / greatest(length(__t), 1)",
+    "upper": f"{in_rest('\\\\p{Lu}')} / greatest(length(__t), 1)",
     "distinct_words": "size(array_distinct(__w)) / greatest(size(__w), 1)",
     "distinct_lines": "size(array_distinct(__l)) / greatest(size(__l), 1)",
     "line_length": "length(__t) / greatest(size(__l), 1)",
@@ -36,11 +44,14 @@ SAMPLE_ROWS = 20_000
 def statistics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the statistics of each whole text; null text counts as empty."""
     rows = docs.select(*keep, whole(text).alias("__t"))
-    rows = rows.withColumn("__w", word_array(F.col("__t")))
+    rows = rows.withColumn("__r", F.regexp_replace("__t", "[a-z ]+", ""))
+    rows = rows.withColumn("__s", between_spaces(F.col("__t"))).withColumn("__w", F.array_remove("__s", ""))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.trim(x) != "")
-    rows = rows.withColumn("__l", lines)
-    out = [F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()]
-    return rows.select(*keep, *out)
+    made = {name: F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()}
+    of_lines = [name for name, sql in FEATURES.items() if "__l" in sql]
+    # lines end a stage of generated code: with what follows, a long score, its method would be too long to be compiled
+    rows = rows.select(*keep, "__t", lines.alias("__l"), *[c for name, c in made.items() if name not in of_lines])
+    return rows.select(*keep, *[made[name] if name in of_lines else name for name in FEATURES])
 
 
 # ------------------------------------------------------------------------------------- fitting

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epispark.session import materialise
 
-SPACES = "\t\n\x0b\x0c\r"
+SPACES = "\t\n\x0b\x0c\r"  # and all between the first and the last
 TEXTS_PER_BATCH = 1000
 
 
@@ -17,10 +17,14 @@ def whole(text: str | Column) -> Column:
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
 
 
+def between_spaces(text: Column) -> Column:
+    """What stands before, between and after the characters ``[\\x20\\x09-\\x0D]`` of a non-null text, empty strings included."""
+    return F.split(F.regexp_replace(text, f"[{SPACES[0]}-{SPACES[-1]}]", " "), " ")
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a non-null text."""
-    flat = F.translate(text, SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(between_spaces(text), "")
 
 
 def word_count(text: Column) -> Column:

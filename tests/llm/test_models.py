@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import collections
 import math
+import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -193,3 +196,32 @@ def test_sample_bound_holds_for_repeated_keys(spark, monkeypatch):
     qm.fit_on_labels(docs, labels, sample=6)
     qm.fit_on_labels(docs, labels)
     assert seen[0] <= 6 and seen[1] <= 12
+
+
+def test_statistics_count_characters(spark):
+    rng = random.Random(3)
+    some = "ab XYZ\t\n\x0b\x0c\r|!#*$%&<>@^~.,;:?09ÄÖßé日😀𝐀ǅ\x1c\x85　\\-[]"
+    texts = ["", " ", "\n \n", "\x0b"] + ["".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(300)]
+    rows = qm.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        words = max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t)))
+        count = lambda chars: sum(c in chars for c in t)
+        assert r.word_length == (len(t) - count(" \t\n")) / words
+        assert [r.symbols, r.bars] == [count("#*$%&<>@^~") / words, count("|") / words]
+        assert [r.shouts, r.stops] == [count("!") / words, count(".,;:?") / words]
+        assert r.digits == count("0123456789") / max(1, len(t))
+        assert r.upper == sum(unicodedata.category(c) == "Lu" for c in t) / max(1, len(t))
+
+
+def test_score_has_generated_code_of_its_own(spark, odd_docs):
+    """Texts are not translated character by character, and the long score is not in one method with the statistics."""
+    rules = [qm.Rule(((i, True, 0.5),)) for i in range(len(qm.FEATURES))]
+    score = qm.RuleModel(list(qm.FEATURES), 0.1, rules, [0.1] * len(rules)).score()
+    plan = qm.statistics(odd_docs).select("doc_id", score)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" in plan and "translate(" not in plan
+    stages = [(line.split(")")[0], line) for line in plan.split("\n") if line.strip(" +-:").startswith("*(")]
+    counts = {s.strip(" +-:") for s, line in stages if "regexp_replace" in line}
+    scores = {s.strip(" +-:") for s, line in stages if "EXP(" in line}
+    assert len(scores) == 1 and not scores & counts
