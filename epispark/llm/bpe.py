@@ -115,8 +115,8 @@ class PieceModel:
             fresh = np.zeros(len(sym), bool)
             fresh[at] = True
             word, sym, rank, into, fresh = (x[keep] for x in (word, sym, rank, into, fresh))
+            fresh[:-1] |= fresh[1:]  # pairs of the merged symbols and of those before them
             new = np.flatnonzero(fresh)
-            new = np.unique(np.r_[new, new[new > 0] - 1])
             rank[new] = NO_PAIR
             new = new[new + 1 < len(sym)]
             new = new[word[new] == word[new + 1]]

@@ -31,6 +31,7 @@ SEGMENTS = 21
 WEAK = 4
 CHECK = 32  # of 128: expected 19.4 at similarity 0.8, standard deviation 4.1; strangers differ in 64
 LANES = 8  # 64-bit hashes of a shingle; the last two lanes are what tasks compare
+STEPS = np.array([j * 0x9E3779B97F4A7C15 % (1 << 64) for j in range(1, LANES + 1)], U)  # from lane to lane
 AT_ONCE = 1 << 14
 SMALL_GROUP = 48  # groups up to here are compared by shifted arrays, many groups at once
 LARGE_GROUP = 8192  # groups beyond are cut into slots, and pairs of slots become groups
@@ -42,7 +43,7 @@ def margins(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(64 * LANES, np.int64)
     for k in range(0, len(hashes), AT_ONCE):
         part = hashes[k : k + AT_ONCE]
-        lanes = np.stack([mix(part + U(j * 0x9E3779B97F4A7C15 % (1 << 64))) for j in range(1, LANES + 1)], axis=1)
+        lanes = mix(part[:, None] + STEPS)
         bits = np.unpackbits(lanes.view(np.uint8).reshape(len(part), 8 * LANES), axis=1)
         for i in range(0, len(part), 255):
             ones += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
@@ -70,7 +71,8 @@ def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
 def _set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles."""
     words, _, _ = word_hashes(text or b"", lower=True)
-    return np.unique(shingles(words, width))
+    own = np.sort(shingles(words, width))
+    return own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
 
 
 def _over_texts(docs: DataFrame, text: str, keep: list[str], fields: list[T.StructField], columns) -> DataFrame:

@@ -145,3 +145,11 @@ def test_repeated_passages_of_51_words(spark, sf):
     got = {r.doc_id: r.text for r in cp.suffix_array(spark, docs, sf).collect()}
     for k, t in rows:
         assert got[k] == (t.replace(f" {long} ", "") if k <= 2 else t)
+
+
+def test_stages_translate_no_text(spark, sf):
+    """Words are split, and characters counted, without a pass over every single character of a text."""
+    docs = table(spark, sf, "documents")
+    for rows in (docs.select(word_count("text")), cp.quality_classifier(spark, docs, sf)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" in plan and "translate(" not in plan
